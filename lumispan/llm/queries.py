@@ -12,6 +12,12 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edit_probe
 
@@ -38,12 +44,21 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_text": op1_html_text,
         "op3_fingerprints": op3_fingerprints,
         "op4_source_mix": op4_source_mix,
         "op7_line_quality": op7_line_quality,
         "op8_hash_tree": op8_hash_tree,
+        "op9_toxicity": op9_toxicity,
     }
 
 
