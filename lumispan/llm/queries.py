@@ -31,6 +31,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select(*wanted)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_quality import line_quality
 
@@ -56,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op1_html_text": op1_html_text,
         "op3_fingerprints": op3_fingerprints,
         "op4_source_mix": op4_source_mix,
+        "op6_packing": op6_packing,
         "op7_line_quality": op7_line_quality,
         "op8_hash_tree": op8_hash_tree,
         "op9_toxicity": op9_toxicity,
