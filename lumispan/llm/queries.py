@@ -18,6 +18,12 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edit_probe
 
@@ -62,6 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_near_dedup": op2_near_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_source_mix": op4_source_mix,
         "op6_packing": op6_packing,
