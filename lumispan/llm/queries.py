@@ -65,6 +65,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op7_line_quality": op7_line_quality,
         "op8_hash_tree": op8_hash_tree,
         "op9_toxicity": op9_toxicity,
+        "op10_repeats": op10_repeats,
     }
 
 
