@@ -309,6 +309,20 @@ def apply_features(df: DataFrame, model: Model, key: str, text: str) -> DataFram
     return df.select(key, text).mapInPandas(run, schema)
 
 
+def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their score, whatever their columns."""
+    lexicon, weights, ordinary = model.lexicon, model.weights, model.ordinary
+
+    @F.pandas_udf("double")
+    def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(lexicon, weights, ordinary)
+        for batch in batches:
+            rows = [own.features(t) for t in batch]
+            yield pd.Series(own.score(np.array(rows, dtype=float).reshape(len(rows), Model.FEATURES)))
+
+    return docs.withColumn("score", scorer(F.col(text)))
+
+
 def score(
     docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3
 ) -> DataFrame:
