@@ -56,14 +56,17 @@ WITH d AS (
   FROM d GROUP BY source
 ), s2 AS (
   SELECT *, 2.0::double * source_size AS cap, [5.0, 2.0, 1.0][turn + 1]::double AS w, [0.5, 0.0, -0.5][turn + 1]::double AS tilt FROM s
-), s3 AS (
-  SELECT *, (1.5::double * sum(source_size) OVER ()
-    - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2
-), s4 AS (
-  SELECT *, min(CASE WHEN level <= cap / w THEN level END) OVER () AS common FROM s3
+), lv AS (  -- where sum(min(cap, level * w)) meets the demand: between the breakpoints cap / w, checked one by one
+  SELECT a.cap / a.w AS bp,
+    (SELECT sum(least(b.cap, a.cap / a.w * b.w)) FROM s2 b) AS gives,
+    (SELECT coalesce(sum(b.cap), 0) FROM s2 b WHERE b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.source < a.source)) AS full_,
+    (SELECT sum(b.w) FROM s2 b WHERE b.cap / b.w > a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.source >= a.source)) AS open_
+  FROM s2 a
+), one AS (
+  SELECT (1.5::double * (SELECT sum(source_size) FROM s2) - full_) / open_ AS common
+  FROM lv WHERE gives >= 1.5::double * (SELECT sum(source_size) FROM s2) ORDER BY bp LIMIT 1
 ), t AS (
-  SELECT source, source_size, tilt, round(least(cap, coalesce(common * w, cap)), 6) AS target FROM s4
+  SELECT source, source_size, tilt, round(least(cap, common * w), 6) AS target FROM s2, one
 ), c AS (
   SELECT p.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY b, h, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM p
