@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_memo(name: str) -> dict:
+    """A dict that lives as long as this Python worker, across its tasks."""
+    home = sys.modules.setdefault("_lumispan_worker", types.ModuleType("_lumispan_worker"))
+    return home.__dict__.setdefault(name, {})
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

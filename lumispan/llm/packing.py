@@ -20,6 +20,7 @@ table gives no rows; extra columns are dropped.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,42 +30,81 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, spread, written
+from .common import running_total, spread, worker_memo, written
 
 Config = tuple[tuple[int, int], ...]  # (length, count), longest first
-MEMO = 300_000
+#: Runs that a worker remembers: some 200 bytes each.
+MEMO = 800_000
 RANK_BUCKETS = 256
 
 
-def cut_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", text: str = "text", end_id: int = 0
-) -> DataFrame:
-    """Per piece: key, piece, start, length, ids_crc32.
+class RunEncoder:
+    """The ids of texts as little-endian 32-bit bytes, put together from the ids of their runs.
 
-    White space is never part of a token of this tokenizer, so a text is encoded run by run and
-    the ids of a run are kept in a bounded memo. Runs are split at blanks and line ends only;
-    whatever else a run holds is the tokenizer's business.
+    White space is never part of a token of this tokenizer, and neither are letters or digits beside what
+    isn't one, so a text is encoded run by run, and a run without the points and commas that end it.
+    Runs are split at blanks and line ends only; whatever else they hold is the tokenizer's
+    business. New runs of a text are encoded together and told apart by their offsets.
     """
-    kind = dict(docs.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, tokenizer: str, end_id: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(tokenizer)
-        memo: dict[str, bytes] = {"": b""}
-        end = np.array([end_id], dtype="<u4").tobytes()
-
-        def ids_of(body: str) -> bytes:
-            runs = body.replace("\n", " ").split(" ")
-            new = [r for r in set(runs) if r not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                memo[""] = b""
-                new = list(set(runs))
-            for r, e in zip(new, encode.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[r] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(memo.__getitem__, runs)) + end
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.memo: dict[str, bytes] = worker_memo(f"ids {tokenizer}")
+        self.memo[""] = b""
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, runs: list[str]) -> None:
+        if any(s in r for s in self.special for r in runs):
+            found = [e.ids for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
+            self.memo.update((r, np.array(x, dtype="<u4").tobytes()) for r, x in zip(runs, found, strict=True))
+            return
+        e = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        data = np.array(e.ids, dtype="<u4").tobytes()
+        starts = [a for a, _ in e.offsets]
+        at, k = 0, 0
+        for r in runs:
+            at += len(r) + 1
+            z = bisect_left(starts, at, k)
+            self.memo[r] = data[4 * k : 4 * z]
+            k = z
+
+    def __call__(self, text: str) -> bytes:
+        runs = text.replace("\n", " ").split(" ")
+        memo = self.memo
+        try:
+            return b"".join(map(memo.__getitem__, runs)) + self.end
+        except KeyError:
+            pass
+        new = [r for r in set(runs) if r not in memo]
+        if len(memo) + 2 * len(new) > MEMO:
+            memo.clear()
+            memo[""] = b""
+            new = list(set(runs))
+        cores = {}
+        for r in new:
+            core = r.rstrip(".,")
+            core = core if core and core[-1].isalnum() else r
+            cores[r] = (core.lower() if core.isascii() else core), r[len(core) :]
+        wanted = {x for pair in cores.values() for x in pair if x not in memo}
+        if wanted:
+            self.encode(list(wanted))
+        for r, (core, rest) in cores.items():
+            memo[r] = memo[core] + memo[rest]
+        return b"".join(map(memo.__getitem__, runs)) + self.end
+
 
+def cut_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", text: str = "text", end_id: int = 0
+) -> DataFrame:
+    """Per piece: key, piece, start, length, ids_crc32."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids_of = RunEncoder(tokenizer, end_id)
         step = 4 * capacity
         for batch in batches:
             rows = []
