@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import let, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -73,20 +73,30 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))), "[0-9]", "0")
 
 
-def has_word(line: Column) -> Column:
-    return F.translate(line, SPACES, "") != ""
+def line_marks(text: Column) -> Column:
+    """Per line with a word: h, the hash of its normal form, w, its words."""
 
+    def mark(line: Column) -> Column:
+        words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        return F.struct(F.xxhash64(line).alias("h"), words.cast("int").alias("w"))
 
-def base_rules(docs: DataFrame, text: str = "text") -> dict[str, Column]:
-    """The columns that a document's own text decides."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    squeezed = F.length(F.translate(body, SPACES, ""))
-    lines = F.filter(F.split(body, "\n"), has_word)
-    return {
-        "word_chars": squeezed.cast("bigint"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-    }
+    return F.transform(with_word(text), lambda x: let(normal_line(x), mark))
+
+
+def with_word(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def word_rules(words: Column) -> Column:
+    """Struct of n_words, word_chars and n_repeat_words."""
+    return let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            repeated_word_count(w).alias("n_repeat_words"),
+        ),
+    )
 
 
 def line_quality(
@@ -108,24 +118,19 @@ def line_quality(
     n_repeat_words, n_shared_words (words in lines above the limit), base_failed, kept.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(
-        F.filter(F.split(body, "\n"), has_word),
-        lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w")),
-    )
+    # Everything that a text decides, in one pass over the texts; what follows reads this narrow table.
     rows = docs.select(
         F.col(key),
-        F.size(words_of(F.col(text))).cast("bigint").alias("n_words"),
-        *[c.alias(name) for name, c in base_rules(docs, text).items()],
-        repeated_word_count(words_of(F.col(text))).alias("n_repeat_words"),
+        word_rules(words_of(F.col(text))).alias("_w"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        let(with_word(body), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null")).alias("_host"),
         F.xxhash64(body).alias("_text"),
-    )
+        line_marks(body).alias("_lines"),
+    ).select("*", "_w.*").drop("_w")
+    rows = written(rows, "quality-rules")
     # One row per distinct text of a host: copies fold into it before anything is exploded.
-    once = docs.select(
-        F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null")).alias("_host"),
-        F.xxhash64(body).alias("_text"),
-        lines.alias("_lines"),
-    ).distinct()
+    once = rows.select("_host", "_text", "_lines").distinct()
     sizes = once.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     held = (
         once.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line"))
@@ -152,5 +157,5 @@ def line_quality(
         .withColumn("n_shared_words", F.coalesce(gone, F.lit(0)).cast("bigint"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (gone <= max_removed * n) & (n - gone >= min_words))
-        .drop("_host", "_text")
+        .drop("_host", "_text", "_lines")
     )
