@@ -47,9 +47,9 @@ def once(stream: DataFrame, watermark: str = "2 minutes") -> DataFrame:
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
-def rates(stream: DataFrame, width: str = "60 seconds", watermark: str = "2 minutes") -> DataFrame:
-    """Spans and errors per window and service."""
-    w = stream.withWatermark("ts", watermark).groupBy(F.window("ts", width), "service")
+def rates(stream: DataFrame, width: str = "60 seconds") -> DataFrame:
+    """Spans and errors per window and service of a stream that has a watermark, such as ``once`` returns."""
+    w = stream.groupBy(F.window("ts", width), "service")
     out = w.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") == "2").cast("bigint")).alias("errors"))
     return out.select(F.col("window.start").alias("start"), "service", "n", "errors")
 
