@@ -50,7 +50,7 @@ _BYTE = _RNG.integers(0, 2**64, size=256, dtype=_U)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes that one pass over a text holds; longer texts are taken in overlapping parts.
-PART = 1 << 22
+PART = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -146,6 +146,7 @@ def cut_outs(texts: DataFrame, whole: bool) -> DataFrame:
 
         for batch in batches:
             rows = []
+            columns = ["gram", "ctx", *(("before", "after") if whole else ("node", "pos"))]
             for node, text, marks in zip(batch["node"], batch["text"], batch["marks"], strict=True):
                 data = bytes_of(text)
                 for m in marks:
@@ -153,11 +154,11 @@ def cut_outs(texts: DataFrame, whole: bool) -> DataFrame:
                     before, after = data[max(0, p - REACH) : p][::-1], data[p : p + LENGTH]
                     ctx = xxhash.xxh3_128_digest(bytes([len(before)]) + before + after)
                     rows.append((g, ctx, before, after) if whole else (g, ctx, node, p))
-                    if whole and len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=["gram", "ctx", "before", "after"])
+                    if len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["gram", "ctx", *(("before", "after") if whole else ("node", "pos"))])
+                yield pd.DataFrame(rows, columns=columns)
 
     kinds = "before binary, after binary" if whole else "node bigint, pos int"
     return texts.select("node", "text", "marks").mapInPandas(run, f"gram bigint, ctx binary, {kinds}")
@@ -215,14 +216,16 @@ def maximal_repeats(
 
 
 def covered(before: list[bytes], after: list[bytes], count: list[int], lo: int, hi: int) -> list[list[int]]:
-    """Per member: what its repeats cover, as [from, to) around the anchor, flattened. Only strings that
-    reach lo to hi bytes to the left are judged here."""
-    out: list[set[tuple[int, int]]] = [set() for _ in after]
+    """Per member: what its repeats cover, [from, to) around the anchor, or nothing. Only strings that
+    reach lo to hi bytes to the left are judged here. All of them hold the anchor's gram, so what they
+    cover together is one run, and its two ends are all that is kept of a member's repeats."""
+    first, end = [1] * len(after), [0] * len(after)
 
     def add(member: int, left: int, right: int) -> None:
         most, least = min(left, hi), max(LENGTH - right, lo)
         if least <= most:
-            out[member].add((-most, LENGTH - least))
+            first[member] = min(first[member], -most)
+            end[member] = max(end[member], LENGTH - least)
 
     for i, c in enumerate(count):
         if c > 1:
@@ -236,18 +239,7 @@ def covered(before: list[bytes], after: list[bytes], count: list[int], lo: int,
         for left, right, members in maximal_repeats(before, after):
             for m in members:
                 add(m, left, right)
-    return [[x for span in merged_spans(sorted(s)) for x in span] for s in out]
-
-
-def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, z in spans:
-        if out and a <= out[-1][1]:
-            if z > out[-1][1]:
-                out[-1] = (out[-1][0], z)
-        else:
-            out.append((a, z))
-    return out
+    return [[a, z] if a <= 0 else [] for a, z in zip(first, end, strict=True)]
 
 
 def scanned(groups: DataFrame) -> DataFrame:
@@ -381,17 +373,21 @@ def joined_runs(pairs: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame, text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
-    """The rows of ``docs`` with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
+    """The rows of ``docs`` with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans; columns of
+    these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = written(repeated_spans(docs, text, max_group), "spans").select(
         F.col("node").alias("_node"), "spans", F.lit(True).alias("_found")
     )
     # Spans follow the corpus: broadcast only when small, else texts and spans are shuffled together.
     side = F.broadcast(spans) if small_enough(spans, 24 + 8 * F.coalesce(F.size("spans"), F.lit(0))) else spans
-    data = F.encode(body, "UTF-8")
     n = F.octet_length(body)
-    rows = docs.withColumn("_node", F.when(n >= LENGTH, F.xxhash64(body)).otherwise(F.lit(None)))
+    # The rows travel as one struct, so their names can't clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.when(n >= LENGTH, F.xxhash64(body)).alias("_node"))
     rows = rows.join(side, "_node", "left")
+    body = F.coalesce(F.col(f"_doc.`{text}`"), F.lit(""))
+    n = F.octet_length(body)
+    data = F.encode(body, "UTF-8")
     whole = F.col("_found").isNotNull() & F.col("spans").isNull()
     edges = F.concat(F.array(F.lit(0).cast("bigint")), F.col("spans"), F.array(n.cast("bigint")))
     left = F.transform(
@@ -405,13 +401,15 @@ def without_repeats(docs: DataFrame, text: str = "text", max_group: int = MAX_GR
         F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, b: a + b
     )
     size = n.cast("bigint")
-    return rows.select(
-        *docs.columns,
+    made = ("n_bytes", "n_removed", "n_spans", "kept")
+    rows = rows.select(
+        "_doc",
         size.alias("n_bytes"),
         F.when(F.col("_found").isNull(), 0).when(whole, size).otherwise(gone).cast("bigint").alias("n_removed"),
         F.when(F.col("_found").isNull(), 0).when(whole, 1).otherwise(F.size("spans") / 2).cast("bigint").alias("n_spans"),
         kept.alias("kept"),
     )
+    return rows.select(*[F.col(f"_doc.`{c}`") for c in docs.columns if c not in made], *made)
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
