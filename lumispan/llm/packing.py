@@ -87,8 +87,9 @@ class RunEncoder:
         cores = {}
         for r in new:
             core = r.rstrip(".,")
-            core = core if core and core[-1].isalnum() else r
-            cores[r] = (core.lower() if core.isascii() else core), r[len(core) :]
+            core = core if core and core[-1].lower()[-1].isalnum() else r
+            # Special tokens are told by their case, so nothing that could become one is lowered.
+            cores[r] = (core.lower() if core.isascii() and "<|" not in core else core), r[len(core) :]
         wanted = {x for pair in cores.values() for x in pair if x not in memo}
         if wanted:
             self.encode(list(wanted))
