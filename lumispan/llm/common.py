@@ -30,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.environ.setdefault("LUMISPAN_SCRATCH", tempfile.mkdtemp(prefix="lumispan-"))
+        path = os.environ.get("LUMISPAN_SCRATCH") or tempfile.mkdtemp(prefix="lumispan-")
+        os.environ["LUMISPAN_SCRATCH"] = path
     return path.rstrip("/")
 
 
