@@ -327,11 +327,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", max_group: int = MAX_GRO
     once = marked.join(lookup, "node", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_row")))
     once = once.select("node", "text")
     anchors = written(anchored(once), "anchors")
-    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    # Written, so that both sides of the join are plain shuffles and a very common gram can be split.
+    again = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"), "grams")
     marks = anchors.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
-    marks = written(marks, "marks")
-    side = F.broadcast(marks) if small_enough(marks, 16 + 12 * F.size("marks")) else marks
-    around = once.join(side, "node")
+    # Marks follow the corpus, so they meet the texts by a shuffle at every size.
+    around = once.join(written(marks, "marks").hint("shuffle_merge"), "node")
     cut = cut_outs(around, True).groupBy("gram", "ctx").agg(
         F.first("before").alias("before"), F.first("after").alias("after"), F.count(F.lit(1)).alias("n")
     )
