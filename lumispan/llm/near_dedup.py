@@ -231,7 +231,8 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         order = F.xxhash64("node", F.pmod("bucket", F.lit(PIVOT_SALTS)))
         group = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots_per_bucket)).alias("_g")
         pivots = members.groupBy("bucket", group).agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("p"))
-        pivots = pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.component").alias("_c"))
+        # Written, so that the join with a bucket of very many members is of plain shuffles, which Spark can split.
+        pivots = written(pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.component").alias("_c")), "pivots")
         pairs = (
             members.join(pivots, "bucket")
             .where(F.col("component") != F.col("_c"))
@@ -263,6 +264,7 @@ def near_duplicates(
     firsts = marked.join(nodes.select("node").distinct(), F.col(key) == F.col("node"), "left_semi")
     banded = firsts.select(F.col(key).alias("node"), F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+    shared = written(shared, "buckets")
     members = written(banded.join(shared, "bucket"), "members")
     wanted = written(members.select("node").distinct(), "candidates")
     ids = wanted.withColumnRenamed("node", key)
