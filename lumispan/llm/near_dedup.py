@@ -10,8 +10,11 @@
 4. Verification: the exact probability Jaccard of the whole shingle sets, 0.8 or more.
    A bucket's pairs aren't listed. A pivot is tested against the bucket's other members, linked
    nodes are merged into components, and a bucket goes on, with its pivots removed and more of them
-   each round, only while it holds members of different components. What isn't tested is either
-   known to be in one class or was tested as part of another bucket, so no class is lost.
+   each round, only while it holds members of different components that can still be alike. What
+   isn't tested is known to be in one class, was tested as part of another bucket, or is unlike by
+   an exact bound, so no class is lost. The bound: let a share u of a node's weight be on shingles
+   that no other node of a crowded bucket has, and o = u / (1 - u) its odds; then two nodes of crowded
+   buckets have a similarity of at most 1 / (1 + o + o'). A pivot is the member of least odds.
 5. Classes: connected components of links plus copies, named by their least key.
 
 Edge cases: null text counts as empty, and texts without words are copies of one another; a text of
@@ -42,6 +45,8 @@ PASS = 300_000
 #: Candidate keys (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_KEYS = 500_000
 PIVOT_SALTS = 4
+#: Members from which a bucket is crowded, and odds are worth counting.
+CROWDED = 32
 
 _U = np.uint64
 
@@ -222,20 +227,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def unique_odds(sets: DataFrame) -> DataFrame:
+    """Per node that has shingles which no other node of ``sets`` has: the odds of their weight."""
+    kind = dict(sets.dtypes)["node"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(held: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(
+                {
+                    "shingle": np.concatenate([s for _, s, _ in held]).view(np.int64),
+                    "node": np.repeat([k for k, _, _ in held], [len(s) for _, s, _ in held]),
+                    "share": np.concatenate([c for _, _, c in held]),
+                }
+            )
+
+        for batch in batches:
+            held, waiting = [], 0
+            for node, data in zip(batch["node"], batch["set"], strict=True):
+                s, c = unpacked(data)
+                if len(s):
+                    held.append((node, s, c / c.sum()))
+                    waiting += len(s)
+                if waiting > PASS:
+                    yield frame(held)
+                    held, waiting = [], 0
+            if held:
+                yield frame(held)
+
+    rows = sets.select("node", "set").mapInPandas(run, f"shingle bigint, node {kind}, share double")
+    single = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("node").alias("node"), F.min("share").alias("_share")
+    )
+    u = F.sum("_share")
+    return single.where("_n = 1").groupBy("node").agg(F.when(u < 1 - 1e-9, u / (1 - u)).otherwise(1e9).alias("odds"))
+
+
 def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Node and component of all nodes that have a link. members: bucket, node."""
+    """Node and component of all nodes that have a link. members: bucket, node, odds."""
     found = None
     pivots_per_bucket = 1
+    limit = 1 / similarity - 1 + 1e-6
     members = members.withColumn("component", F.col("node"))
     while True:
         order = F.xxhash64("node", F.pmod("bucket", F.lit(PIVOT_SALTS)))
         group = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots_per_bucket)).alias("_g")
-        pivots = members.groupBy("bucket", group).agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("p"))
+        least = F.min(F.struct("odds", order.alias("o"), "node", "component"))
+        pivots = members.groupBy("bucket", group).agg(least.alias("p"))
         # Written, so that the join with a bucket of very many members is of plain shuffles, which Spark can split.
-        pivots = written(pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.component").alias("_c")), "pivots")
+        pivots = pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.component").alias("_c"), F.col("p.odds").alias("_o"))
+        pivots = written(pivots, "pivots")
         pairs = (
             members.join(pivots, "bucket")
-            .where(F.col("component") != F.col("_c"))
+            .where((F.col("component") != F.col("_c")) & (F.col("odds") + F.col("_o") <= limit))
             .select("a", F.col("node").alias("b"))
             .distinct()
         )
@@ -248,8 +291,12 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         )
         rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rest = written(rest, "members")
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        members = written(rest.join(open_.where("_lo <> _hi").select("bucket"), "bucket"), "members")
+        open_ = rest.groupBy("bucket").agg(
+            F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("odds").alias("_o")
+        )
+        open_ = written(open_.where("_lo <> _hi").select("bucket", "_o"), "open")
+        members = rest.join(open_, "bucket").where(F.col("odds") + F.col("_o") <= limit).drop("_o")
+        members = written(members, "members")
         if members.isEmpty():
             return found
         pivots_per_bucket = min(64, 4 * pivots_per_bucket)
@@ -263,16 +310,22 @@ def near_duplicates(
     nodes = marked.groupBy("content").agg(F.min(key).alias("node"))
     firsts = marked.join(nodes.select("node").distinct(), F.col(key) == F.col("node"), "left_semi")
     banded = firsts.select(F.col(key).alias("node"), F.explode("bands").alias("bucket")).distinct()
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = written(shared, "buckets")
     members = written(banded.join(shared, "bucket"), "members")
+    crowded = F.col("_n") >= CROWDED
     wanted = written(members.select("node").distinct(), "candidates")
     ids = wanted.withColumnRenamed("node", key)
     if wanted.count() <= BROADCAST_KEYS:
         ids = F.broadcast(ids)
     candidates = docs.select(key, text).join(ids, key).dropDuplicates([key])
     sets = written(shingle_sets(candidates, key, text), "sets")
-    found = linked(members, sets, similarity)
+    crowd = members.where(crowded).select("node").distinct()
+    odds = written(unique_odds(sets.join(crowd, "node", "left_semi")), "odds")
+    members = members.join(odds, "node", "left").select(
+        "bucket", "node", F.when(crowded, F.coalesce("odds", F.lit(0.0))).otherwise(0.0).alias("odds")
+    )
+    found = linked(written(members, "members"), sets, similarity)
     classes = (
         nodes.join(found, "node", "left")
         .select(F.col("content"), F.coalesce("component", "node").alias("class_id"))

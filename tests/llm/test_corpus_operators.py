@@ -34,6 +34,12 @@ def test_near_duplicates_against_all_pairs(spark):
     base = next(t for _, t in rows if t and 100 < len(t.split()) < 300).split()
     for i in range(60):  # a large group of near copies, and chains that only links hold together
         rows.append((10_000 + i, " ".join([*base[:40], f"new{i}", *base[41:]])))
+    rng = np.random.default_rng(11)
+    for i in range(90):  # copies with few to many edits, some far from all others, some edited alike
+        words = list(base)
+        for j in rng.integers(0, len(base), 1 + i % 12):
+            words[j] = f"edit{i if i % 5 else 0}x{j}"
+        rows.append((15_000 + i, " ".join(words)))
     for i in range(8):
         rows.append((20_000 + i, " ".join(base[i * 3 : i * 3 + 60])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
