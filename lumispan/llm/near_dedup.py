@@ -267,7 +267,9 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     found = None
     pivots_per_bucket = 1
     limit = 1 / similarity - 1 + 1e-6
-    members = members.withColumn("component", F.col("node"))
+    floor = members.groupBy("bucket").agg(F.min("odds").alias("_o"))
+    members = members.join(written(floor, "floors"), "bucket").where(F.col("odds") + F.col("_o") <= limit).drop("_o")
+    members = written(members.withColumn("component", F.col("node")), "members")
     while True:
         order = F.xxhash64("node", F.pmod("bucket", F.lit(PIVOT_SALTS)))
         group = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots_per_bucket)).alias("_g")
@@ -299,7 +301,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         members = written(members, "members")
         if members.isEmpty():
             return found
-        pivots_per_bucket = min(64, 4 * pivots_per_bucket)
+        pivots_per_bucket *= 8
 
 
 def near_duplicates(
@@ -325,7 +327,7 @@ def near_duplicates(
     members = members.join(odds, "node", "left").select(
         "bucket", "node", F.when(crowded, F.coalesce("odds", F.lit(0.0))).otherwise(0.0).alias("odds")
     )
-    found = linked(written(members, "members"), sets, similarity)
+    found = linked(members, sets, similarity)
     classes = (
         nodes.join(found, "node", "left")
         .select(F.col("content"), F.coalesce("component", "node").alias("class_id"))
