@@ -35,12 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends there and
-    a lost executor costs no recomputation. The folder is unique, so reruns never meet."""
+    a lost executor costs no recomputation. The folder is unique, so reruns never meet. Meanwhile
+    Python is handed ``batch`` rows at a time: texts and shingle sets are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(batch, int(before)) if int(before) > 0 else batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
