@@ -52,9 +52,12 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
 
 
 def worker_memo(name: str) -> dict:
-    """A dict that lives as long as this Python worker, across its tasks."""
+    """A dict that lives across the tasks of this Python worker, until another name is asked for: one
+    operator's memo never takes the memory of the next."""
     home = sys.modules.setdefault("_lumispan_worker", types.ModuleType("_lumispan_worker"))
-    return home.__dict__.setdefault(name, {})
+    if home.__dict__.get("owner") != name:
+        home.__dict__.update(owner=name, memo={})
+    return home.__dict__["memo"]
 
 
 def let(value: Column, body) -> Column:

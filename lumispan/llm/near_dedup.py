@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_memo, written
 from .components import components
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 SIMILARITY = 0.8
-MEMO = 300_000
+MEMO = 200_000
 #: Distinct shingles that one numpy pass holds.
 PASS = 300_000
 #: Candidate keys (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
@@ -62,7 +62,7 @@ class Shingler:
     """Hashes of words, kept in a bounded memo, and of shingles."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, int] = worker_memo("words")
 
     def word_hashes(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_memo, written
 
 LENGTH = 200
 GRAM = 64
@@ -127,6 +127,7 @@ def anchored(texts: DataFrame) -> DataFrame:
     """From node and text: gram, node, pos."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo("")  # what another operator remembered in this worker goes
         find = Anchors()
         for batch in batches:
             found = [find.of(bytes_of(t)) for t in batch["text"]]
@@ -144,6 +145,7 @@ def cut_outs(texts: DataFrame, whole: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        worker_memo("")
         for batch in batches:
             rows = []
             columns = ["gram", "ctx", *(("before", "after") if whole else ("node", "pos"))]

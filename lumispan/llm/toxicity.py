@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_memo, written
 
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!1-9][^\W_]+)*", re.U)
 WORD_SQL = r"[\p{L}\p{N}]+(?:['’*@$!1-9][\p{L}\p{N}]+)*"
@@ -299,6 +299,7 @@ def apply_features(df: DataFrame, model: Model, key: str, text: str) -> DataFram
     lexicon, weights, ordinary = model.lexicon, model.weights, model.ordinary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo("")
         own = Model(lexicon, weights, ordinary)
         for batch in batches:
             rows = [own.features(t) for t in batch[text]]
@@ -315,6 +316,7 @@ def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_memo("")
         own = Model(lexicon, weights, ordinary)
         for batch in batches:
             rows = [own.features(t) for t in batch]
