@@ -37,6 +37,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select(*wanted)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op2_near_dedup": op2_near_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_source_mix": op4_source_mix,
+        "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_line_quality": op7_line_quality,
         "op8_hash_tree": op8_hash_tree,
