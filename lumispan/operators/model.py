@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.storage import stored
 from ..schema import ModelConfig
 from .tree import positioned, rooted, templates, with_parent
 
@@ -87,23 +88,29 @@ def bucket_meta(a: DataFrame) -> DataFrame:
     )
 
 
-def gaussian_mixture(x: np.ndarray, k: int, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and variances of a one-dimensional mixture by expectation maximisation."""
-    n = len(x)
+def gaussian_mixture(
+    x: np.ndarray, k: int, rounds: int = 100, tolerance: float = 1e-6, count: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances of a one-dimensional mixture by expectation maximisation; ``count`` says how often
+    each value occurs."""
+    c = np.ones(len(x)) if count is None else np.asarray(count, dtype=float)
+    order = np.argsort(x, kind="stable")
+    x, c = np.asarray(x, dtype=float)[order], c[order]
+    n = int(c.sum())
     k = max(1, min(k, n))
-    x = np.sort(x.astype(float))
-    means = x[[(i * n + n // 2) // k for i in range(k)]].copy()
-    weights, variances = np.full(k, 1.0 / k), np.full(k, max(x.var(), 1e-10))
+    means = x[np.searchsorted(np.cumsum(c), [(i * n + n // 2) // k for i in range(k)], side="right")].copy()
+    mean = (c * x).sum() / n
+    weights, variances = np.full(k, 1.0 / k), np.full(k, max((c * (x - mean) ** 2).sum() / n, 1e-10))
     before = -np.inf
     for _ in range(rounds):
         log = np.log(weights) - 0.5 * np.log(2 * np.pi * variances) - 0.5 * (x[:, None] - means) ** 2 / variances
         top = log.max(axis=1, keepdims=True)
         each = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-        total = each.sum()
+        total = (c * each).sum()
         if abs(total - before) < tolerance:
             break
         before = total
-        share = np.exp(log - each[:, None])
+        share = np.exp(log - each[:, None]) * c[:, None]
         mass = share.sum(axis=0)
         live = mass >= 1e-10
         weights = np.where(live, mass / n, weights)
@@ -122,29 +129,94 @@ def root_duration_stats(a: DataFrame) -> DataFrame:
     )
 
 
-def root_durations(a: DataFrame, config: ModelConfig, sample: int = 200_000) -> DataFrame:
-    """Mixtures of log(root duration + 1) per bucket, feature and child count.
+ROOT = ("bucket", "feature", "child_count")
+FITTED = "bucket bigint, feature string, child_count bigint, n bigint, lo bigint, hi bigint, weights array<double>, means array<double>, variances array<double>"
 
-    A group's fit takes at most ``sample`` values, those of least hash, so that one hot root doesn't gather in a
-    task; counts and bounds come from all rows.
+
+def root_durations(a: DataFrame, config: ModelConfig, distinct: int = 10_000) -> DataFrame:
+    """Mixtures of log(root duration + 1) per bucket, feature and child count, each fitted on all roots.
+
+    Roots are counted per duration first. A group of at most ``distinct`` durations is fitted in one task from its
+    counts; larger ones are fitted by the same rounds as grouped sums, so that none gathers in a task.
     """
     most = config.max_gmm_components
-    roots = a.where("is_root").select("bucket", "feature", "child_count", "trace_id", "span_id", "dur_us")
-    stats = root_duration_stats(a).select("bucket", "feature", "child_count", "n", "lo", "hi")
-    keep = F.xxhash64("trace_id", "span_id").bitwiseAND(F.lit((1 << 30) - 1)) <= F.lit(float(1 << 30)) * sample / F.col("n")
-    chosen = roots.join(stats, ["bucket", "feature", "child_count"]).where(keep)
+    counts = stored(a.where("is_root").groupBy(*ROOT, "dur_us").agg(F.count(F.lit(1)).alias("c")), "root_counts")
+    groups = counts.groupBy(*ROOT).agg(
+        F.sum("c").alias("n"), F.min("dur_us").alias("lo"), F.max("dur_us").alias("hi"), F.count(F.lit(1)).alias("_d")
+    )
+    groups = stored(groups.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / 10))).cast("int")), "root_groups")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        first, n = group.iloc[0], len(group)
-        k = min(most, max(1, n // 10))
-        w, m, v = gaussian_mixture(np.log1p(group["dur_us"].to_numpy(dtype=float)), k)
+        first = group.iloc[0]
+        w, m, v = gaussian_mixture(np.log1p(group["dur_us"].to_numpy(dtype=float)), int(first["k"]), count=group["c"].to_numpy())
         return pd.DataFrame(
             [[first["bucket"], first["feature"], first["child_count"], first["n"], first["lo"], first["hi"], w.tolist(), m.tolist(), np.maximum(v, 1e-6).tolist()]],
             columns=["bucket", "feature", "child_count", "n", "lo", "hi", "weights", "means", "variances"],
         )
 
-    schema = "bucket bigint, feature string, child_count bigint, n bigint, lo bigint, hi bigint, weights array<double>, means array<double>, variances array<double>"
-    return chosen.groupBy("bucket", "feature", "child_count").applyInPandas(fit, schema)
+    # The join spreads by duration as well, and only small groups are gathered after it.
+    small = counts.join(groups.where(F.col("_d") <= distinct).drop("_d"), list(ROOT)).groupBy(*ROOT).applyInPandas(fit, FITTED)
+    large = groups.where(F.col("_d") > distinct).drop("_d")
+    return small if large.isEmpty() else small.unionByName(wide_mixtures(counts, large))
+
+
+def wide_mixtures(counts: DataFrame, groups: DataFrame, rounds: int = 100, tolerance: float = 1e-6, salts: int = 64) -> DataFrame:
+    """The rounds of gaussian_mixture for groups of any size, over counts per duration: each round joins the values
+    with the group's components and sums the responsibilities."""
+    key = list(ROOT)
+    x = F.log1p(F.col("dur_us").cast("double"))
+    # Running counts in two steps: over whole ranges of sorted values, then within a range.
+    values = counts.join(groups.select(*key), key, "left_semi").repartitionByRange(256, *key, "dur_us")
+    values = stored(values.select(*key, "dur_us", "c", x.alias("x"), F.spark_partition_id().alias("part")), "root_values")
+    whole = values.groupBy(*key, "part").agg(F.sum("c").alias("_s"))
+    whole = whole.withColumn("_before", F.sum("_s").over(W.partitionBy(*key).orderBy("part")) - F.col("_s")).drop("_s")
+    upto = F.sum("c").over(W.partitionBy(*key, "part").orderBy("dur_us"))
+    ends = values.withColumn("_upto", upto).join(whole, [*key, "part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    index = F.expr("transform(sequence(0, k - 1), j -> (j * n + n div 2) div k)")
+    hits = F.filter("_index", lambda p: (p >= F.col("_upto") - F.col("c")) & (p < F.col("_upto")))
+    starts = ends.join(groups.select(*key, index.alias("_index")), key).select(*key, "x", F.explode(hits).alias("_p"))
+    starts = starts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "x"))), lambda s: s["x"]).alias("means"))
+    mean = values.groupBy(*key).agg((F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("_m"))
+    salt = F.pmod(F.xxhash64("dur_us"), F.lit(salts)).alias("salt")
+    each_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt")
+    values = stored(values.select(*key, "x", "c", salt), "root_values")
+    away = values.join(mean.select("*", each_salt), [*key, "salt"]).groupBy(*key).agg(
+        (F.sum(F.col("c") * (F.col("x") - F.col("_m")) * (F.col("x") - F.col("_m"))) / F.sum("c")).alias("_v")
+    )
+    fit = groups.join(starts, key).join(away, key).select(
+        *key, "n", "lo", "hi", F.transform(F.sequence(F.lit(1), "k"), lambda _: F.lit(1.0) / F.col("k")).alias("weights"), "means",
+        F.transform(F.sequence(F.lit(1), "k"), lambda _: F.greatest("_v", F.lit(1e-10))).alias("variances"),
+        F.lit(float("-inf")).alias("before"), F.lit(False).alias("done"),
+    )
+    fit = stored(fit, "mixtures")
+    for _ in range(rounds):
+        active = fit.where("NOT done")
+        if active.isEmpty():
+            break
+        v = values.join(active.select(*key, "weights", "means", "variances", each_salt), [*key, "salt"])
+        log = F.expr("transform(weights, (w, j) -> ln(w) - 0.5 * ln(2 * pi() * variances[j]) - 0.5 * (x - means[j]) * (x - means[j]) / variances[j])")
+        v = v.select(*key, "x", "c", "means", log.alias("log")).withColumn("top", F.array_max("log"))
+        v = v.withColumn("each", F.col("top") + F.log(F.aggregate("log", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("top")))))
+        v = v.select(*key, "x", "c", "means", "each", F.posexplode("log").alias("j", "z"))
+        v = v.withColumn("share", F.exp(F.col("z") - F.col("each")) * F.col("c")).withColumn("d", F.col("x") - F.get("means", F.col("j")))
+        sums = v.groupBy(*key, "j").agg(
+            F.sum(F.col("c") * F.col("each")).alias("total"), F.sum("share").alias("mass"),
+            F.sum(F.col("share") * F.col("d")).alias("s1"), F.sum(F.col("share") * F.col("d") * F.col("d")).alias("s2"),
+        )
+        sums = sums.groupBy(*key).agg(
+            F.max(F.when(F.col("j") == 0, F.col("total"))).alias("total"), F.array_sort(F.collect_list(F.struct("j", "mass", "s1", "s2"))).alias("s")
+        )
+        live = "s[j].mass >= 1e-10"
+        step = active.join(sums, key).withColumn("done", F.abs(F.col("total") - F.col("before")) < tolerance)
+        step = step.select(
+            *key, "n", "lo", "hi",
+            F.expr(f"transform(weights, (w, j) -> IF(done OR NOT {live}, w, s[j].mass / n))").alias("weights"),
+            F.expr(f"transform(means, (m, j) -> IF(done OR NOT {live}, m, m + s[j].s1 / s[j].mass))").alias("means"),
+            F.expr(f"transform(variances, (v, j) -> IF(done OR NOT {live}, v, greatest(s[j].s2 / s[j].mass - pow(s[j].s1 / s[j].mass, 2), 1e-6)))").alias("variances"),
+            F.col("total").alias("before"), "done",
+        )
+        fit = stored(fit.where("done").unionByName(step), "mixtures")
+    return fit.select(*key, "n", "lo", "hi", "weights", "means", F.transform("variances", lambda z: F.greatest(z, F.lit(1e-6))).alias("variances"))
 
 
 def pair_samples(a: DataFrame, config: ModelConfig) -> DataFrame:
