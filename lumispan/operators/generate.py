@@ -19,8 +19,14 @@ def generated_roots(model: Model) -> DataFrame:
     c = model.config
     start = model.tables["start"].select("bucket", "trace_type", "feature", "child_count", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
     name = F.md5(F.concat_ws(":", F.lit(c.seed), "bucket", "trace_type", "feature", "child_count", "i"))
+    return drawn_roots(start.withColumn("trace_id", name).drop("i"), model)
+
+
+def drawn_roots(roots: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Roots of known trace, feature and child count with a start and a duration; ``keep`` names columns to carry."""
+    c = model.config
     meta = model.tables["bucket_meta"].select("bucket", "first_us", "last_us", "max_tree")
-    roots = start.withColumn("trace_id", name).drop("i").join(meta, "bucket")
+    roots = roots.join(meta, "bucket")
     mix = model.tables["root_durations"].drop("n")
     roots = roots.join(mix, ["bucket", "feature", "child_count"], "left")
 
@@ -42,7 +48,7 @@ def generated_roots(model: Model) -> DataFrame:
         "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", F.lit("0"))).alias("span_id"),
         F.lit(None).cast("string").alias("parent_span_id"), "feature", "child_count", F.lit("0").alias("path"), F.lit(0).cast("bigint").alias("depth"),
         (F.col("first_us") + F.floor(uniform("start", F.lit(c.seed), F.col("trace_id")) * room)).cast("bigint").alias("start_us"),
-        F.greatest(F.lit(1), F.coalesce(value, F.lit(1.0)).cast("bigint")).alias("dur_us"), "max_tree",
+        F.greatest(F.lit(1), F.coalesce(value, F.lit(1.0)).cast("bigint")).alias("dur_us"), "max_tree", *keep,
     )
 
 
@@ -64,8 +70,9 @@ def children_of(level: DataFrame, model: Model) -> DataFrame:
     return timed(s, model)
 
 
-def timed(s: DataFrame, model: Model) -> DataFrame:
-    """Gap and duration of each child relative to its parent, then bounds, then absolute times."""
+def timed(s: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Gap and duration of each child relative to its parent, then bounds, then absolute times; ``keep`` names columns
+    to carry."""
     c = model.config
     pair = ["bucket", "parent", "feature"]
     x = F.when(F.col("parent_count") > 1, F.col("position") / (F.col("parent_count") - 1)).otherwise(0.0)
@@ -108,7 +115,7 @@ def timed(s: DataFrame, model: Model) -> DataFrame:
     return s.select(
         "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", "path")).alias("span_id"), "parent_span_id", "feature", "child_count", "path",
         (F.col("depth") + 1).alias("depth"), (F.col("p_start") + F.floor(F.col("_gap") * F.col("_q"))).cast("bigint").alias("start_us"),
-        F.greatest(F.lit(1), F.floor(F.col("_dur") * F.col("_q")).cast("bigint")).alias("dur_us"), "max_tree",
+        F.greatest(F.lit(1), F.floor(F.col("_dur") * F.col("_q")).cast("bigint")).alias("dur_us"), "max_tree", *keep,
     )
 
 
@@ -146,14 +153,36 @@ def with_attributes(spans: DataFrame, model: Model) -> DataFrame:
     return spans
 
 
+def template_edges(nodes: DataFrame) -> DataFrame:
+    """From the nodes of templates in breadth-first order: tree, i and position of each parent's children. The children
+    of a node follow those of the nodes before it."""
+    before = F.sum("child_count").over(W.partitionBy("tree").orderBy("i")) - F.col("child_count")
+    up = nodes.withColumn("_first", before + 1).where("child_count > 0")
+    position = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("child_count") - 1)).alias("position")
+    up = up.select("tree", F.col("i").alias("parent_i"), F.col("feature").alias("parent"), F.col("child_count").alias("parent_count"), "_first", position)
+    return up.withColumn("i", F.col("_first") + F.col("position")).drop("_first").join(nodes, ["tree", "i"])
+
+
 def from_templates(model: Model) -> DataFrame:
-    """Exactly the trees that were seen, as often as they were seen."""
+    """Exactly the trees that were seen, as often as they were seen, with drawn times and attributes."""
     c = model.config
-    t = model.tables["templates"].select("bucket", "trace_type", "template", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
-    t = t.withColumn("trace_id", F.md5(F.concat_ws(":", F.lit(c.seed), "bucket", "trace_type", "template", "i")))
-    nodes = t.select("bucket", "trace_type", "trace_id", F.posexplode(F.split("template", ";")).alias("i", "node"))
-    part = F.split("node", r"\|")
-    return nodes.select(
-        "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", "i")).alias("span_id"), part[0].cast("bigint").alias("depth"),
-        part[1].alias("feature"), part[2].cast("bigint").alias("child_count"), F.col("i").cast("bigint").alias("place"),
-    )
+    tree = F.md5(F.concat_ws(":", "bucket", "trace_type", F.to_json("nodes"))).alias("tree")
+    t = stored(model.tables["templates"].select("bucket", "trace_type", tree, "nodes", "n"), "template_trees")
+    nodes = t.select("tree", F.posexplode("nodes").alias("i", "node")).select("tree", F.col("i").cast("bigint").alias("i"), "node.feature", "node.child_count")
+    edges = stored(template_edges(nodes), "template_edges")
+    first = F.get("nodes", 0)
+    roots = t.select("bucket", "trace_type", "tree", first["feature"].alias("feature"), first["child_count"].alias("child_count"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("seq"))
+    roots = roots.withColumn("trace_id", F.md5(F.concat_ws(":", F.lit(c.seed), "tree", "seq"))).withColumn("i", F.lit(0).cast("bigint"))
+    level = stored(drawn_roots(roots, model, ("tree", "i")), "generated")
+    out = level
+    while True:
+        up = level.where("child_count > 0").select(
+            "bucket", "trace_type", "trace_id", "tree", F.col("i").alias("parent_i"), F.col("span_id").alias("parent_span_id"),
+            F.col("path").alias("_path"), F.col("start_us").alias("p_start"), F.col("dur_us").alias("p_dur"), "depth", "max_tree",
+        )
+        s = up.join(edges, ["tree", "parent_i"]).withColumn("path", F.concat_ws(".", "_path", "position")).withColumnRenamed("i", "tree_i")
+        level = stored(timed(s, model, ("tree", "tree_i")).withColumnRenamed("tree_i", "i"), "generated")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return with_attributes(out.drop("tree", "i", "max_tree"), model)

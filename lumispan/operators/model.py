@@ -66,7 +66,7 @@ def topology_edges(a: DataFrame) -> DataFrame:
 def template_table(a: DataFrame) -> DataFrame:
     t = templates(a.drop("p_span_id", "position", "siblings", "normal_position", "child_count"))
     roots = a.where("is_root").select("trace_id", F.col("span_id").alias("root"), "bucket", "trace_type")
-    return t.join(roots, ["trace_id", "root"]).groupBy("bucket", "trace_type", "template", "size").agg(F.count(F.lit(1)).alias("n"))
+    return t.join(roots, ["trace_id", "root"]).groupBy("bucket", "trace_type", "nodes", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
 def duration_bounds(a: DataFrame) -> DataFrame:

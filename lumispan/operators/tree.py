@@ -100,7 +100,7 @@ def component_sizes(spans: DataFrame) -> DataFrame:
 
 def templates(spans: DataFrame) -> DataFrame:
     """Per root: trace_id, root, template (its tree in breadth-first order as depth, feature and child
-    count of each node), size. Siblings stand in order of their positions."""
+    count of each node), nodes (the same as structs), size. Siblings stand in order of their positions."""
     p = positioned(spans)
     kin = p.select("trace_id", "span_id", "feature", "child_count", "position", "p_span_id")
     path = closure(spans).join(
@@ -113,11 +113,12 @@ def templates(spans: DataFrame) -> DataFrame:
     key = F.concat_ws(
         "/", F.transform(F.coalesce("_a", F.array().cast("array<struct<d:bigint,p:string>>")), lambda x: x["p"]), F.lpad("position", 4, "0")
     )
-    node = F.struct("depth", key.alias("path"), F.concat_ws("|", "depth", "feature", "child_count").alias("node"))
-    return rows.groupBy("trace_id", "root").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["node"]), ";").alias("template"),
-        F.count(F.lit(1)).alias("size"),
+    node = F.struct("depth", key.alias("path"), F.struct("depth", "feature", "child_count").alias("node"))
+    trees = rows.groupBy("trace_id", "root").agg(
+        F.transform(F.array_sort(F.collect_list(node)), lambda x: x["node"]).alias("nodes"), F.count(F.lit(1)).alias("size")
     )
+    text = F.array_join(F.transform("nodes", lambda x: F.concat_ws("|", x["depth"], x["feature"], x["child_count"])), ";")
+    return trees.select("trace_id", "root", text.alias("template"), "nodes", "size")
 
 
 def paths(spans: DataFrame, length: int = 5) -> DataFrame:

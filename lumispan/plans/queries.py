@@ -152,7 +152,7 @@ def queries() -> dict[str, Query]:
         "model_size": _q(lambda s: model.train(s, CONFIG).sizes()),
         "generated_spans": _generated(CONFIG),
         "generated_percentile": _generated(ModelConfig(bucket_us=DAY_US, offset_model="percentile")),
-        "generated_templates": _generated(ModelConfig(bucket_us=DAY_US, topology_mode="template")),
+        "generated_templates": _generated(ModelConfig(bucket_us=DAY_US, topology_mode="template", dependent=("k",))),
         "head_sample": _sampled_ids(lambda s: samplers.head(s, HEAD)),
         "tail_classes": _q(lambda s: samplers.classified(s)),
         "tail_sample": _sampled_ids(samplers.tail),

@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from lumispan.operators import model
-from lumispan.schema import ModelConfig
+from lumispan.operators import generate, model, normalise
+from lumispan.schema import MINUTE_US, SPAN, ModelConfig
 
 
 def test_mixtures_are_fitted_on_all_roots(spark):
@@ -20,3 +20,32 @@ def test_mixtures_are_fitted_on_all_roots(spark):
         assert got["hot"]["weights"] == pytest.approx(w, abs=1e-6)
         assert got["hot"]["means"] == pytest.approx(m, abs=1e-6) and got["hot"]["variances"] == pytest.approx(v, abs=1e-6)
         assert got["one"]["means"] == pytest.approx([np.log(8)])
+
+
+def test_template_mode_generates_whole_spans(spark):
+    rows = []
+    for t in range(3):
+        at = 1_000_000 * (t + 1)
+        rows += [
+            (f"t{t}", "a", None, "front", "GET /a;b|c", "SERVER", "0", at, 9000, {"k": "x"}),
+            (f"t{t}", "b", "a", "mid", "m", "SERVER", "0", at + 100, 4000, {"k": "y"}),
+            (f"t{t}", "c", "a", "mid", "n", "SERVER", "0", at + 5000, 3000, {"k": "y"}),
+            (f"t{t}", "d", "c", "db", "q", "CLIENT", "0", at + 5500, 1000, {"k": "z"}),
+        ]
+    s = normalise.derived(spark.createDataFrame(rows, SPAN), MINUTE_US)
+    config = ModelConfig(topology_mode="template", dependent=("k",))
+    out = generate.generate(model.train(s, config))
+    edge = generate.generate(model.train(s, ModelConfig(dependent=("k",))))
+    assert sorted(out.columns) == sorted(edge.columns)
+    got = out.collect()
+    assert len(got) == 12 and len({r["span_id"] for r in got}) == 12
+    by_id = {r["span_id"]: r for r in got}
+    op = lambda r: next(p[10:] for p in r["feature"].split("\0") if p.startswith("operation="))
+    edges = sorted((op(by_id[r["parent_span_id"]]), op(r), r["k"]) for r in got if r["parent_span_id"])
+    assert edges == sorted([("GET /a;b|c", "m", "y"), ("GET /a;b|c", "n", "y"), ("n", "q", "z")] * 3)
+    for r in got:
+        if r["parent_span_id"] is None:
+            assert r["dur_us"] == 9000 and 1_000_000 <= r["start_us"] <= 3_000_000 and r["k"] == "x"
+        else:
+            p = by_id[r["parent_span_id"]]
+            assert p["trace_id"] == r["trace_id"] and p["start_us"] <= r["start_us"] and r["start_us"] + r["dur_us"] <= p["start_us"] + p["dur_us"]
