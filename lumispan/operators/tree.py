@@ -58,9 +58,12 @@ def rooted(spans: DataFrame) -> DataFrame:
         F.when(F.col("p_span_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
         F.col("p_span_id").isNull().alias("done"),
     )
-    for _ in range(32):
+    left = -1
+    while True:
         s = stored(s, "pointers")
-        if s.where(~F.col("done")).isEmpty():
+        # Depths have no gaps: a round that ends no span leaves only cycles and what hangs on them.
+        before, left = left, s.where(~F.col("done")).count()
+        if left in (0, before):
             break
         up = s.select(
             F.col("trace_id"), F.col("span_id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("done").alias("_o")
@@ -76,21 +79,24 @@ def rooted(spans: DataFrame) -> DataFrame:
 
 
 def closure(spans: DataFrame) -> DataFrame:
-    """Every span with each of its ancestors: trace_id, span_id, ancestor, distance."""
-    parent = with_parent(spans, [], "inner").select("trace_id", "span_id", F.col("p_span_id").alias("ancestor"))
-    parent = stored(parent, "parents")
-    up = parent.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("_next"))
-    level = parent.withColumn("distance", F.lit(1).cast("bigint"))
-    out, n = level, 1
-    while n < 100:
-        level = level.join(up, ["trace_id", "ancestor"]).select(
-            "trace_id", "span_id", F.col("_next").alias("ancestor"), (F.col("distance") + 1).alias("distance")
+    """Every span with each of its ancestors: trace_id, span_id, ancestor, distance. Spans on or below a cycle are left out.
+
+    Reach doubles: those that are exactly as far as the pairs reach take on the pairs of their ancestor, so a tree of
+    depth d takes log2(d) joins.
+    """
+    ended = rooted(spans).select("trace_id", "span_id")
+    parent = with_parent(spans.join(ended, ["trace_id", "span_id"], "left_semi"), [], "inner")
+    out = stored(parent.select("trace_id", "span_id", F.col("p_span_id").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")), "parents")
+    reach = 1
+    while True:
+        up = out.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("distance").alias("_d"))
+        further = out.where(F.col("distance") == reach).join(up, ["trace_id", "ancestor"]).select(
+            "trace_id", "span_id", F.col("_next").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance")
         )
-        level = stored(level, "ancestors")
-        if level.isEmpty():
-            break
-        out, n = out.unionByName(level), n + 1
-    return out
+        further = stored(further, "ancestors")
+        if further.isEmpty():
+            return out
+        out, reach = out.unionByName(further), 2 * reach
 
 
 def component_sizes(spans: DataFrame) -> DataFrame:
@@ -107,12 +113,11 @@ def templates(spans: DataFrame) -> DataFrame:
         kin.select("trace_id", F.col("span_id").alias("ancestor"), F.col("position").alias("_p")), ["trace_id", "ancestor"]
     )
     above = path.groupBy("trace_id", "span_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.lpad(F.col("_p"), 4, "0").alias("p")))).alias("_a")
+        F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_p").alias("p")))).alias("_a")
     )
     rows = kin.join(above, ["trace_id", "span_id"], "left").join(rooted(spans), ["trace_id", "span_id"])
-    key = F.concat_ws(
-        "/", F.transform(F.coalesce("_a", F.array().cast("array<struct<d:bigint,p:string>>")), lambda x: x["p"]), F.lpad("position", 4, "0")
-    )
+    above_ = F.transform(F.coalesce("_a", F.array().cast("array<struct<d:bigint,p:bigint>>")), lambda x: x["p"])
+    key = F.concat(above_, F.array("position"))
     node = F.struct("depth", key.alias("path"), F.struct("depth", "feature", "child_count").alias("node"))
     trees = rows.groupBy("trace_id", "root").agg(
         F.transform(F.array_sort(F.collect_list(node)), lambda x: x["node"]).alias("nodes"), F.count(F.lit(1)).alias("size")
