@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expressions import hash32
-from .tree import paths
 
 
 def head(spans: DataFrame, rate: int, seed: int = 42) -> DataFrame:
@@ -46,43 +45,73 @@ hindsight = tail
 
 
 class PathModel:
-    """A next-span predictor over paths of five: the mean of four embeddings, then a softmax over the vocabulary."""
+    """Predicts the middle of a path of five: the four other embeddings side by side, a layer, a softmax over the vocabulary."""
 
     def __init__(self, vocabulary: int, width: int = 10, rate: float = 0.01, seed: int = 42) -> None:
         r = np.random.default_rng(seed)
-        edge = np.sqrt(6.0 / (vocabulary + width))
-        self.inner, self.outer = r.uniform(-edge, edge, (vocabulary, width)), r.uniform(-edge, edge, (width, vocabulary))
+        self.inner = r.normal(0.0, np.sqrt(2.0 / (vocabulary + width)), (vocabulary, width))
+        self.outer = r.normal(0.0, np.sqrt(2.0 / (4 * width + vocabulary)), (vocabulary, 4 * width))
         self.rate = rate
 
     def learn(self, path: list[int]) -> float:
         """The loss of a path before the step that it causes."""
-        context, target = path[:-1], path[-1]
-        h = self.inner[context].mean(axis=0)
-        z = h @ self.outer
+        context, target = [*path[:2], *path[3:]], path[2]
+        h = self.inner[context].ravel()
+        z = self.outer @ h
         p = np.exp(z - z.max())
         p /= p.sum()
-        loss = -np.log(max(p[target], 1e-12))
+        loss = -np.log(max(p[target], 1e-30))
         p[target] -= 1.0
-        back = self.outer @ p
-        self.outer -= self.rate * np.outer(h, p)
-        np.subtract.at(self.inner, context, self.rate * back / len(context))
+        back = p @ self.outer
+        self.outer -= self.rate * np.outer(p, h)
+        np.subtract.at(self.inner, context, self.rate * back.reshape(4, -1))
         return float(loss)
 
 
-def sifter(spans: DataFrame, rate: int, window: int = 50, seed: int = 42, shards: int = 64) -> DataFrame:
+def keep_probability(recent: list[float], loss: float, rate: int, window: int) -> float:
+    """1 until ``window`` traces were seen; then by the loss above the least of the last ``window`` ones."""
+    if len(recent) < window:
+        return 1.0
+    least = min(recent)
+    over = loss - least
+    total = sum(x - least for x in recent) + over
+    p = 1.0 / rate if total < 1e-30 else over / total * (window + 1) / rate
+    return min(1.0, max(0.0, p))
+
+
+def walked_paths(ids: list[str], ups: list[str], numbers: list[int], length: int = 5) -> list[list[int]]:
+    """The paths that end at each span of a trace, depth first; spans come in order of their start."""
+    at = {x: i for i, x in enumerate(ids)}
+    below: dict[int, list[int]] = {}
+    roots = []
+    for i in at.values():
+        up = at.get(ups[i])
+        (roots if up is None else below.setdefault(up, [])).append(i)
+    out, todo = [], [(i, ()) for i in reversed(roots)]
+    while todo:
+        i, above = todo.pop()
+        chain = (*above, int(numbers[i]))[-length:]
+        if len(chain) == length:
+            out.append(list(chain))
+        todo += [(j, chain) for j in reversed(below.get(i, []))]
+    return out
+
+
+def sifter(spans: DataFrame, rate: int, window: int = 50, seed: int = 42, shards: int = 1) -> DataFrame:
     """Spans of traces kept with a probability that follows how badly their paths were predicted.
 
-    Traces are learned in order of their start, which is a fold. It runs over ``shards`` independent streams,
-    dealt by hash of the trace, each with its own model, as parallel collectors would; one shard gives the
-    fold over everything. The vocabulary is fitted on all spans.
+    Traces are learned in order of their start, which is a fold over everything: one model, one window of losses, one
+    task. With more ``shards`` the traces are dealt by hash over independent streams, as parallel collectors would,
+    each with its own model and its own warm-up of ``window`` kept traces. The vocabulary is fitted on all spans.
     """
     vocabulary = spans.select("feature").distinct()
     size = vocabulary.count()
     numbers = vocabulary.withColumn("number", F.row_number().over(W.orderBy("feature")) - 1)
-    hops = paths(spans).select("trace_id", "span_id", F.posexplode("path").alias("i", "feature")).join(numbers, "feature")
-    hops = hops.groupBy("trace_id", "span_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "number"))), lambda x: x["number"]).alias("p"))
-    per = hops.groupBy("trace_id").agg(F.array_sort(F.collect_list("p")).alias("paths"))
-    traces = spans.groupBy("trace_id").agg(F.min("start_us").alias("start_us")).join(per, "trace_id", "left")
+    nodes = spans.select("trace_id", "span_id", "parent_span_id", "start_us", "feature").join(numbers, "feature")
+    traces = nodes.groupBy("trace_id").agg(
+        F.min("start_us").alias("start_us"), F.array_sort(F.collect_list(F.struct("start_us", "span_id", "parent_span_id", "number"))).alias("s")
+    )
+    traces = traces.select("trace_id", "start_us", *[F.col(f"s.{c}").alias(c) for c in ("span_id", "parent_span_id", "number")])
     traces = traces.withColumn("shard", F.pmod(hash32("shard", F.col("trace_id")), F.lit(shards)))
     draw = (hash32("sifter", F.lit(seed), F.col("trace_id")) + 0.5) / float(1 << 32)
     traces = traces.withColumn("draw", draw).repartition("shard").sortWithinPartitions("shard", "start_us", "trace_id")
@@ -91,20 +120,13 @@ def sifter(spans: DataFrame, rate: int, window: int = 50, seed: int = 42, shards
         now, model, recent = None, None, []
         for batch in batches:
             keep, losses = [], []
-            for shard, found, u in zip(batch["shard"], batch["paths"], batch["draw"], strict=True):
+            for shard, ids, ups, found, u in zip(*(batch[c] for c in ("shard", "span_id", "parent_span_id", "number", "draw")), strict=True):
                 if shard != now:
                     now, model, recent = shard, PathModel(max(size, 1), seed=seed), []
-                each = [model.learn([int(x) for x in p]) for p in (found if found is not None else [])]
+                each = [model.learn(p) for p in walked_paths(ids, ups, found)]
                 loss = float(np.mean(each)) if each else 0.0
-                if len(recent) < window:
-                    p = 1.0
-                else:
-                    past = np.array([*recent, loss])
-                    weight = past - past.min()
-                    total = weight.sum()
-                    p = 1.0 / rate if total <= 0 else min(1.0, weight[-1] / total * (window + 1) / rate)
+                keep.append(bool(u < keep_probability(recent, loss, rate, window)))
                 recent = [*recent, loss][-window:]
-                keep.append(bool(u <= p))
                 losses.append(loss)
             yield pd.DataFrame({"trace_id": batch["trace_id"], "loss": losses, "kept": keep})
 

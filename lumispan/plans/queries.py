@@ -157,7 +157,8 @@ def queries() -> dict[str, Query]:
         "tail_classes": _q(lambda s: samplers.classified(s)),
         "tail_sample": _sampled_ids(samplers.tail),
         "hindsight_sample": _sampled_ids(samplers.hindsight),
-        "sifter_sample": _q(lambda s: samplers.sifter(s, HEAD)),
+        # Conversations, whose paths have up to eight spans; those of events have four.
+        "sifter_sample": lambda spark, sf_dir: samplers.sifter(normalise.derived(conversations_as_spans(spark, sf_dir), DAY_US), HEAD),
         "gzip_size": _q(samplers.gzip_bytes),
         "arrow_size": _q(samplers.arrow_bytes),
         "service_stats": _q(lambda s: _r(diagnosis.service_stats(s), "mean_us", digits=4)),

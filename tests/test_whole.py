@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumispan.operators import generate, model, normalise
+from lumispan.functions.expressions import hash32
+from lumispan.operators import generate, model, normalise, samplers
+from lumispan.plans.queries import queries
 from lumispan.schema import MINUTE_US, SPAN, ModelConfig
 
 
@@ -49,3 +52,32 @@ def test_template_mode_generates_whole_spans(spark):
         else:
             p = by_id[r["parent_span_id"]]
             assert p["trace_id"] == r["trace_id"] and p["start_us"] <= r["start_us"] and r["start_us"] + r["dur_us"] <= p["start_us"] + p["dur_us"]
+
+
+def test_sifter_is_one_fold(spark):
+    r = np.random.default_rng(5)
+    rows, chains = [], []
+    for t in range(130):
+        names = [str(x) for x in r.integers(0, 4 if t % 13 else 9, 7)]
+        chains.append(names)
+        rows += [(f"t{t:03d}", f"t{t}-{i}", f"t{t}-{i - 1}" if i else None, n, 1000 * t + i) for i, n in enumerate(names)]
+    s = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, feature string, start_us bigint")
+    got = {x["trace_id"]: x for x in samplers.sifter(s, 4).collect()}
+    draws = {x["trace_id"]: x["u"] for x in s.select("trace_id", ((hash32("sifter", F.lit(42), F.col("trace_id")) + 0.5) / float(1 << 32)).alias("u")).collect()}
+    number = {f: i for i, f in enumerate(sorted({n for c in chains for n in c}))}
+    m, seen = samplers.PathModel(len(number)), []
+    for t, names in enumerate(chains):
+        c = [number[n] for n in names]
+        loss = np.mean([m.learn(c[i : i + 5]) for i in range(3)])
+        p = 1.0
+        if len(seen) >= 50:
+            least, last = min(seen[-50:]), seen[-50:]
+            p = (loss - least) / (sum(last) - 50 * least + loss - least) * 51 / 4
+        row = got[f"t{t:03d}"]
+        assert row["loss"] == pytest.approx(loss) and row["kept"] == (draws[f"t{t:03d}"] < p)
+        seen.append(loss)
+    assert 50 < sum(x["kept"] for x in got.values()) < 130
+
+
+def test_sifter_query_learns(spark):
+    assert queries()["sifter_sample"](spark, "/root/testdata/sf0.001").where("loss > 0").count() > 0
