@@ -130,7 +130,9 @@ def generate(model: Model) -> DataFrame:
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    breadth = W.partitionBy("trace_id").orderBy("depth", "path")
+    # Places are numbers: the tenth child comes after the second.
+    place = F.transform(F.split("path", r"\."), lambda x: x.cast("int"))
+    breadth = W.partitionBy("trace_id").orderBy("depth", place)
     out = out.withColumn("_n", F.row_number().over(breadth)).where("_n <= max_tree")
     return with_attributes(out.drop("_n", "max_tree"), model)
 

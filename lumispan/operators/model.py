@@ -322,9 +322,9 @@ def table_names(config: ModelConfig) -> list[str]:
 
 
 def train(spans: DataFrame, config: ModelConfig) -> Model:
-    """All tables of the model of derived spans."""
-    a = annotated(spans)
-    samples = pair_samples(a, config)
+    """All tables of the model of derived spans, stored: what is trained once is read by every level of generation."""
+    a = stored(annotated(spans), "annotated")
+    samples = stored(pair_samples(a, config), "pair_samples")
     build = {
         "vocabulary": lambda: node_vocabulary(a),
         "start": lambda: start_table(a),
@@ -338,4 +338,4 @@ def train(spans: DataFrame, config: ModelConfig) -> Model:
         "pair_memorised": lambda: pair_memorised(samples),
         "bucket_meta": lambda: bucket_meta(a),
     } | {f"attribute_{d}": (lambda d=d: attribute_shares(samples, d)) for d in config.dependent}
-    return Model({n: build[n]() for n in table_names(config)}, config)
+    return Model({n: stored(build[n](), n) for n in table_names(config)}, config)

@@ -20,6 +20,22 @@ def head(spans: DataFrame, rate: int, seed: int = 42) -> DataFrame:
     return spans.where(hash32("head", F.lit(seed), F.col("trace_id")) < (1 << 32) // rate)
 
 
+def value_at(counts: DataFrame, value: str, count: str, share: float) -> DataFrame:
+    """One row: the value at position floor(share * n), from 0, of n values that are given with their counts.
+
+    Values are cut at powers of 2^(1/64), some thousands of parts at most; running sums over the parts tell in which one the
+    position lies, and only that part's values are put in order.
+    """
+    part = F.floor(F.log2(F.greatest(F.col(value), F.lit(0)).cast("double") + 1.0) * 64)
+    c = counts.withColumn("_part", part)
+    sums = c.groupBy("_part").agg(F.sum(count).alias("_s"))
+    sums = sums.withColumn("_upto", F.sum("_s").over(W.orderBy("_part"))).withColumn("_at", F.floor(F.sum("_s").over(W.partitionBy(F.lit(1))) * share))
+    here = sums.where(F.col("_upto") > F.col("_at")).agg(F.min(F.struct("_part", (F.col("_upto") - F.col("_s")).alias("_before"), "_at")).alias("_h"))
+    here = here.select("_h.*")  # one row
+    inside = c.join(F.broadcast(here), "_part").withColumn("_upto", F.col("_before") + F.sum(count).over(W.orderBy(value)))
+    return inside.where(F.col("_upto") > F.col("_at")).agg(F.min(value).alias(value))
+
+
 def classified(spans: DataFrame) -> DataFrame:
     """Per trace: root_dur (largest of spans without a parent id), error_trace, interesting (an error, or a root
     longer than the 95th of 100 such traces, by position)."""
@@ -27,10 +43,7 @@ def classified(spans: DataFrame) -> DataFrame:
         F.max((F.col("status") == "2")).alias("error_trace"),
         F.coalesce(F.max(F.when(F.coalesce("parent_span_id", F.lit("")) == "", F.col("dur_us"))), F.lit(0)).alias("root_dur"),
     )
-    # The value at position floor(0.95 n): from counts per duration, a running sum over distinct durations.
-    counts = t.groupBy("root_dur").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("root_dur"))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(1))))
-    limit = upto.where(F.col("upto") > F.floor(F.col("n") * 0.95)).agg(F.min("root_dur").alias("_p95"))  # one row
+    limit = value_at(t.groupBy("root_dur").agg(F.count(F.lit(1)).alias("c")), "root_dur", "c", 0.95).withColumnRenamed("root_dur", "_p95")
     return t.crossJoin(F.broadcast(limit)).select(
         "trace_id", "root_dur", "error_trace", (F.col("error_trace") | (F.col("root_dur") > F.col("_p95"))).alias("interesting")
     )

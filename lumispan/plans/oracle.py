@@ -136,6 +136,12 @@ ks AS (SELECT service, max(CASE WHEN i < na AND j < nb THEN abs((i + 1)::double
 
 
 def oracle_sql() -> dict[str, str]:
+    from .analysis_oracle import analysis_oracle
+
+    return trace_query_sql() | analysis_oracle()
+
+
+def trace_query_sql() -> dict[str, str]:
     head = _HEAD.format(n=4)
     tail = """cl AS (SELECT trace_id, max(status) = '2' AS error_trace, max(CASE WHEN parent_span_id IS NULL THEN dur_us END) AS root_dur FROM s GROUP BY trace_id),
         p95 AS (SELECT root_dur AS p FROM (SELECT root_dur, row_number() OVER (ORDER BY root_dur) - 1 AS i, count(*) OVER () AS n FROM cl) WHERE i = floor(n * 0.95::double)),

@@ -111,6 +111,12 @@ def _tree_sizes(adapter: Callable) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from .analysis_queries import analysis_queries
+
+    return trace_query_table() | analysis_queries()
+
+
+def trace_query_table() -> dict[str, Query]:
     fixed = ["trace_id", "span_id", "parent_span_id", "service", "operation", "kind", "status", "start_us", "dur_us"]
     return {
         "duration_percentiles": _q(lambda s: _r(tq.durations_over_time(s), "p50", "p90", "p99")),

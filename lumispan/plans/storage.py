@@ -6,16 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, as in tests, one temporary folder of the
+    process, on a local master only: the executors of a cluster would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("LUMISPAN_SCRATCH")
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.environ["LUMISPAN_SCRATCH"] = tempfile.mkdtemp(prefix="lumispan-")
+    return base.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` (a temporary folder where it is unset) and
-    read it back, which ends its lineage: loops stay short and survive a lost executor."""
+    """Write ``df`` as Parquet under the shared folder and read it back, which ends its lineage: loops stay short and
+    survive a lost executor."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault(
-        "LUMISPAN_SCRATCH", tempfile.mkdtemp(prefix="lumispan-")
-    )
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -148,9 +148,9 @@ def read_otlp_proto(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, SPAN)
 
 
-def read_jaeger(spark: SparkSession, path: str) -> DataFrame:
-    """Jaeger JSON: the parent is the first CHILD_OF reference; a tag error=true is the status, not an attribute."""
-    t = spark.read.schema(JAEGER).option("multiLine", True).json(path).select(F.explode("data").alias("t"))
+def read_jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Jaeger JSON, a document per file or per line: the parent is the first CHILD_OF reference; a tag error=true is the status, not an attribute."""
+    t = spark.read.schema(JAEGER).option("multiLine", not lines).json(path).select(F.explode("data").alias("t"))
     s = t.select(F.col("t.processes").alias("p"), F.explode("t.spans").alias("s"))
     parent = F.get(F.filter(F.coalesce("s.references", F.array().cast("array<struct<refType:string,spanID:string>>")), lambda r: r["refType"] == "CHILD_OF"), 0)["spanID"]
     tags = F.coalesce("s.tags", F.array().cast("array<struct<key:string,type:string,value:string>>"))

@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators.diagnosis import ALARM, BASELINE_POINTS, SLACK
 from ..operators.generate import generate
 from ..operators.model import Model, train
 from ..operators.normalise import derived, last_wins
+from ..operators.samplers import PathModel, keep_probability
 from ..schema import ModelConfig
 
 SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service", "operation", "kind", "status", "start_us", "dur_us"]
@@ -28,11 +30,12 @@ SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service", "operation",
 class BufferConfig:
     flush_seconds: int = 120
     max_files_per_flush: int = 200
+    max_traces_per_model: int = 100_000
     watermark: str = "2 minutes"
 
     def __post_init__(self) -> None:
-        if self.flush_seconds <= 0 or self.max_files_per_flush <= 0:
-            raise ValueError("flush_seconds and max_files_per_flush must be positive")
+        if min(self.flush_seconds, self.max_files_per_flush, self.max_traces_per_model) <= 0:
+            raise ValueError("flush_seconds, max_files_per_flush and max_traces_per_model must be positive")
 
 
 def span_stream(spark: SparkSession, path: str, config: BufferConfig = BufferConfig()) -> DataFrame:
@@ -79,13 +82,18 @@ def assembled(stream: DataFrame, quiet: str = "2 minutes", quiet_ms: int = 120_0
     return grouped.applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def train_batches(stream: DataFrame, models: str, checkpoint: str, config: ModelConfig, order: str = "ts"):
-    """Train on each batch and save its model under ``models``/<batch>; a retried batch overwrites itself. Drains what
-    is there and stops, as a collector does when it shuts down."""
+def train_batches(stream: DataFrame, models: str, checkpoint: str, config: ModelConfig, order: str = "ts", buffer: BufferConfig = BufferConfig()):
+    """Train on each batch and save its model under ``models``/<batch>; a retried batch overwrites itself. A batch of more traces
+    than the buffer holds becomes several models, of the traces dealt by hash. Drains what is there and stops, as a collector
+    does when it shuts down."""
 
     def flush(batch: DataFrame, number: int) -> None:
-        spans = derived(last_wins(batch, order).drop("ts"), config.bucket_us, config.primary)
-        train(spans, config).save(f"{models}/batch={number}")
+        spans = last_wins(batch, order).drop("ts")
+        parts = -(-spans.select("trace_id").distinct().count() // buffer.max_traces_per_model)
+        for i in range(parts):
+            part = spans.where(F.pmod(F.xxhash64("trace_id"), F.lit(parts)) == i) if parts > 1 else spans
+            name = f"batch={number}" if parts == 1 else f"batch={number}-{i}"
+            train(derived(part, config.bucket_us, config.primary), config).save(f"{models}/{name}")
 
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -94,7 +102,7 @@ def regenerate_batches(spark: SparkSession, models: str, checkpoint: str, config
     """Watch for start tables of new models and hand each model's synthetic spans to ``emit``."""
     schema = "bucket bigint, trace_type string, feature string, child_count bigint, n bigint"
     found = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{models}/*/start")
-    named = found.select(F.regexp_extract(F.input_file_name(), r"(batch=\d+)", 1).alias("name"))
+    named = found.select(F.regexp_extract(F.input_file_name(), r"(batch=[\d-]+)", 1).alias("name"))
 
     def flush(batch: DataFrame, number: int) -> None:
         for row in batch.distinct().collect():  # names of the models that this trigger found
@@ -128,3 +136,27 @@ def running_cusum(series: DataFrame) -> DataFrame:
 
     out = "service string, signal string, time bigint, size double, alarm boolean"
     return series.groupBy("service", "signal").applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_sifter(traces: DataFrame, vocabulary: int, rate: int, window: int = 50, seed: int = 42) -> DataFrame:
+    """Learned sampling of a stream of traces (stream, trace_id, start_us, paths: feature numbers of its paths of five, draw in
+    [0, 1)): per stream one model that learns on, and what it keeps. Traces of a batch are taken in order of their start."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        model = PathModel(vocabulary, seed=seed)
+        recent: list[float] = []
+        if state.exists:
+            held = json.loads(state.get[0])
+            recent = held["recent"]
+            model.inner, model.outer = np.array(held["inner"]), np.array(held["outer"])
+        rows = []
+        for r in pd.concat(list(batches)).sort_values(["start_us", "trace_id"]).itertuples(index=False):
+            each = [model.learn([int(x) for x in p]) for p in r.paths]
+            loss = float(np.mean(each)) if each else 0.0
+            rows.append((r.trace_id, loss, bool(r.draw < keep_probability(recent, loss, rate, window))))
+            recent = [*recent, loss][-window:]
+        state.update((json.dumps({"recent": recent, "inner": model.inner.tolist(), "outer": model.outer.tolist()}),))
+        yield pd.DataFrame(rows, columns=["trace_id", "loss", "kept"])
+
+    out = "trace_id string, loss double, kept boolean"
+    return traces.groupBy("stream").applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)

@@ -49,3 +49,51 @@ def test_running_cusum_matches_batch(spark, tmp_path):
     q.stop()
     got = [r["time"] for r in spark.sql("select * from cusum where alarm").collect()]
     assert got == [r["time"] for r in cusum(rows).where("alarm").collect()]
+
+
+def test_assembled_traces_are_whole(spark, tmp_path):
+    path = files(spark, tmp_path, 1)
+    late = spark.read.parquet(path).limit(1).withColumn("start_us", F.lit(4_000_000_000_000_000)).withColumn("trace_id", F.lit("zz"))
+    late.write.mode("append").parquet(path)  # moves the watermark past all others
+    q = st.assembled(st.span_stream(spark, path, st.BufferConfig(max_files_per_flush=1))).writeStream.format("memory").queryName("whole").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["trace_id"], r["n"]) for r in spark.sql("select trace_id, count(distinct span_id) n from whole group by trace_id").collect()}
+    want = {(r["trace_id"], r["n"]) for r in spark.read.parquet(path).where("trace_id <> 'zz'").groupBy("trace_id").agg(F.count("*").alias("n")).collect()}
+    assert got == want
+
+
+def test_a_full_buffer_makes_several_models(spark, tmp_path):
+    path, config = files(spark, tmp_path, 1), ModelConfig(bucket_us=DAY_US)
+    traces = spark.read.parquet(path).select("trace_id").distinct().count()
+    q = st.train_batches(st.span_stream(spark, path), str(tmp_path / "m"), str(tmp_path / "c"), config, buffer=st.BufferConfig(max_traces_per_model=-(-traces // 2)))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    names = sorted(p.name for p in (tmp_path / "m").iterdir())
+    assert names == ["batch=0-0", "batch=0-1"]
+    n = sum(spark.read.parquet(str(tmp_path / "m" / x / "bucket_meta")).agg(F.sum("traces").alias("n")).first()["n"] for x in names)
+    assert n == traces
+
+
+def test_running_sifter_equals_one_fold(spark, tmp_path):
+    import numpy as np
+
+    from lumispan.operators.samplers import PathModel, keep_probability
+
+    rng = np.random.default_rng(4)
+    rows = [("a", f"t{i:03}", i, [[int(x) for x in rng.integers(0, 6, 5)] for _ in range(i % 3)], float(rng.random())) for i in range(120)]
+    df = spark.createDataFrame(rows, "stream string, trace_id string, start_us bigint, paths array<array<int>>, draw double")
+    for i in range(2):
+        df.where(F.col("start_us").between(60 * i, 60 * i + 59)).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    q = st.running_sifter(stream, 6, 4).writeStream.format("memory").queryName("sifted").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    model, recent, want = PathModel(6), [], {}
+    for _, name, _, paths, draw in rows:
+        each = [model.learn(p) for p in paths]
+        loss = float(np.mean(each)) if each else 0.0
+        want[name] = (round(loss, 9), draw < keep_probability(recent, loss, 4, 50))
+        recent = [*recent, loss][-50:]
+    got = {r["trace_id"]: (round(r["loss"], 9), r["kept"]) for r in spark.sql("select * from sifted").collect()}
+    assert got == want
