@@ -233,6 +233,8 @@ def fit(
     chosen = usable.orderBy(F.md5(F.col(key).cast("string")), key).limit(max_rows)
     # The ids of max_rows rows at most: some 16 bytes each.
     sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), key)
+    # One row per id, however often the table repeats it, so that max_rows holds for what reaches the driver too.
+    sample = sample.groupBy(key).agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD_SQL), F.lit(0)))
     stems = lambda k: F.transform(
         F.filter(F.col("_words"), lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit(STEM))
