@@ -60,9 +60,9 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard, uniform_tree
+    from .sharding import shard, uniform_tree, with_shard
 
-    placed = shard(table(spark, sf_dir, "documents"), "doc_id", uniform_tree(24), uniform_tree(25))
+    placed = shard(table(spark, sf_dir, "documents"), "doc_id", uniform_tree(24), with_shard(uniform_tree(24)))
     return placed.withColumn("law", F.lit("key"))
 
 

@@ -38,12 +38,7 @@ class Node:
 
 
 def uniform_tree(shards: int, region: int = 12, rack: int = 4) -> Node:
-    """``shards`` equal shards: racks of ``rack`` shards within regions of ``region`` shards.
-
-    Shard n's place depends on n alone, so uniform_tree(n + 1) has the nodes of uniform_tree(n)
-    and one more shard; where n is a multiple of ``region`` that shard opens a region of its
-    own, no weight below or beside it changes, and it alone receives rows.
-    """
+    """``shards`` equal shards: racks of ``rack`` shards within regions of ``region`` shards."""
     regions: dict[int, dict[int, list[Node]]] = {}
     for s in range(shards):
         leaf = Node(f"s{s}", 1.0, (), s)
@@ -57,6 +52,20 @@ def uniform_tree(shards: int, region: int = 12, rack: int = 4) -> Node:
     )
 
 
+def shards_of(tree: Node) -> list[int]:
+    return [s for c in tree.children for s in shards_of(c)] if tree.children else [tree.shard]
+
+
+def with_shard(tree: Node, weight: float = 1.0) -> Node:
+    """The tree with one more shard, in a region of its own: no weight beside or above it changes but the root's, which
+    takes no part in draws, so for any number of shards the new one alone receives rows. Shards that came so can be
+    gathered into regions of several by building a tree anew, which moves rows once."""
+    n, label = max(shards_of(tree), default=-1) + 1, f"g{len(tree.children)}"
+    while any(c.label == label for c in tree.children):
+        label += "+"
+    return Node.group(tree.label, [*tree.children, Node.group(label, [Node.group(f"{label}/r0", [Node(f"s{n}", weight, (), n)])])])
+
+
 def descend(tree: Node, key: Column) -> Column:
     """The shard that ``key`` falls to. The tree is three levels deep at most in the trees built
     here, any depth works; it is a constant of the plan, bounded by the number of shards."""
