@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let
+from .common import let, written
 from .line_quality import words_of
 
 K = 128
@@ -25,6 +25,10 @@ WIDTH = 5
 BITS = 48
 #: Rows of neighbouring keys that one window task sorts together.
 ROWS_PER_RANGE = 4000
+#: Quantiles of the keys, within which ranges have equal widths.
+QUANTILES = 256
+#: Ranges (some 60 bytes each) up to which their first keys are broadcast; beyond that the join shuffles.
+BROADCAST_RANGES = 200_000
 
 
 def bottom(values: Column, k: int = K) -> Column:
@@ -96,34 +100,41 @@ def as_text(a: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the row that follows in order of ``key``, then ``tie``; the first
+    """Add ``next_<column>`` of the row that follows in order of ``key`` (a number), then ``tie``; the first
     row follows the last.
 
-    Rows are cut into ranges of equal key width, one task sorts a range, and each range gets a
-    copy of the first key's rows of the range that follows, so no task sees more than its range.
+    Keys are cut at their approximate quantiles, so that clusters of keys are spread, and between two quantiles
+    into ranges of equal key width by the number of rows there. One task sorts a range, and each range gets a
+    copy of the first key's rows of the range that follows, so no task sees more than its range. Rows of one key, or
+    without one, stay together, as their order is that of their texts.
     """
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_RANGE))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi").cast("double") - F.col("_lo") + 1) / parts)).cast("bigint")
-    span = span.select("_lo", width.alias("_width"))
-    place = F.coalesce(F.floor((F.col(key).cast("double") - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("bigint")
-    rows = df.crossJoin(F.broadcast(span)).withColumn("_range", place).drop("_lo", "_width")  # one row: not a product
-    firsts = df.select(key).crossJoin(F.broadcast(span)).groupBy(place.alias("_range")).agg(
-        F.min(key).alias("_first"), F.max(F.col(key).isNull()).alias("_null")
-    )
-    order = W.orderBy("_range")
-    following = firsts.select(
-        "_range",
-        F.coalesce(F.lead("_range").over(order), F.first("_range").over(order)).alias("_from"),
-    )
+    shares = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    cuts = df.agg(F.array_distinct(F.coalesce(F.percentile_approx(key, shares, 4 * QUANTILES), F.array().cast("array<bigint>"))).alias("_cuts"))
+    part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(key)))).cast("bigint")
+    keys = df.select(key).crossJoin(F.broadcast(cuts)).select(key, part.alias("_part"))  # one row: not a product
+    parts = keys.groupBy("_part").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_RANGE))
+    width = F.coalesce(F.greatest(F.lit(1.0), F.ceil((F.col("_hi").cast("double") - F.col("_lo") + 1) / n)), F.lit(1.0))
+    parts = written(parts.select(F.col("_part").alias("_p"), "_lo", width.alias("_width")), "parts")
+    inside = F.coalesce(F.floor((F.col(key).cast("double") - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("bigint")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """With _part and _range, a number that grows with the key. There are QUANTILES parts and one for nulls at most."""
+        rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", part).drop("_cuts")
+        rows = rows.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+        return rows.withColumn("_range", F.col("_part") * F.lit(1 << 40) + inside).drop("_lo", "_width", "_p")
+
+    firsts = written(placed(df.select(key)).groupBy("_part", "_range").agg(F.min(key).alias("_first")), "ranges")
+    heads, order = firsts.groupBy("_part").agg(F.min("_range").alias("_head")), W.orderBy("_part")
+    heads = heads.select("_part", F.coalesce(F.lead("_head").over(order), F.first("_head").over(order)).alias("_head"))
+    beside = F.lead("_range").over(W.partitionBy("_part").orderBy("_range"))
+    following = firsts.join(F.broadcast(heads), "_part").select(F.col("_range").alias("_to"), F.coalesce(beside, "_head").alias("_from"))
     starts = firsts.select(F.col("_range").alias("_from"), F.col("_first"))
-    guard_of = following.join(starts, "_from").select(F.col("_from"), F.col("_first"), F.col("_range").alias("_to"))
-    # A row per range of ROWS_PER_RANGE rows: 20 bytes for some 16 MB of texts.
+    guard_of = written(following.join(starts, "_from"), "guards")
+    rows = placed(df).drop("_part")
+    side = F.broadcast(guard_of) if guard_of.count() <= BROADCAST_RANGES else guard_of
     guards = (
-        rows.join(
-            F.broadcast(guard_of),
-            (F.col("_range") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_first")),
-        )
+        rows.join(side, (F.col("_range") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_first")))
         .withColumn("_range", F.col("_to"))
         .drop("_from", "_first", "_to")
         .withColumn("_guard", F.lit(1))
