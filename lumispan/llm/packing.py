@@ -7,8 +7,11 @@
    every length has a price, raised while it lags in coverage; one knapsack dynamic program
    over the prices gives, for every length at once, the best configuration that holds it; those
    near the best value are added in proportion to what remains.
+   Any prices, divided by the best value of a configuration, bound the number of sequences from below;
+   the best such bound is kept beside the cover.
 4. Rounding: the whole copies of the configurations that fill a sequence are taken; what is left
-   is placed best-fit in order of decreasing length, still on the histogram.
+   is placed best-fit in order of decreasing length, still on the histogram. All whole copies, or a
+   share of them down to none, are tried, so rounding never costs more than best fit would.
 5. Assignment: the i-th piece of a length takes the i-th place that the configurations have for it.
 
 Only the histogram and the configurations (bounded by the sequence length) meet the driver. Pieces
@@ -21,6 +24,8 @@ table gives no rows; extra columns are dropped.
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -44,20 +49,43 @@ class RunEncoder:
     White space is never part of a token of this tokenizer, and neither are letters or digits beside what
     isn't one, so a text is encoded run by run, and a run without the points and commas that end it.
     Runs are split at blanks and line ends only; whatever else they hold is the tokenizer's
-    business. New runs of a text are encoded together and told apart by their offsets.
+    business. A run of small Latin letters is one word to the tokenizer, whose steps before the merges leave it as it
+    is, so it goes to the merges at once. Other new runs of a text are encoded together and told apart by their offsets.
     """
 
     def __init__(self, tokenizer: str, end_id: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.memo: dict[str, bytes] = worker_memo(f"ids {tokenizer}")
         self.memo[""] = b""
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # How the tokenizer spells the bytes of letters up to U+017F.
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {c: spell(chr(c))[0][0] for c in range(128, 0x180) if chr(c).isalpha()}
 
     def encode(self, runs: list[str]) -> None:
+        merged, other = self.model.tokenize, []
+        for r in runs:
+            if r.isalpha() and r.islower():
+                word = r
+                if not r.isascii():
+                    if max(r) >= "\u0180" or r != r.lower() or not unicodedata.is_normalized("NFC", r):
+                        other.append(r)
+                        continue
+                    word = r.translate(self.spelled)
+                ids = [x.id for x in merged(word)]
+                self.memo[r] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(r)
+        if other:
+            self.encode_whole(other)
+
+    def encode_whole(self, runs: list[str]) -> None:
         if any(s in r for s in self.special for r in runs):
             found = [e.ids for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
             self.memo.update((r, np.array(x, dtype="<u4").tobytes()) for r, x in zip(runs, found, strict=True))
@@ -94,7 +122,8 @@ class RunEncoder:
         if wanted:
             self.encode(list(wanted))
         for r, (core, rest) in cores.items():
-            memo[r] = memo[core] + memo[rest]
+            if rest or core is not r:
+                memo[r] = memo[core] + memo[rest] if rest else memo[core]
         return b"".join(map(memo.__getitem__, runs)) + self.end
 
 
@@ -108,13 +137,18 @@ def cut_pieces(
         ids_of = RunEncoder(tokenizer, end_id)
         step = 4 * capacity
         for batch in batches:
-            rows = []
-            for k, body in zip(batch[key], batch[text], strict=True):
+            row, piece, start, length, crc = [], [], [], [], []
+            for k, body in enumerate(batch[text]):
                 ids = ids_of(body or "")
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"])
+                for at in range(0, len(ids), step):
+                    part = ids if len(ids) <= step else ids[at : at + step]
+                    row.append(k)
+                    piece.append(at // step)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            keys = batch[key].take(row).reset_index(drop=True)
+            yield pd.DataFrame({key: keys, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return docs.select(key, text).mapInPandas(run, schema)
@@ -145,12 +179,16 @@ def filled(last: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int = 120, rate: float = 6.0, slack: float = 0.03) -> dict[Config, float]:
-    """A near-optimal fractional cover: configurations and how often each is used."""
+def fractional(
+    counts: dict[int, int], capacity: int, rounds: int = 120, rate: float = 6.0, slack: float = 0.03
+) -> tuple[dict[Config, float], float]:
+    """A near-optimal fractional cover, as configurations and how often each is used, and a lower bound on the number
+    of sequences: the best that the prices of a round prove."""
     lengths = np.array(sorted(counts))
     n = np.array([counts[x] for x in lengths], dtype=float)
     left = n.copy()
     used: dict[Config, float] = {}
+    dual = 0.0
     for _ in range(rounds):
         live = left > 1e-9 * n
         if not live.any() or (left @ lengths) < 1e-3 * (n @ lengths):
@@ -159,6 +197,7 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int = 120, rate: f
         lag = share - share[live].mean()
         prices = np.where(live, (lengths / capacity) * np.exp(rate * np.clip(lag, -1, 1) / 10), 0)
         value, last = best_fill(lengths, prices, capacity)
+        dual = max(dual, float(n @ prices) / value[capacity])
         order = np.argsort(-share * lengths)
         bound = (1 - slack) * value[capacity]
         added = False
@@ -184,7 +223,7 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int = 120, rate: f
                 break
         if not added:
             break
-    return used
+    return used, dual
 
 
 def rounded(used: dict[Config, float], counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -240,12 +279,20 @@ def rounded(used: dict[Config, float], counts: dict[int, int], capacity: int) ->
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
-    """The best of some roundings: all whole copies of the full configurations, or a share of them."""
+    """The best of some roundings: all whole copies of the full configurations, a share of them, or best fit alone."""
     if not counts:
         return []
-    used = fractional(counts, capacity)
-    tries = [rounded({c: share * x for c, x in used.items()}, counts, capacity) for share in (1.0, 0.75, 0.5, 0.25)]
-    return min(tries, key=lambda t: sum(times for _, times in t))
+    used, dual = fractional(counts, capacity)
+    best: list[tuple[Config, int]] = []
+    least = np.inf
+    for share in (1.0, 0.75, 0.5, 0.25, 0.0):
+        found = rounded({c: share * x for c, x in used.items()}, counts, capacity)
+        size = sum(times for _, times in found)
+        if size < least:
+            best, least = found, size
+        if least <= np.ceil(dual - 1e-6):
+            break  # no packing has fewer
+    return best
 
 
 def places(configs: list[tuple[Config, int]]) -> list[tuple[int, int, int, int, int, int]]:
