@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on every row it is given and retur
 return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads
 them back, so a lost executor never reruns an earlier stage.
 
-Edge cases: null texts count as empty throughout; repeated ids and rows are kept apart up to near
-copies, which keeps one row of a class, and the row without an id only where its whole class has none; an
-empty table gives empty stages; extra columns are dropped by the first stage that runs, whatever they
+Edge cases: null texts count as empty throughout; repeated rows are kept apart up to near copies, which
+keeps one row of a class, and the row without an id only where its whole class has none; texts that
+aren't alike stay, even where their ids are the same; an empty table gives empty stages; extra columns are dropped by the first stage that runs, whatever they
 are called.
 """
 
@@ -42,12 +42,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least id."""
     from lumispan.llm.near_dedup import near_duplicates
 
-    # A row without an id gets one from its text, above all others, so that the class's least stays an id.
-    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    docs = documents_of(docs).withColumn("_id", F.coalesce("doc_id", unnamed))
-    kept = near_duplicates(docs, key="_id").where("is_first").select(F.col("_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    one = W.partitionBy("_id").orderBy("text", "source", "lang")
+    docs = documents_of(docs)
+    first = near_duplicates(docs).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    one = W.partitionBy("doc_id", "_text_hash").orderBy("text", "source", "lang", "n_chars")
     return documents_of(rows.withColumn("_n", F.row_number().over(one)).where("_n = 1"))
 
 

@@ -8,19 +8,27 @@
 3. Banding: 32 bands of 4 registers; nodes that share a band are candidates (at similarity 0.8 a
    pair is missed with probability (1 - 0.8^4)^32, about 5e-8).
 4. Verification: the exact probability Jaccard of the whole shingle sets, 0.8 or more.
-   A bucket's pairs aren't listed. A pivot is tested against the bucket's other members, linked
-   nodes are merged into components, and a bucket goes on, with its pivots removed and more of them
-   each round, only while it holds members of different components that can still be alike. What
-   isn't tested is known to be in one class, was tested as part of another bucket, or is unlike by
-   an exact bound, so no class is lost. The bound: let a share u of a node's weight be on shingles
-   that no other node of a crowded bucket has, and o = u / (1 - u) its odds; then two nodes of crowded
-   buckets have a similarity of at most 1 / (1 + o + o'). A pivot is the member of least odds.
+   A pivot is tested against its bucket's other members first, and linked nodes are merged into
+   components. Of what is left, only pairs of different components that the bounds below leave
+   possible are listed. What isn't tested is known to be in one class or is unlike by an exact bound,
+   so no class is lost.
+   Crowded buckets are cut by a prefix filter first. Their nodes' shingles are put in one order,
+   rare ones first; two alike nodes share the least of their common shingles, and less than a
+   fifth of either's weight stands before it. So each shingle of a prefix is a bucket of its own, whose
+   members know the weight b that stands before it in them and that the two can't share.
+   Bounds on two members x and y of a bucket, of weights W, where b = 0 in buckets of bands: with
+   odds o = b / (W - b) the similarity is at most 1 / (1 + o_x + o_y); with c the lesser of the W - b,
+   and h the share of a node's weight on shingles that occur in it more than once, it is at most
+   c / (W_x + W_y - c) + h_x + h_y. A pivot is the member of least odds.
 5. Classes: connected components of links plus copies, named by their least key.
 
+Nodes are named by a 128-bit hash of their words, not by their keys, so rows whose ids clash stay apart.
+
 Edge cases: null text counts as empty, and texts without words are copies of one another; a text of
 fewer than five words is one shingle; rows with a null key get the class of their text, null where
-no row of it has a key; repeated rows share their class; an empty table gives no rows; extra
-columns are dropped. Words are what white space separates, in lower case.
+no row of it has a key; repeated rows share their class; where texts that aren't alike have one
+key, their classes have the same class_id and different class_hash; an empty table gives no rows;
+extra columns are dropped. Words are what white space separates, in lower case.
 """
 
 from __future__ import annotations
@@ -42,10 +50,10 @@ SIMILARITY = 0.8
 MEMO = 200_000
 #: Distinct shingles that one numpy pass holds.
 PASS = 300_000
-#: Candidate keys (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
-BROADCAST_KEYS = 500_000
+#: Candidates (some 100 bytes each) up to which they are broadcast; beyond that the join shuffles.
+BROADCAST_KEYS = 200_000
 PIVOT_SALTS = 4
-#: Members from which a bucket is crowded, and odds are worth counting.
+#: Members from which a bucket is crowded: its nodes meet by the shingles of their prefixes instead.
 CROWDED = 32
 
 _U = np.uint64
@@ -157,14 +165,17 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return s, c
 
 
-def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: key, content (a 128-bit hash of its words), bands."""
-    kind = dict(docs.dtypes)[key]
+def content_of(h: np.ndarray) -> bytes:
+    """128 bits that name a sequence of words."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """From key, text_hash, text: key, text_hash, content, bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            keys: list = []
             content: list[bytes] = []
             bands: list[np.ndarray] = []
             sets: list[np.ndarray] = []
@@ -179,32 +190,35 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 weights.clear()
                 waiting = 0
 
-            for k, body in zip(batch[key], batch[text], strict=True):
+            for body in batch["text"]:
                 h = shingler.word_hashes(body)
                 s, c = shingler.shingles(h)
-                keys.append(k)
-                content.append(xxhash.xxh3_128_digest(h.tobytes()))
+                content.append(content_of(h))
                 sets.append(s)
                 weights.append(c)
                 waiting += len(s)
                 if waiting > PASS:
                     settle()
             settle()
-            yield pd.DataFrame({key: batch[key], "content": content, "bands": bands})
+            yield pd.DataFrame({"key": batch["key"], "text_hash": batch["text_hash"], "content": content, "bands": bands})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, content binary, bands array<bigint>")
+    kind = dict(rows.dtypes)["key"]
+    return rows.mapInPandas(run, f"key {kind}, text_hash bigint, content binary, bands array<bigint>")
 
 
-def shingle_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: node, set (the packed shingle set)."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """From node and text: node, set (the packed shingle set), weight (shingles, each as often as it occurs), heavy (the
+    share of those that occur more than once)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            sets = [packed(*shingler.shingles(shingler.word_hashes(t))) for t in batch[text]]
-            yield pd.DataFrame({"node": batch[key], "set": sets})
+            found = [shingler.shingles(shingler.word_hashes(t)) for t in batch["text"]]
+            weight = [float(c.sum()) for _, c in found]
+            heavy = [float(c[c > 1].sum()) / w if w else 0.0 for (_, c), w in zip(found, weight, strict=True)]
+            yield pd.DataFrame({"node": batch["node"], "set": [packed(*f) for f in found], "weight": weight, "heavy": heavy})
 
-    return rows.select(key, text).mapInPandas(run, f"node {dict(rows.dtypes)[key]}, set binary")
+    return rows.select("node", "text").mapInPandas(run, "node binary, set binary, weight double, heavy double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -220,24 +234,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(probability_jaccard(*held, *unpacked(y)) >= similarity)
             yield batch.loc[keep, ["a", "b"]]
 
-    kind = dict(pairs.dtypes)["a"]
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "x", "y").mapInPandas(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
-def unique_odds(sets: DataFrame) -> DataFrame:
-    """Per node that has shingles which no other node of ``sets`` has: the odds of their weight."""
-    kind = dict(sets.dtypes)["node"]
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """Per node and shingle of its prefix, in the order of how many nodes of ``sets`` hold a shingle: bucket (the
+    shingle), node, before (the weight of the node's shingles that come earlier), weight, heavy. Shingles that one
+    node alone holds come first and make no bucket."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(held: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(
                 {
                     "shingle": np.concatenate([s for _, s, _ in held]).view(np.int64),
-                    "node": np.repeat([k for k, _, _ in held], [len(s) for _, s, _ in held]),
-                    "share": np.concatenate([c for _, _, c in held]),
+                    "node": np.repeat(np.array([k for k, _, _ in held], dtype=object), [len(s) for _, s, _ in held]),
+                    "times": np.concatenate([c for _, _, c in held]),
                 }
             )
 
@@ -246,7 +260,7 @@ def unique_odds(sets: DataFrame) -> DataFrame:
             for node, data in zip(batch["node"], batch["set"], strict=True):
                 s, c = unpacked(data)
                 if len(s):
-                    held.append((node, s, c / c.sum()))
+                    held.append((node, s, c))
                     waiting += len(s)
                 if waiting > PASS:
                     yield frame(held)
@@ -254,83 +268,99 @@ def unique_odds(sets: DataFrame) -> DataFrame:
             if held:
                 yield frame(held)
 
-    rows = sets.select("node", "set").mapInPandas(run, f"shingle bigint, node {kind}, share double")
-    single = rows.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("node").alias("node"), F.min("share").alias("_share")
-    )
-    u = F.sum("_share")
-    return single.where("_n = 1").groupBy("node").agg(F.when(u < 1 - 1e-9, u / (1 - u)).otherwise(1e9).alias("odds"))
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, weight, heavy, shared in zip(batch["node"], batch["weight"], batch["heavy"], batch["shared"], strict=True):
+                n = np.array([x["n"] for x in shared])
+                shingle = np.array([x["shingle"] for x in shared], dtype=np.int64)
+                times = np.array([x["times"] for x in shared], dtype=float)
+                order = np.lexsort((shingle, n))
+                before = weight - times.sum() + np.cumsum(times[order]) - times[order]
+                keep = before <= (1 - similarity) * weight + 1e-6
+                rows = {"bucket": shingle[order][keep], "before": before[keep]}
+                out.append(pd.DataFrame(rows).assign(node=node, weight=weight, heavy=heavy))
+            yield pd.concat(out)[["bucket", "node", "before", "weight", "heavy"]]
+
+    rows = sets.select("node", "set").mapInPandas(postings, "shingle bigint, node binary, times bigint")
+    rows = written(rows, "postings")
+    # Written, so that the join is of plain shuffles and a shingle of very many nodes can be split.
+    holders = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "holders")
+    shared = rows.join(holders.hint("shuffle_merge"), "shingle").groupBy("node")
+    shared = shared.agg(F.collect_list(F.struct("n", "shingle", "times")).alias("shared"))
+    rows = sets.select("node", "weight", "heavy").join(shared, "node")
+    return rows.mapInPandas(cut, "bucket bigint, node binary, before double, weight double, heavy double")
 
 
 def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Node and component of all nodes that have a link. members: bucket, node, odds."""
-    found = None
-    pivots_per_bucket = 1
+    """Node and component of all nodes that have a link. members: bucket, node, before, weight, heavy."""
     limit = 1 / similarity - 1 + 1e-6
-    floor = members.groupBy("bucket").agg(F.min("odds").alias("_o"))
-    members = members.join(written(floor, "floors"), "bucket").where(F.col("odds") + F.col("_o") <= limit).drop("_o")
-    members = written(members.withColumn("component", F.col("node")), "members")
-    while True:
-        order = F.xxhash64("node", F.pmod("bucket", F.lit(PIVOT_SALTS)))
-        group = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots_per_bucket)).alias("_g")
-        least = F.min(F.struct("odds", order.alias("o"), "node", "component"))
-        pivots = members.groupBy("bucket", group).agg(least.alias("p"))
-        # Written, so that the join with a bucket of very many members is of plain shuffles, which Spark can split.
-        pivots = pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.component").alias("_c"), F.col("p.odds").alias("_o"))
-        pivots = written(pivots, "pivots")
-        pairs = (
-            members.join(pivots, "bucket")
-            .where((F.col("component") != F.col("_c")) & (F.col("odds") + F.col("_o") <= limit))
-            .select("a", F.col("node").alias("b"))
-            .distinct()
-        )
-        links = written(verified(pairs, sets, similarity), "links")
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = components(links)
-        rest = members.drop("component").join(
-            pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"
-        )
-        rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = written(rest, "members")
-        open_ = rest.groupBy("bucket").agg(
-            F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("odds").alias("_o")
-        )
-        open_ = written(open_.where("_lo <> _hi").select("bucket", "_o"), "open")
-        members = rest.join(open_, "bucket").where(F.col("odds") + F.col("_o") <= limit).drop("_o")
-        members = written(members, "members")
-        if members.isEmpty():
-            return found
-        pivots_per_bucket *= 8
+    rest = F.col("weight") - F.col("before")
+    members = written(
+        members.select(
+            "bucket", "node", F.when(rest > 0, F.col("before") / rest).otherwise(0.0).alias("odds"), rest.alias("rest"), "weight", "heavy"
+        ),
+        "members",
+    )
+    names = {"node": "a", "odds": "_o", "rest": "_r", "weight": "_w", "heavy": "_h"}
+    common = F.least("rest", "_r")
+    alike = (F.col("odds") + F.col("_o") <= limit) & (
+        common >= (similarity - 1e-6 - F.col("heavy") - F.col("_h")) * (F.col("weight") + F.col("_w") - common)
+    )
+    # A pivot for each bucket: the member of least odds. Written, so that the join with a bucket of very many members is of
+    # plain shuffles, which Spark can split.
+    order = F.xxhash64("node", F.pmod("bucket", F.lit(PIVOT_SALTS)))
+    least = F.min(F.struct("odds", order.alias("o"), "node", "rest", "weight", "heavy"))
+    pivots = members.groupBy("bucket").agg(least.alias("p")).select("bucket", *[F.col(f"p.{x}").alias(y) for x, y in names.items()])
+    pairs = members.join(written(pivots, "pivots").hint("shuffle_merge"), "bucket").where((F.col("node") != F.col("a")) & alike)
+    links = written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links")
+    found = components(links)
+    # What is left: members of one bucket in different components that the bounds leave possible.
+    rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows, "members")
+    open_ = rows.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("odds").alias("_least"))
+    open_ = written(open_.where("_lo <> _hi").select("bucket", "_least"), "open")
+    rows = rows.join(open_.hint("shuffle_merge"), "bucket").where(F.col("odds") + F.col("_least") <= limit).drop("_least")
+    rows = written(rows, "members")
+    other = rows.select("bucket", F.col("component").alias("_c"), *[F.col(x).alias(y) for x, y in names.items()])
+    pairs = rows.join(other.hint("shuffle_merge"), "bucket").where((F.col("a") < F.col("node")) & (F.col("component") != F.col("_c")) & alike)
+    more = verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity)
+    return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Per row: key, class_id (the least key of its class), is_first (it is that key)."""
-    marked = written(signed(docs, key, text), "signatures")
-    nodes = marked.groupBy("content").agg(F.min(key).alias("node"))
-    firsts = marked.join(nodes.select("node").distinct(), F.col(key) == F.col("node"), "left_semi")
-    banded = firsts.select(F.col(key).alias("node"), F.explode("bands").alias("bucket")).distinct()
+    """Per row: key, text_hash (xxHash64 of its text), class_id (the least key of its class), class_hash (names
+    the class, whatever the keys), is_first (the row has the least key and, among the texts of that key, the least text_hash)."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    marked = written(signed(rows), "signatures")
+    least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash")).alias("least")
+    nodes = written(marked.groupBy("content").agg(least, F.first("bands").alias("bands")), "nodes")
+    banded = nodes.select(F.col("content").alias("node"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = written(shared, "buckets")
     members = written(banded.join(shared, "bucket"), "members")
-    crowded = F.col("_n") >= CROWDED
-    wanted = written(members.select("node").distinct(), "candidates")
-    ids = wanted.withColumnRenamed("node", key)
-    if wanted.count() <= BROADCAST_KEYS:
-        ids = F.broadcast(ids)
-    candidates = docs.select(key, text).join(ids, key).dropDuplicates([key])
-    sets = written(shingle_sets(candidates, key, text), "sets")
-    crowd = members.where(crowded).select("node").distinct()
-    odds = written(unique_odds(sets.join(crowd, "node", "left_semi")), "odds")
-    members = members.join(odds, "node", "left").select(
-        "bucket", "node", F.when(crowded, F.coalesce("odds", F.lit(0.0))).otherwise(0.0).alias("odds")
+    wanted = nodes.join(members.select(F.col("node").alias("content")).distinct(), "content", "left_semi")
+    wanted = written(wanted.select(F.col("content").alias("node"), F.col("least.key").alias("_k"), F.col("least.text_hash").alias("_h")), "candidates")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    candidates = rows.join(side, F.col("key").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")))
+    sets = written(shingle_sets(candidates.select("node", "text").dropDuplicates(["node"])), "sets")
+    facts = sets.select("node", "weight", "heavy")
+    few = members.where(F.col("_n") < CROWDED).join(facts, "node").withColumn("before", F.lit(0.0))
+    crowd = members.where(F.col("_n") >= CROWDED).select("node").distinct()
+    many = prefixes(sets.join(crowd, "node", "left_semi"), similarity)
+    columns = ["bucket", "node", "before", "weight", "heavy"]
+    found = linked(few.select(columns).unionByName(many.select(columns)), sets, similarity)
+    # Classes of more than one node: the least of theirs, then back to each of them.
+    joined = written(found.join(nodes.select(F.col("content").alias("node"), "least"), "node"), "linked")
+    names = joined.groupBy("component").agg(F.min("least").alias("_least"))
+    renamed = joined.join(names, "component").select(F.col("node").alias("content"), "component", "_least")
+    classes = nodes.join(renamed, "content", "left").select(
+        "content", F.coalesce("component", "content").alias("component"), F.coalesce("_least", "least").alias("least")
     )
-    found = linked(members, sets, similarity)
-    classes = (
-        nodes.join(found, "node", "left")
-        .select(F.col("content"), F.coalesce("component", "node").alias("class_id"))
+    out = marked.select("key", "text_hash", "content").join(classes, "content")
+    first = F.col("key").eqNullSafe(F.col("least.key")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return out.select(
+        F.col("key").alias(key), "text_hash", F.col("least.key").alias("class_id"), F.lower(F.hex("component")).alias("class_hash"), first.alias("is_first")
     )
-    rows = marked.select(key, "content").join(classes, "content")
-    return rows.select(key, "class_id", F.coalesce(F.col(key) == F.col("class_id"), F.lit(False)).alias("is_first"))
