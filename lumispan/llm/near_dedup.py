@@ -53,6 +53,8 @@ PASS = 300_000
 #: Candidates (some 100 bytes each) up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_KEYS = 200_000
 PIVOT_SALTS = 4
+#: Pairs that Python is handed at a time: each brings two shingle sets.
+VERIFY_ROWS = 250
 #: Members from which a bucket is crowded: its nodes meet by the shingles of their prefixes instead.
 CROWDED = 32
 
@@ -271,10 +273,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for node, weight, heavy, shared in zip(batch["node"], batch["weight"], batch["heavy"], batch["shared"], strict=True):
-                n = np.array([x["n"] for x in shared])
-                shingle = np.array([x["shingle"] for x in shared], dtype=np.int64)
-                times = np.array([x["times"] for x in shared], dtype=float)
+            for node, weight, heavy, n, shingle, times in batch.itertuples(index=False, name=None):
                 order = np.lexsort((shingle, n))
                 before = weight - times.sum() + np.cumsum(times[order]) - times[order]
                 keep = before <= (1 - similarity) * weight + 1e-6
@@ -289,6 +288,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     shared = rows.join(holders.hint("shuffle_merge"), "shingle").groupBy("node")
     shared = shared.agg(F.collect_list(F.struct("n", "shingle", "times")).alias("shared"))
     rows = sets.select("node", "weight", "heavy").join(shared, "node")
+    rows = rows.select("node", "weight", "heavy", *[F.col(f"shared.{c}").alias(c) for c in ("n", "shingle", "times")])
     return rows.mapInPandas(cut, "bucket bigint, node binary, before double, weight double, heavy double")
 
 
@@ -313,7 +313,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     least = F.min(F.struct("odds", order.alias("o"), "node", "rest", "weight", "heavy"))
     pivots = members.groupBy("bucket").agg(least.alias("p")).select("bucket", *[F.col(f"p.{x}").alias(y) for x, y in names.items()])
     pairs = members.join(written(pivots, "pivots").hint("shuffle_merge"), "bucket").where((F.col("node") != F.col("a")) & alike)
-    links = written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links")
+    links = written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links", VERIFY_ROWS)
     found = components(links)
     # What is left: members of one bucket in different components that the bounds leave possible.
     rows = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -324,7 +324,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     rows = written(rows, "members")
     other = rows.select("bucket", F.col("component").alias("_c"), *[F.col(x).alias(y) for x, y in names.items()])
     pairs = rows.join(other.hint("shuffle_merge"), "bucket").where((F.col("a") < F.col("node")) & (F.col("component") != F.col("_c")) & alike)
-    more = verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity)
+    more = written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links", VERIFY_ROWS)
     return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
