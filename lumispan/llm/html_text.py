@@ -1,17 +1,19 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass 1 cuts the page into blocks and labels each one from its place and its densities: blocks inside
-menus, headers, footers, side bars, notices, adverts, forms and comments are bad; so are blocks
-that are mostly links; long blocks with enough stop words are good; inside an article or main
-element any block that isn't mostly links is good from a few words on. What is left, short blocks
-without a clear sign, is open. Pass 2 gives every open block the label of its nearest decided
-neighbours (the better one when they tie). Good blocks are joined in page order.
+Pass 1 cuts the page into blocks and labels each one. Blocks that are mostly links are bad, and so are
+those in what HTML itself sets apart from an article (menus, headers, footers, asides, forms). Of the
+rest, long blocks are good where enough of their words are stop words and bad where few are, inside
+an article or not; names of classes count as a hint only, against blocks that densities leave in
+doubt and against long ones outside an article or of names that no article part has. What is left, short blocks
+and long ones without stop words inside an article, is open. Pass 2 gives every open block the label of its nearest decided
+neighbours (the better one when they tie). On a page without a good block, as in a language without
+known stop words, long blocks that aren't bad count as good before pass 2. Good blocks are joined in page order.
 
 Pages are independent rows, so the work is a map over partitions of the table: nothing is shuffled,
 and a task holds one batch of pages.
 
 Edge cases: null or empty html gives an empty text; markup that is cut off or never closed ends
-with its parent or the page; a very long page is one pass over its tokens; repeated rows give
+with its parent or the page; a very long page is one pass over its tokens, whatever it is broken like; repeated rows give
 repeated results; an empty table gives no rows; extra columns are dropped.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,130 +50,189 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BAD_TAGS = frozenset(
     "aside button datalist dialog fieldset footer form head input menu nav noscript option search select title".split()
 )
-#: Words of a class, id or role that mark what surrounds an article.
+#: Elements whose content isn't markup, or isn't text.
+RAW_TAGS = frozenset(
+    "script style template svg math iframe object textarea noembed noframes canvas audio video".split()
+)
+#: Words of a class, id or role that mark what surrounds an article, whatever stands beside them.
 BAD_NAMES = frozenset(
-    "ad ads adv advert advertisement advertisements adverts alert alerts banner banners breadcrumb breadcrumbs byline "
-    "comment comments commentlist consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus "
-    "footer footers form gdpr header headers login masthead menu menus modal nav navbar navigation newsletter notice "
-    "notices notification overlay pager pagination paywall popup popups privacy promo promos promotion recommended "
-    "related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor "
-    "sponsored sponsors subscribe subscription tabs tags teaser teasers toolbar topbar widget widgets".split()
+    "ad ads adv advert advertisement advertisements adverts alert alerts breadcrumb breadcrumbs "
+    "comment comments commentlist consent contentinfo cookie cookies copyright disclaimer discussion disqus "
+    "footer footers form gdpr login menu menus modal nav navbar navigation newsletter "
+    "paywall popup popups privacy promo promos promotion recommended "
+    "related replies reply respond responses sharing sidebar sidebars signup skip sponsor "
+    "sponsored sponsors subscribe subscription".split()
+)
+#: Words that mark it unless a word for a part of an article stands beside them.
+WEAK_NAMES = frozenset(
+    "banner banners byline dialog header headers masthead notice notices notification overlay pager "
+    "pagination search share social tabs tags teaser teasers toolbar topbar widget widgets".split()
 )
+PART_NAMES = frozenset("article body content entry headline main paragraph post section story text title".split())
 MAX_LINK_DENSITY = 0.5
 LONG = 70
 MIN_STOP_DENSITY = 0.12
-FEW_WORDS = 3
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|svg|math|iframe|object|textarea|noembed|noframes|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<]*\Z"
-    r"|([^<]+)|<",
-    re.S | re.I,
-)
+
+#: Characters of a tag within which quotes are minded.
+TAG_REACH = 1 << 16
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+#: What a block can be held against: nothing, a hint, its place.
+CLEAR, HINTED, APART = 0, 1, 2
+
+
+def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """Text as ("", False, text, "") and tags as (name, closing, text, attributes); comments, declarations and what isn't
+    text are left out. Every character is looked at a bounded number of times."""
+    at, n = 0, len(html)
+    last = html.rfind(">")
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield "", False, html[at:], ""
+            return
+        if lt > at:
+            yield "", False, html[at:lt], ""
+        after = html[lt + 1 : lt + 2]
+        if after == "!" or after == "?" or after == "/" and not html[lt + 2 : lt + 3].isalpha():
+            end = html.find("-->", lt + 4) if html.startswith("<!--", lt) else html.find(">", lt)
+            if end < 0:
+                return
+            at = end + (3 if html.startswith("<!--", lt) else 1)
+            continue
+        if not (after.isascii() and after.isalpha()) and after != "/":
+            yield "", False, "<", ""
+            at = lt + 1
+            continue
+        if lt > last:
+            return  # a tag that is cut off, and none after it is whole
+        m = _TAG.match(html, lt, lt + TAG_REACH)
+        if m:
+            closing, name, attributes, at = bool(m[1]), m[2].lower(), m[3], m.end()
+        else:  # a quote that never ends, or a tag beyond all measure
+            at = html.find(">", lt) + 1
+            closing = after == "/"
+            name, _, attributes = html[lt + 1 + closing : at - 1].partition(" ")
+            name = name.strip("/").lower()
+        if name in RAW_TAGS and not closing:
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                if not end:
+                    return
+                at = end.end()
+            continue
+        yield name, closing, "", attributes
 
-def _is_bad(tag: str, attributes: str, in_content: bool) -> bool:
+
+def against(tag: str, attributes: str, in_content: bool) -> int:
+    """Whether an element's tag sets it apart, or its names hint that it surrounds the article."""
     if tag in BAD_TAGS or (tag == "header" and not in_content):
-        return True
-    if not attributes:
-        return False
-    if tag not in ("html", "body", "main", "p", "a", "b", "i", "em", "strong", "span", "h1"):
+        return APART
+    if not attributes or tag in ("html", "body"):
+        return CLEAR
+    if _HIDDEN.search(attributes):
+        return APART
+    if tag not in ("main", "p", "a", "b", "i", "em", "strong", "span", "h1"):
         for value in _NAMES.findall(attributes):
-            if not BAD_NAMES.isdisjoint(x.lower() for x in _PARTS.findall(value)):
-                return True
-    return tag not in ("html", "body") and bool(_HIDDEN.search(attributes))
-
-
-def blocks_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's blocks in order: text, its characters inside links, whether what surrounds an
-    article holds it, whether an article or main element holds it."""
-    out: list[tuple[str, int, bool, bool]] = []
+            names = {x.lower() for x in _PARTS.findall(value)}
+            if not BAD_NAMES.isdisjoint(names):
+                return APART
+            if not WEAK_NAMES.isdisjoint(names) and PART_NAMES.isdisjoint(names):
+                return HINTED
+    return CLEAR
+
+
+def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
+    """The page's blocks in order: text, its characters inside links, what is held against it, whether an article or
+    main element holds it."""
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, is it bad, is it an article, is it a link
-    bad = content = links = 0
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, what is held against it, is it an article, is it a link
+    open_: Counter[str] = Counter()
+    held = [0, 0, 0]
+    content = links = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = " ".join(_html.unescape("".join(text)).split())
             if body:
-                out.append((body, linked, bad > 0, content > 0))
+                out.append((body, linked, APART if held[APART] else HINTED if held[HINTED] else CLEAR, content > 0))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        raw = m[5]
-        if raw is not None:
+    for tag, closing, raw, attributes in tokens(html):
+        if not tag:
             text.append(raw)
             if links:
                 linked += len(_html.unescape(raw).strip())
             continue
-        tag = m[3]
-        if tag is None:
-            if m[0] == "<":
-                text.append("<")
-            continue
-        tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
         elif tag == "br":
             text.append(" ")
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                for _, b, c, a in stack[depth:]:
-                    bad, content, links = bad - b, content - c, links - a
-                del stack[depth:]
-        elif tag not in VOID_TAGS and not m[4].endswith("/"):
+        if closing:
+            while open_[tag]:
+                name, b, c, a = stack.pop()
+                open_[name] -= 1
+                held[b], content, links = held[b] - 1, content - c, links - a
+                if name == tag:
+                    break
+        elif tag not in VOID_TAGS and not attributes.endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            entry = (tag, _is_bad(tag, m[4], content > 0), tag in ("article", "main"), tag == "a")
+                open_["p"] -= 1
+                held[stack.pop()[1]] -= 1
+            entry = (tag, against(tag, attributes, content > 0), tag in ("article", "main"), tag == "a")
             stack.append(entry)
-            bad, content, links = bad + entry[1], content + entry[2], links + entry[3]
+            open_[tag] += 1
+            held[entry[1]] += 1
+            content, links = content + entry[2], links + entry[3]
     flush()
     return out
 
 
-def label(block: tuple[str, int, bool, bool], has_content: bool) -> str:
-    text, linked, outside, inside = block
-    if outside or (has_content and not inside):
-        return "bad"
-    if linked > MAX_LINK_DENSITY * len(text):
-        return "bad" if len(text) < 200 or linked > 0.9 * len(text) else "open"
+def stop_density(text: str) -> float:
     words = text.lower().split()
-    if inside:
-        return "good" if len(words) >= FEW_WORDS else "open"
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def label(block: tuple[str, int, int, bool], has_content: bool) -> str:
+    text, linked, apart, inside = block
+    if linked > MAX_LINK_DENSITY * len(text):
+        return "bad" if apart or len(text) < 200 or linked > 0.9 * len(text) else "open"
+    if apart == APART or (apart == HINTED and not inside):
+        return "bad"
     if len(text) >= LONG:
-        return "good" if stops >= MIN_STOP_DENSITY * len(words) else "bad"
-    return "open"
+        if stop_density(text) >= MIN_STOP_DENSITY:
+            return "good" if inside or not has_content else "bad"
+        return "open" if inside else "bad"
+    return "bad" if apart or (has_content and not inside) else "open"
 
 
 def extract(html: str | None) -> str:
     blocks = blocks_of(html or "")
-    has_content = any(inside and not outside for _, _, outside, inside in blocks)
+    # An article is one that holds a block which nothing is held against.
+    has_content = any(inside and apart == CLEAR for _, _, apart, inside in blocks)
     labels = [label(b, has_content) for b in blocks]
+    if "good" not in labels:
+        for i, (text, linked, apart, inside) in enumerate(blocks):
+            if not apart and (inside or not has_content) and linked <= MAX_LINK_DENSITY * len(text) and (len(text) >= LONG or inside):
+                labels[i] = "good"
     decided = [i for i, x in enumerate(labels) if x != "open"]
     final, k = [], 0
     for i, x in enumerate(labels):
         if x == "open":
             while k < len(decided) and decided[k] < i:
                 k += 1
-            before = decided[k - 1] if k else None
-            after = decided[k] if k < len(decided) else None
-            gaps = [(abs(j - i), labels[j] != "good") for j in (before, after) if j is not None]
-            x = "good" if (not min(gaps)[1] if gaps else blocks[i][3] or not has_content) else "bad"
-            if x == "bad" and blocks[i][3] and blocks[i][1] == 0 and not any(
-                labels[j] == "bad" and blocks[j][3] for j in (before, after) if j is not None
-            ):
-                x = "good"  # its only bad neighbours stand outside the article that holds it
+            near = [j for j in ((decided[k - 1] if k else None), (decided[k] if k < len(decided) else None)) if j is not None]
+            if blocks[i][3]:  # inside an article, blocks of the article are its neighbours
+                near = [j for j in near if blocks[j][3]]
+            gaps = [(abs(j - i), labels[j] != "good") for j in near]
+            x = ("bad" if min(gaps)[1] else "good") if gaps else ("good" if blocks[i][3] or not has_content else "bad")
         final.append(x)
     return "\n\n".join(b[0] for b, x in zip(blocks, final, strict=True) if x == "good")
 
