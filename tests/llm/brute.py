@@ -85,3 +85,96 @@ def level_targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
             rest -= target[s]
         free -= full or free
     return target
+
+
+def main_text(html: str | None) -> str:
+    """The block rules over the standard library's parser, every open block looking at all decided ones."""
+    from html.parser import HTMLParser
+
+    from lumispan.llm import html_text as rules
+
+    blocks: list[list] = [["", 0, 0, False]]
+
+    class Reader(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.open: list[tuple[str, int, bool]] = []
+            self.skip = 0
+
+        def cut(self) -> None:
+            blocks.append(["", 0, 0, False])
+
+        def handle_starttag(self, tag, attrs):
+            if tag in rules.RAW_TAGS:
+                self.skip += 1
+            if self.skip:
+                return
+            if tag in rules.BLOCK_TAGS:
+                self.cut()
+            elif tag == "br":
+                blocks[-1][0] += " "
+            if tag in rules.VOID_TAGS:
+                return
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            text = " ".join(k if v is None else f'{k}="{v}"' for k, v in attrs)
+            inside = any(o[2] for o in self.open)
+            self.open.append((tag, rules.against(tag, text, inside), tag in ("article", "main")))
+
+        def handle_endtag(self, tag):
+            if tag in rules.RAW_TAGS:
+                self.skip = max(0, self.skip - 1)
+                return
+            if self.skip:
+                return
+            if tag in rules.BLOCK_TAGS:
+                self.cut()
+            if any(o[0] == tag for o in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if self.skip:
+                return
+            b = blocks[-1]
+            b[0] += data
+            if any(o[0] == "a" for o in self.open):
+                b[1] += len(data.strip())
+            b[2] = max([b[2], *(o[1] for o in self.open)])
+            b[3] = b[3] or any(o[2] for o in self.open)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    found = [(" ".join(t.split()), linked, apart, inside) for t, linked, apart, inside in blocks if t.split()]
+    article = any(inside and not apart for _, _, apart, inside in found)
+    labels = []
+    for text, linked, apart, inside in found:
+        stops = [w.strip(".,;:!?\"'()") in rules.STOP_WORDS for w in text.lower().split()]
+        if 2 * linked > len(text):
+            x = "bad" if apart or len(text) < 200 or linked > 0.9 * len(text) else "open"
+        elif apart == rules.APART or (apart and not inside):
+            x = "bad"
+        elif len(text) < rules.LONG:
+            x = "bad" if apart or (article and not inside) else "open"
+        elif sum(stops) >= rules.MIN_STOP_DENSITY * len(stops):
+            x = "good" if inside or not article else "bad"
+        else:
+            x = "open" if inside else "bad"
+        labels.append(x)
+    if "good" not in labels:
+        for i, (text, linked, apart, inside) in enumerate(found):
+            if not apart and (inside or not article) and 2 * linked <= len(text) and (len(text) >= rules.LONG or inside):
+                labels[i] = "good"
+    out = []
+    for i, x in enumerate(labels):
+        if x == "open":
+            decided = [(abs(i - j), y != "good") for j, y in enumerate(labels) if y != "open"]
+            before = [(i - j, labels[j] != "good", j) for j in range(i) if labels[j] != "open"]
+            after = [(j - i, labels[j] != "good", j) for j in range(i + 1, len(labels)) if labels[j] != "open"]
+            near = [min(s)[:2] for s in (before, after) if s and (not found[i][3] or found[min(s)[2]][3])]
+            x = ("bad" if min(near)[1] else "good") if near else ("good" if found[i][3] or not article else "bad")
+            assert decided or not near
+        if x == "good":
+            out.append(found[i][0])
+    return "\n\n".join(out)

@@ -151,9 +151,22 @@ def test_packing_solves_hard_histograms():
         assert sum(t for _, t in configs) <= -(-sum(a * c for a, c in counts.items()) // 2048) + 1
 
 
+def test_packing_never_loses_to_best_fit():
+    rng = np.random.default_rng(1)
+    size = lambda configs: sum(t for _, t in configs)
+    hard = {1034: 600, 532: 600, 522: 600, 492: 1200}  # best fit takes 1100 sequences, 900 do
+    assert size(packing.rounded({}, hard, 2048)) == 1100 and size(packing.solve(hard, 2048)) <= 910
+    mid = Counter(rng.integers(400, 1100, 20_000).tolist())
+    assert size(packing.solve(mid, 2048)) < size(packing.rounded({}, mid, 2048))
+    for counts in (hard, mid, dict.fromkeys(range(1, 2049), 50), Counter(rng.integers(1, 600, 5000).tolist())):
+        used, dual = packing.fractional(counts, 2048)
+        assert -(-sum(a * c for a, c in counts.items()) // 2048) <= np.ceil(dual - 1e-6) <= size(packing.solve(counts, 2048))
+        assert size(packing.solve(counts, 2048)) <= size(packing.rounded({}, counts, 2048))
+
+
 def test_sharding_laws(spark, edges, no_rows):
     for docs, n in ((documents(spark), 200), (edges, 10)):
-        rows = sharding.shard(docs, "doc_id", sharding.uniform_tree(24), sharding.uniform_tree(25)).collect()
+        rows = sharding.shard(docs, "doc_id", sharding.uniform_tree(24), sharding.with_shard(sharding.uniform_tree(24))).collect()
         assert len(rows) == docs.count() == n
         by = defaultdict(list)
         for r in rows:
@@ -165,6 +178,18 @@ def test_sharding_laws(spark, edges, no_rows):
     assert sharding.shard(no_rows, "doc_id", sharding.uniform_tree(24)).count() == 0
 
 
+def test_every_added_shard_takes_rows_only_into_itself(spark):
+    trees = [sharding.uniform_tree(7)]
+    for _ in range(6):
+        trees.append(sharding.with_shard(trees[-1]))
+    assert [len(sharding.shards_of(t)) for t in trees] == list(range(7, 14))
+    ids = spark.range(3000)
+    rows = ids.select(*[sharding.descend(t, F.col("id")).alias(f"t{i}") for i, t in enumerate(trees)]).collect()
+    for i in range(6):
+        moved = [(r[i], r[i + 1]) for r in rows if r[i] != r[i + 1]]
+        assert moved and all(to == 7 + i for _, to in moved) and len(moved) < 2 * 3000 / (8 + i)
+
+
 def test_changed_weights_move_rows_only_below(spark):
     leaf = lambda s, w: sharding.Node(f"s{s}", w, (), s)
 
@@ -211,3 +236,34 @@ def test_pipeline_edges(spark, edges, no_rows, tmp_path):
                 ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
                 assert ids == [(False, 1), (False, 2), (False, 5), (False, 6), (False, 8), (True, 0)]
         assert {"sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    from lumispan.llm.near_dedup import near_duplicates
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(7, a), (7, b), (8, a + " more"), (9, b + " more"), (None, a), (None, "a lone text without an id")]
+    df = spark.createDataFrame([(k, t, None, "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = near_duplicates(df).collect()
+    assert len({r["class_hash"] for r in out}) == 3 and sum(r["is_first"] for r in out) == 3
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(7, a), (7, b), (0, "a lone text without an id")])
+
+
+def test_crowds_against_all_pairs(spark):
+    """A group far above CROWDED: few and many edits, shared edits, cuts, repeats, all in one crowd."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for j in rng.integers(0, len(base), rng.integers(0, 7)):
+            words[j] = f"e{j}x{rng.integers(0, 4)}"
+        if i % 7 == 0:
+            words = words[: rng.integers(60, 120)]
+        if i % 11 == 0:
+            words += ["over", "and", "over", "again", "now"] * int(rng.integers(1, 30))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = near_dedup.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute.near_classes(rows)

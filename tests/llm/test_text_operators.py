@@ -44,6 +44,29 @@ def test_html_edges(spark):
     assert html_text.main_text(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_against_the_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    made = [
+        "<body><div class=cookie-banner>We use the cookies of this site to be good to you and it is so on all of them.</div><main><h2>One</h2><p>" + "the words of it and that are in the block " * 3 + "</p><ul><li><a href=x>a link</a><li>an item</ul></main>",
+        "<div>" + "woord zonder bekende taal " * 5 + "</div><div>kort</div>",
+        "<article><div class='widget-text'><p>" + "the and of to be in it was " * 6 + "</p></div><header class='article-header'><h1>T one two</h1></header><div class=comments><p>" + "the and of to " * 9 + "</p></div></article>",
+        "<article><p>" + "これは記事の本文です。" * 12 + "</p></article><footer>" + "the and of it " * 9 + "</footer>",
+    ]
+    for html in [r["html"] for r in pages] + made:
+        assert html_text.extract(html) == brute.main_text(html), html and html[:300]
+    assert "T one two" in html_text.extract(made[2]) and html_text.extract(made[2]).count("\n\n") == 1
+    assert html_text.extract(made[1]).startswith("woord") and html_text.extract(made[3]).startswith("これは")
+
+
+def test_broken_markup_takes_no_longer_than_its_length():
+    import time
+
+    start = time.time()
+    for html in ("<a " * 70_000, "<script " * 30_000, '<a "' * 50_001 + ">", "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<a '>\"" * 40_000):
+        html_text.extract(html)
+    assert time.time() - start < 10
+
+
 def test_html_open_blocks_follow_their_neighbours():
     prose = "<p>" + "the words of this long block are of the article and it is good to have them in here. " * 2 + "</p>"
     menu = "<ul>" + "".join(f"<li><a href=x>Link number {i} of the menu</a></li>" for i in range(4)) + "</ul>"
