@@ -4,21 +4,23 @@ The strings wanted are ``length`` (200) bytes long. Anchors make the suffix arra
 stretch of 137 consecutive 64-byte grams the one of least hash (the leftmost of equal ones) is an
 anchor, so each 200-byte string holds an anchor, at the same place in all its occurrences.
 
-1. Copies: texts are grouped by hash. Every byte of a copied text of 200 bytes or more is repeated;
-   one copy stands for all in what follows.
-2. Anchors whose gram occurs once end here, by a grouped count. Around the others the text is cut
-   out: up to 136 bytes before, 200 bytes from the anchor on. Equal cut-outs are one row with a count.
-3. Suffixes that begin with the same gram lie together in a suffix array, so each gram's group is
+1. Anchors whose gram stands at one place only (one text, one position, however many copies the text
+   has) end here, by a grouped least and most. Around the others the text is cut out: up to 136
+   bytes before, 200 bytes from the anchor on. A task joins equal cut-outs into one row with their places.
+2. Suffixes that begin with the same gram lie together in a suffix array, so each gram's group is
    sorted by itself. Its longest-common-prefix array is scanned with a stack, which yields the
    common-prefix intervals (r bytes to the right in common). Within an interval the members are sorted
    by what stands before them; where they differ to the left (left-extension diversity) they fall
    into classes with l bytes to the left in common. Classes with l + r >= 200 are maximal repeats, and
    all their occurrences are output.
-4. A group of more than ``MAX_GROUP`` distinct cut-outs is split before it is sorted, without loss:
-   a 200-byte string that reaches l bytes to the left of its anchor has l in some half of
-   0..136, and all strings of a half share a longer core than the gram, by which they are regrouped,
-   half by half until groups are small or the core is the string itself.
-5. Spans of a text are merged and cut out.
+3. Grams with more than ``MAX_GROUP`` occurrences are spread by their cut-outs, equal ones are counted, and what is
+   still a large group is split before it is sorted, without loss: a 200-byte string that reaches l bytes to the
+   left of its anchor has l in some half of 0..136, and all strings of a half share a longer core than
+   the gram, by which they are regrouped, half by half until groups are small or the core is the string itself.
+4. Spans of a text are merged and cut out; of a text with copies every byte is repeated.
+
+Texts and cores are named by 128-bit hashes. Texts meet their anchors by a 64-bit hash; should two texts share one,
+each is cut at the anchors of both, which costs time only, as what is compared is read from the text itself.
 
 Edge cases: null text counts as empty; texts under 200 bytes have no such string and stay whole;
 overlapping occurrences count; texts that repeat one byte or a short period are one group of equal
@@ -40,9 +42,9 @@ from .common import worker_memo, written
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM  # bytes that a string can have before its anchor
-MAX_GROUP = 20_000
-#: Bytes of a table up to which it is broadcast; beyond that the join shuffles.
-BROADCAST_BYTES = 24_000_000
+MAX_GROUP = 8000
+#: Distinct cut-outs that a task holds before it hands them on.
+HELD = 20_000
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -124,46 +126,63 @@ def bytes_of(text: str | None) -> bytes:
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """From node and text: gram, node, pos."""
+    """From node, name and text: gram, node, pos. A task takes a copied text once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_memo("")  # what another operator remembered in this worker goes
-        find = Anchors()
+        find, seen = Anchors(), set()
         for batch in batches:
+            first = []
+            for name in batch["name"]:
+                first.append(name not in seen)
+                seen.add(name)
+            batch = batch[first]
             found = [find.of(bytes_of(t)) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "gram": [f[0] for f in found], "pos": [f[1] for f in found]})
+            yield pd.DataFrame({"node": batch["node"].to_numpy(), "gram": [f[0] for f in found], "pos": [f[1] for f in found]})
 
-    rows = texts.mapInPandas(run, "node bigint, gram array<bigint>, pos array<bigint>")
+    rows = texts.select("node", "name", "text").mapInPandas(run, "node bigint, gram array<bigint>, pos array<bigint>")
     rows = rows.select("node", F.explode(F.arrays_zip("gram", "pos")).alias("x"))
     return rows.select(F.col("x.gram").alias("gram"), "node", F.col("x.pos").cast("int").alias("pos"))
 
 
-def cut_outs(texts: DataFrame, whole: bool) -> DataFrame:
-    """From node, text and marks (pos, gram): gram, ctx (hash of the cut-out) and, if ``whole``, before (reversed)
-    and after, else node and pos."""
+CUT = "gram bigint, ctx binary, hot boolean, before binary, after binary, places binary"
+#: Bytes of a place: the text's name and, most significant byte first, the position.
+PLACE = 20
+
+
+def cut_outs(texts: DataFrame) -> DataFrame:
+    """From name, text and the marks in it (pos, gram, hot): gram, ctx (hash of the cut-out), hot, before (reversed), after,
+    places. Equal cut-outs that a task meets are one row, as far as it can hold them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         worker_memo("")
+        seen: set[bytes] = set()
+        held: dict[tuple[int, bytes], tuple[bool, bytes, bytes, list[bytes]]] = {}
+
+        def frame() -> pd.DataFrame:
+            rows = [(g, c, h, b, a, b"".join(p)) for (g, c), (h, b, a, p) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["gram", "ctx", "hot", "before", "after", "places"])
+
         for batch in batches:
-            rows = []
-            columns = ["gram", "ctx", *(("before", "after") if whole else ("node", "pos"))]
-            for node, text, marks in zip(batch["node"], batch["text"], batch["marks"], strict=True):
+            for name, text, pos, gram, hot in zip(batch["name"], batch["text"], batch["pos"], batch["gram"], batch["hot"], strict=True):
+                if name in seen:
+                    continue
+                seen.add(name)
                 data = bytes_of(text)
-                for m in marks:
-                    p, g = m["pos"], m["gram"]
+                for p, g, h in zip(pos.tolist(), gram.tolist(), hot.tolist(), strict=True):
                     before, after = data[max(0, p - REACH) : p][::-1], data[p : p + LENGTH]
                     ctx = xxhash.xxh3_128_digest(bytes([len(before)]) + before + after)
-                    rows.append((g, ctx, before, after) if whole else (g, ctx, node, p))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                    if (g, ctx) not in held:
+                        held[g, ctx] = h, before, after, []
+                    held[g, ctx][3].append(name + p.to_bytes(4, "big"))
+                if len(held) > HELD:
+                    yield frame()
+        yield frame()
 
-    kinds = "before binary, after binary" if whole else "node bigint, pos int"
-    return texts.select("node", "text", "marks").mapInPandas(run, f"gram bigint, ctx binary, {kinds}")
+    return texts.select("name", "text", "pos", "gram", "hot").mapInPandas(run, CUT)
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -244,6 +263,51 @@ def covered(before: list[bytes], after: list[bytes], count: list[int], lo: int,
     return [[a, z] if a <= 0 else [] for a, z in zip(first, end, strict=True)]
 
 
+def scanned_places(cut: DataFrame) -> DataFrame:
+    """Rows of cut_outs by gram: those that aren't hot are scanned, and every place that repeats cover comes out as name, a, z
+    (from and to); hot ones come out as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [x.split()[0] for x in SCANNED.split(", ")]
+        held: list[tuple] = []
+
+        def settle() -> list[tuple]:
+            members: dict[bytes, tuple[bytes, bytes, set[bytes]]] = {}
+            for _, ctx, _, before, after, places in held:
+                own = members.setdefault(ctx, (before, after, set()))[2]
+                own.update(places[i : i + PLACE] for i in range(0, len(places), PLACE))
+            found = list(members.values())
+            if len(found) == 1 and len(found[0][2]) < 2:
+                return []
+            covers = covered([f[0] for f in found], [f[1] for f in found], [len(f[2]) for f in found], 0, REACH)
+            out = []
+            for (_, _, places), cover in zip(found, covers, strict=True):
+                for x in places if cover else ():
+                    at = int.from_bytes(x[16:], "big")
+                    out.append((x[:16], at + cover[0], at + cover[1], False, 0, b"", b"", b"", b""))
+            return out
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.itertuples(index=False, name=None):
+                if r[2]:
+                    rows.append((b"", 0, 0, True, r[0], r[1], r[3], r[4], r[5]))
+                    continue
+                if held and r[0] != held[0][0]:
+                    rows += settle()
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(settle(), columns=columns)
+
+    # Hot grams are dealt by their cut-outs, the others whole.
+    salt = F.when(F.col("hot"), F.xxhash64("ctx")).otherwise(F.lit(0))
+    return cut.repartition("gram", salt).sortWithinPartitions("gram").mapInPandas(run, SCANNED)
+
+
+SCANNED = "name binary, a int, z int, hot boolean, gram bigint, ctx binary, before binary, after binary, places binary"
+
+
 def scanned(groups: DataFrame) -> DataFrame:
     """From core, lo, hi, gram, ctx, before, after, n, partitioned by (core, lo) and sorted by it: gram, ctx,
     cover. A task holds one group, of at most MAX_GROUP rows, and one batch at a time."""
@@ -284,13 +348,14 @@ def halves(rows: DataFrame) -> DataFrame:
     rows = rows.where((F.length("before") >= F.col("lo")) & (F.length("after") >= LENGTH - F.col("hi")))
     near = F.substring(F.col("before"), F.lit(1), F.col("lo"))
     far = F.substring(F.col("after"), F.lit(1), LENGTH - F.col("hi"))
-    return rows.withColumn("core", F.xxhash64("gram", "lo", near, far)).drop("_p")
+    # The two lengths follow from lo and hi, so equal bytes are equal pairs; the gram begins the second.
+    return rows.withColumn("core", F.unhex(F.md5(F.concat(near, far)))).drop("_p")
 
 
 def grouped_covers(rows: DataFrame, max_group: int) -> DataFrame:
     """Covers of all cut-outs; groups above ``max_group`` are halved until they fit or are one string."""
     rows = rows.select(
-        F.col("gram").alias("core"), F.lit(0).alias("lo"), F.lit(REACH).alias("hi"), "gram", "ctx", "before", "after", "n"
+        F.unhex(F.hex("gram")).alias("core"), F.lit(0).alias("lo"), F.lit(REACH).alias("hi"), "gram", "ctx", "before", "after", "n"
     )
     out: DataFrame | None = None
     while True:
@@ -300,10 +365,10 @@ def grouped_covers(rows: DataFrame, max_group: int) -> DataFrame:
         if large.isEmpty():
             done = scanned(rows)
             return done if out is None else out.unionByName(done)
-        # Broadcast: groups above max_group rows are at most 1 / max_group of the rows that remain.
-        small = scanned(rows.join(F.broadcast(large), ["core", "lo"], "left_anti"))
+        # Both sides are written tables, so a join with a group of very many rows can be split.
+        small = scanned(rows.join(large.hint("shuffle_merge"), ["core", "lo"], "left_anti"))
         out = small if out is None else out.unionByName(small)
-        big = rows.join(F.broadcast(large), ["core", "lo"])
+        big = rows.join(large.hint("shuffle_merge"), ["core", "lo"])
         single = big.where("lo = hi")
         if not single.isEmpty():  # the core is the whole string: more than one cut-out holds it
             cover = F.array((-F.col("lo")).cast("int"), (LENGTH - F.col("lo")).cast("int"))
@@ -311,53 +376,53 @@ def grouped_covers(rows: DataFrame, max_group: int) -> DataFrame:
         rows = written(halves(big.where("lo < hi")), "halves")
 
 
-def small_enough(df: DataFrame, size: Column) -> bool:
-    return (df.agg(F.sum(size).alias("s")).first()["s"] or 0) <= BROADCAST_BYTES
+def hot_places(hot: DataFrame, max_group: int) -> DataFrame:
+    """What the repeats of hot grams cover: name, a, z."""
+    places = F.transform(
+        F.sequence(F.lit(0), (F.length("places") / PLACE - 1).cast("int")), lambda i: F.substring(F.col("places"), i * PLACE + 1, PLACE)
+    )
+    places = written(hot.select("gram", "ctx", F.explode(places).alias("place")).distinct(), "places")
+    counts = places.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"))
+    cut = hot.groupBy("gram", "ctx").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    covers = grouped_covers(written(cut.join(counts, ["gram", "ctx"]), "cut-outs"), max_group)
+    # A cut-out has a cover in each half that it was part of. All of them hold the gram, so together they are one run.
+    covers = covers.groupBy("gram", "ctx").agg(F.min(F.get("cover", 0)).alias("first"), F.max(F.get("cover", 1)).alias("end"))
+    at = F.conv(F.hex(F.substring("place", 17, 4)), 16, 10).cast("int")
+    found = places.join(written(covers, "covers").hint("shuffle_merge"), ["gram", "ctx"])
+    return found.select(F.substring("place", 1, 16).alias("name"), (at + F.col("first")).alias("a"), (at + F.col("end")).alias("z"))
+
+
+def name_of(body: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(body.cast("binary")))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
-    """Per distinct text with something repeated: node (its hash), spans (starts and ends of the maximal repeated
+    """Per distinct text with something repeated: name, spans (starts and ends of the maximal repeated
     runs of bytes, in turn); a copied text's spans are null."""
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text")).where(F.octet_length("text") >= LENGTH)
-    # Which row stands for copies: any one; rows are told apart by a number of their own.
-    marked = texts.withColumn("_row", F.monotonically_increasing_id())
-    nodes = marked.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    copied = written(nodes.where("_n > 1").select("node", "_first"), "copied")
-    # 16 bytes a copied text; the rows that only repeat it leave.
-    lookup = F.broadcast(copied) if small_enough(copied, F.lit(16)) else copied
-    once = marked.join(lookup, "node", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_row")))
-    once = once.select("node", "text")
-    anchors = written(anchored(once), "anchors")
+    texts = docs.select(F.xxhash64(body).alias("node"), name_of(body).alias("name"), body.alias("text")).where(F.octet_length("text") >= LENGTH)
+    anchors = written(anchored(texts), "anchors")
+    place = F.struct("node", "pos")
+    again = anchors.groupBy("gram").agg(F.min(place).alias("_a"), F.max(place).alias("_z"), F.count(F.lit(1)).alias("_n"))
     # Written, so that both sides of the join are plain shuffles and a very common gram can be split.
-    again = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"), "grams")
-    marks = anchors.join(again, "gram").groupBy("node").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
+    again = written(again.where("_a <> _z").select("gram", (F.col("_n") > max_group).alias("hot")), "grams")
+    marks = anchors.join(again.hint("shuffle_merge"), "gram").groupBy("node").agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("marks"))
+    marks = written(marks.select("node", *[F.col(f"marks.{c}").alias(c) for c in ("pos", "gram", "hot")]), "marks")
     # Marks follow the corpus, so they meet the texts by a shuffle at every size.
-    around = once.join(written(marks, "marks").hint("shuffle_merge"), "node")
-    cut = cut_outs(around, True).groupBy("gram", "ctx").agg(
-        F.first("before").alias("before"), F.first("after").alias("after"), F.count(F.lit(1)).alias("n")
-    )
-    cut = written(cut, "cut-outs")
-    covers = grouped_covers(cut, max_group)
-    places = cut_outs(around, False)
-    runs = (
-        places.join(covers, ["gram", "ctx"])
-        .select("node", F.transform("cover", lambda x: x + F.col("pos")).alias("cover"))
-        .groupBy("node")
-        .agg(F.array_sort(F.flatten(F.collect_list(pairs_of(F.col("cover"))))).alias("_s"))
-    )
-    unique = runs.join(copied.select("node"), "node", "left_anti")
+    around = texts.join(marks.hint("shuffle_merge"), "node")
+    found = written(scanned_places(cut_outs(around)), "found")
+    covers = found.where("NOT hot").select("name", "a", "z")
+    hot = found.where("hot")
+    if not hot.isEmpty():
+        covers = covers.unionByName(hot_places(hot, max_group))
+    runs = covers.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("a", "z"))).alias("_s"))
+    names = texts.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    copied = written(names.where("_n > 1").select("name"), "copied")
+    unique = runs.join(copied, "name", "left_anti")
     kind = "array<bigint>"
-    return unique.select("node", joined_runs(F.col("_s")).cast(kind).alias("spans")).unionByName(
-        copied.select("node", F.lit(None).cast(kind).alias("spans"))
-    )
-
-
-def pairs_of(flat: Column) -> Column:
-    """(from, to) structs of a flat array."""
-    return F.transform(
-        F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")),
-        lambda i: F.struct(F.get(flat, 2 * i).alias("a"), F.get(flat, 2 * i + 1).alias("z")),
+    return unique.select("name", joined_runs(F.col("_s")).cast(kind).alias("spans")).unionByName(
+        copied.select("name", F.lit(None).cast(kind).alias("spans"))
     )
 
 
@@ -379,14 +444,13 @@ def without_repeats(docs: DataFrame, text: str = "text", max_group: int = MAX_GR
     these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = written(repeated_spans(docs, text, max_group), "spans").select(
-        F.col("node").alias("_node"), "spans", F.lit(True).alias("_found")
+        F.col("name").alias("_name"), "spans", F.lit(True).alias("_found")
     )
-    # Spans follow the corpus: broadcast only when small, else texts and spans are shuffled together.
-    side = F.broadcast(spans) if small_enough(spans, 24 + 8 * F.coalesce(F.size("spans"), F.lit(0))) else spans
     n = F.octet_length(body)
-    # The rows travel as one struct, so their names can't clash with those used here.
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.when(n >= LENGTH, F.xxhash64(body)).alias("_node"))
-    rows = rows.join(side, "_node", "left")
+    # The rows travel as one struct, so their names can't clash with those used here. Spans follow the corpus, so
+    # they meet the rows by a shuffle at every size.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.when(n >= LENGTH, name_of(body)).alias("_name"))
+    rows = rows.join(spans.hint("shuffle_merge"), "_name", "left")
     body = F.coalesce(F.col(f"_doc.`{text}`"), F.lit(""))
     n = F.octet_length(body)
     data = F.encode(body, "UTF-8")
