@@ -79,6 +79,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
@@ -91,6 +109,9 @@ def queries() -> dict[str, Query]:
         "op8_hash_tree": op8_hash_tree,
         "op9_toxicity": op9_toxicity,
         "op10_repeats": op10_repeats,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_url_rules": op13_url_rules,
     }
 
 
@@ -101,4 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mix": sql.SOURCE_MIX,
         "op7_line_quality": sql.LINE_QUALITY,
         "op8_hash_tree": sql.hash_tree(),
+        "op11_vector_codes": sql.vector_codes(),
+        "op12_fill_middle": sql.FILL_MIDDLE,
+        "op13_url_rules": sql.URL_RULES,
     }

@@ -139,3 +139,118 @@ SELECT doc_id, size::bigint AS size, text_crc32, 'key' AS law, shard, grown_shar
   row_number() OVER (PARTITION BY shard ORDER BY b, doc_id, size, text_crc32) - 1 AS slot
 FROM e
 """
+
+
+FILL_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::varchar, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), k AS (
+  SELECT doc_id, text, u, len(u)::bigint AS n, ('0x' || h[1:8])::bigint % (len(u) + 1) AS a, ('0x' || h[9:16])::bigint % (len(u) + 1) AS b,
+         ('0x' || h[17:24])::bigint % 100 AS c, ('0x' || h[25:32])::bigint % 100 AS e
+  FROM d
+), p AS (
+  SELECT doc_id, n, text, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+         array_to_string(u[greatest(a, b) + 1:], '') AS suf,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 50 THEN 'plain'
+              WHEN e < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(pre)::bigint END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::bigint END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def vector_codes(rounds: int = 4) -> str:
+    """Plain full search, round after round; vectors of one length, as the table has them."""
+
+    def assigned(book: str) -> str:
+        return f"""
+  SELECT vec_id, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+    SELECT x.vec_id, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS dist
+    FROM x JOIN {book} b ON x.part = b.part
+  ) GROUP BY vec_id, part"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({assigned(f'b{r}')}\n)")
+        steps.append(f"""m{r} AS (
+  SELECT part, entry, list(s ORDER BY pos) AS v FROM (
+    SELECT part, entry, pos, ((sum(val) - ((sum(val) % count(*)) + count(*)) % count(*)) // count(*))::bigint AS s FROM (
+      SELECT a.part, a.entry, unnest(range(len(x.v))) AS pos, unnest(x.v) AS val FROM a{r} a JOIN x USING (vec_id, part)
+    ) GROUP BY part, entry, pos
+  ) GROUP BY part, entry
+), b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    chain = ", ".join(steps)
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS part)
+), b0 AS MATERIALIZED (
+  SELECT x.part, f.entry, x.v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) f USING (vec_id)
+), {chain}, z AS MATERIALIZED ({assigned(f"b{rounds}")}
+), c AS (
+  SELECT vec_id, string_agg(lower(format('{{:02x}}', entry)), '' ORDER BY part) AS code, sum(dist)::bigint AS error FROM z GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256
+FROM k JOIN c USING (vec_id), h
+"""
+
+
+URL_RULES = r"""
+WITH r(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), p AS (
+  SELECT row_number() OVER () AS row, page_id, url,
+         CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] END AS rest FROM pages
+), s AS (
+  SELECT row, page_id, rest, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path
+  FROM p
+), g AS (
+  SELECT s.row, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM s JOIN r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.row
+), t AS (
+  SELECT s.row, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(regexp_extract(rest, '\?([^#]*)', 1), '') AS query,
+         string_split(host, '.') AS labels, host FROM s WHERE rest IS NOT NULL
+), w AS (
+  SELECT row, unnest(list_transform(range(1, len(labels) + 1), lambda i: 's:' || array_to_string(labels[i:], '.'))) AS token FROM t
+  UNION SELECT row, unnest(list_transform(regexp_split_to_array(host, '[.\-_]'), lambda v: 'h:' || v)) FROM t
+  UNION SELECT row, unnest(list_transform(regexp_split_to_array(low, '[/.\-_]'), lambda v: 'p:' || v)) FROM t
+  UNION SELECT row, 'e:' || regexp_extract(low, '\.([a-z0-9]+)$', 1) FROM t
+  UNION SELECT row, unnest(list_transform(string_split(query, '&'), lambda v: 'q:' || regexp_extract(v, '^[^=]*'))) FROM t
+), k AS MATERIALIZED (
+  SELECT row, token FROM w WHERE regexp_matches(token[3:], '[^0-9]')
+), n AS (SELECT count(*) AS n FROM g),
+f AS MATERIALIZED (  -- tokens that are frequent among labelled rows
+  SELECT token FROM k JOIN g USING (row) GROUP BY token HAVING count(*) >= ceil(0.01::double * (SELECT n FROM n))
+), q AS MATERIALIZED (SELECT k.row, k.token FROM k JOIN f USING (token)),
+sets AS MATERIALIZED (
+  SELECT row, [token] AS tokens FROM q
+  UNION ALL SELECT a.row, [a.token, b.token] FROM q a JOIN q b ON a.row = b.row AND a.token < b.token
+  UNION ALL SELECT a.row, [a.token, b.token, c.token] FROM q a JOIN q b ON a.row = b.row AND a.token < b.token JOIN q c ON b.row = c.row AND b.token < c.token
+), m AS (
+  SELECT tokens, count(*) AS seen, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER (verdict = 'allow') AS allowed
+  FROM sets JOIN g USING (row) GROUP BY tokens
+), rules AS (
+  SELECT tokens, label, held, held / seen AS confidence FROM (
+    SELECT tokens, 'block' AS label, blocked AS held, seen FROM m UNION ALL SELECT tokens, 'allow', allowed, seen FROM m
+  ) WHERE held > 0 AND held >= ceil(0.01::double * (SELECT n FROM n)) AND 100 * held >= 80 * seen
+), best AS (
+  SELECT row, label FROM sets JOIN rules USING (tokens) WHERE row NOT IN (SELECT row FROM g)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY confidence DESC, held DESC, len(tokens), tokens, label) = 1
+)
+SELECT page_id, host, path, rule, coalesce(g.verdict, best.label, 'allow') AS verdict
+FROM s LEFT JOIN g USING (row) LEFT JOIN best USING (row)
+"""
