@@ -34,6 +34,21 @@ def group_entries(columns: dict[str, Column]) -> Column:
     return F.array_sort(F.filter(F.array(*entries), lambda x: x.isNotNull()))
 
 
+def span_entries(columns: dict[str, Column], attributes: Column, names: tuple[str, ...] | None = ()) -> Column:
+    """Sorted column:value entries of columns and attributes that aren't empty. An attribute hides the column of its name,
+    even where it is empty itself. ``names`` are the attributes to look at; None is all of them."""
+    none = F.create_map().cast("map<string,string>")
+    held = F.coalesce(attributes, none)
+    if names is not None:
+        held = F.map_filter(held, lambda k, v: k.isin(*names)) if names else none
+    own = [
+        F.when(~F.map_contains_key(held, k) & (F.coalesce(c.cast("string"), F.lit("")) != ""), F.concat(F.lit(f"{k}:"), c.cast("string")))
+        for k, c in columns.items()
+    ]
+    extra = F.transform(F.filter(F.map_entries(held), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return F.array_sort(F.filter(F.concat(F.array(*own), extra), lambda x: x.isNotNull()))
+
+
 def group_keys(entries: Column) -> Column:
     """'all', every entry, and every pair of entries: the filters that trace queries are answered for."""
     pairs = F.flatten(
@@ -67,6 +82,11 @@ def status_text(code: Column) -> Column:
     return F.when(code.cast("int").isin(0, 1, 2), code.cast("int").cast("string")).otherwise("0")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def padded_hex(value: Column, width: int) -> Column:
     return F.lpad(F.lower(value), width, "0")
 

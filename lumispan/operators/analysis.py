@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expressions import PAIR, cost_dollars, filter_level, group_entries, group_keys
+from ..functions.expressions import PAIR, cost_dollars, filter_level, group_keys, span_entries
+from ..plans.storage import stored
 from ..schema import PRIMARY
 from .scoring import failures, sibling_skew
 from .tree import closure, rooted, with_parent
@@ -44,25 +45,26 @@ def depths(spans: DataFrame) -> DataFrame:
     return r.join(lost, ["trace_id", "root"]).select("trace_id", "span_id", (F.col("depth") + F.col("_lost")).alias("depth"))
 
 
-def query_context(spans: DataFrame, columns: tuple[str, ...] = PRIMARY) -> DataFrame:
+def query_context(spans: DataFrame, columns: tuple[str, ...] = PRIMARY, attributes: tuple[str, ...] | None = ()) -> DataFrame:
     """Per group key: spans, avg_depth, and shared_edge_rate = 1 - (how often its spans pass edges) / (how often all spans pass
     the same edges); 0 where its spans pass none. An edge is a pair of features and counts once per span.
 
-    All spans of a feature answer to the same keys, so depths and passes are summed per feature before keys are expanded.
+    All spans of one set of entries answer to the same keys, so depths and passes are summed per set before keys are
+    expanded.
     """
-    keys = F.explode(group_keys(group_entries({c: F.col(c) for c in columns}))).alias("group_key")
-    own = spans.groupBy("feature", *columns).agg(F.count(F.lit(1)).alias("n"))
-    of = own.select("feature", "n", keys)
-    d = spans.select("trace_id", "span_id", "feature").join(depths(spans), ["trace_id", "span_id"]).groupBy("feature").agg(F.sum("depth").alias("d"))
-    depth = of.join(d, "feature").groupBy("group_key").agg(F.sum("n").alias("n"), (F.sum("d") / F.sum("n")).alias("avg_depth"))
+    sets = spans.withColumn("_set", span_entries({c: F.col(c) for c in columns}, F.col("attrs"), attributes))
+    own = stored(sets.select("trace_id", "span_id", "feature", "_set"), "entry_sets")
+    keys = F.explode(group_keys(F.col("_set"))).alias("group_key")
+    d = own.join(depths(spans), ["trace_id", "span_id"]).groupBy("_set").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("d"))
+    depth = d.select("n", "d", keys).groupBy("group_key").agg(F.sum("n").alias("n"), (F.sum("d") / F.sum("n")).alias("avg_depth"))
     edge = with_parent(spans, ["feature"], "inner").select("trace_id", F.col("span_id").alias("ancestor"), F.md5(F.concat("p_feature", F.lit("\x01"), "feature")).alias("edge"))
     passed = edge.select("trace_id", F.col("ancestor").alias("span_id"), "edge").unionByName(
         closure(spans).join(edge, ["trace_id", "ancestor"]).select("trace_id", "span_id", "edge")
     )
-    passed = passed.distinct().join(spans.select("trace_id", "span_id", "feature"), ["trace_id", "span_id"])
-    per = passed.groupBy("feature", "edge").agg(F.count(F.lit(1)).alias("w"))
+    passed = passed.distinct().join(own, ["trace_id", "span_id"])
+    per = stored(passed.groupBy("_set", "edge").agg(F.count(F.lit(1)).alias("w")), "passed_edges")
     whole = per.groupBy("edge").agg(F.sum("w").alias("all"))
-    shared = of.drop("n").join(per, "feature").groupBy("group_key", "edge").agg(F.sum("w").alias("w")).join(whole, "edge")
+    shared = per.select("edge", "w", keys).groupBy("group_key", "edge").agg(F.sum("w").alias("w")).join(whole, "edge")
     shared = shared.groupBy("group_key").agg((1.0 - F.sum("w") / F.sum("all")).alias("shared_edge_rate"))
     return depth.join(shared, "group_key", "left").withColumn("shared_edge_rate", F.coalesce("shared_edge_rate", F.lit(0.0)))
 
@@ -153,22 +155,15 @@ def attribute_draws(fit: DataFrame, spans: DataFrame, attribute: str, seed: int
     """trace_id, span_id, value: a value of the attribute drawn per span from those that spans of its service and operation
     had in ``fit``, in proportion; from those of all spans where the pair is new."""
     from ..functions.expressions import uniform
+    from .draws import draw_table, drawn
 
     seen = fit.select("service", "operation", F.coalesce(F.col("attrs")[attribute], F.lit("")).alias("value"))
     n = seen.groupBy("service", "operation", "value").agg(F.count(F.lit(1)).alias("n"))
-    everywhere = n.groupBy("value").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("service"), F.lit(None).cast("string").alias("operation"), "value", "n")
-    n = n.unionByName(everywhere)
-    w = W.partitionBy("service", "operation")
-    upto = F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)
-    p = n.select("service", "operation", "value", upto.alias("_z"))
-    p = p.withColumn("_a", F.coalesce(F.lag("_z").over(w.orderBy("value")), F.lit(0.0)))
-    known = n.where("service IS NOT NULL").select("service", "operation").distinct().withColumn("_known", F.lit(True))
-    s = spans.select("trace_id", "span_id", "service", "operation", uniform("attribute", F.lit(attribute), F.lit(seed), F.col("span_id")).alias("_u"))
-    s = s.join(known, ["service", "operation"], "left").select(
-        "trace_id", "span_id", "_u", *[F.when(F.col("_known"), F.col(c)).alias(f"_{c}") for c in ("service", "operation")]
-    )
-    same = F.col("_service").eqNullSafe(F.col("service")) & F.col("_operation").eqNullSafe(F.col("operation"))
-    return s.join(p, same & (F.col("_u") > F.col("_a")) & (F.col("_u") <= F.col("_z"))).select("trace_id", "span_id", "value")
+    pairs = draw_table(n, ["service", "operation"], ["value"], "n")
+    everywhere = draw_table(n.groupBy("value").agg(F.sum("n").alias("n")).withColumn("_k", F.lit(0)), ["_k"], ["value"], "n", "_any").drop("_k")
+    u = uniform("attribute", F.lit(attribute), F.lit(seed), F.col("span_id"))
+    s = spans.select("trace_id", "span_id", "service", "operation").join(pairs, ["service", "operation"], "left").crossJoin(everywhere)  # one row
+    return s.select("trace_id", "span_id", F.coalesce(drawn(u), drawn(u, "_any"))["value"].alias("value"))
 
 
 def feature_importance(rows: DataFrame, features: tuple[str, ...], target: str = "delta", seed: int = 42) -> DataFrame:

@@ -119,16 +119,19 @@ def signals(spans: DataFrame, time: str = "bucket") -> DataFrame:
 
 
 def cusum(series: DataFrame, keys: tuple[str, ...] = ("service", "signal")) -> DataFrame:
-    """Two-sided cumulative sums of each series (keys, time, value) against its first points.
+    """Two-sided cumulative sums of each series (keys, time, value) against its first points, which are the baseline and
+    nothing else: sums run over the points after them.
 
-    Returns keys, time, up, down, size (the larger of up and -down), alarm; both sums restart at an alarm. A
-    series without spread in its baseline has no rows. One sorted array per series is folded: a series has a value
-    per time bucket.
+    Returns keys, time, up, down, size (the larger of up and -down), alarm; both sums restart after an alarm. A series
+    of no more points than the baseline, or without spread in it, has no rows. One sorted array per series is folded: a
+    series has a value per time bucket.
     """
     order = W.partitionBy(*keys).orderBy("time")
-    base = series.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= BASELINE_POINTS)
-    base = base.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).where("_s > 0")
-    points = series.join(base, list(keys)).groupBy(*keys).agg(
+    numbered = series.withColumn("_n", F.row_number().over(order))
+    base = numbered.where(F.col("_n") <= BASELINE_POINTS).groupBy(*keys)
+    base = base.agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    base = base.where((F.col("_c") == BASELINE_POINTS) & (F.col("_s") > 0)).drop("_c")
+    points = numbered.where(F.col("_n") > BASELINE_POINTS).join(base, list(keys)).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("time", ((F.col("value") - F.col("_m")) / F.col("_s")).alias("z")))).alias("_p")
     )
     point = "struct<time:bigint,up:double,down:double,size:double,alarm:boolean>"
@@ -147,28 +150,30 @@ def cusum(series: DataFrame, keys: tuple[str, ...] = ("service", "signal")) -> D
 
 
 def localised(sums: DataFrame) -> DataFrame:
-    """Services by their largest sum."""
-    s = sums.groupBy("service").agg(F.max("size").alias("size"), F.min(F.when(F.col("alarm"), F.col("time"))).alias("first_alarm"))
+    """Services with an alarm, by the largest sum that raised one."""
+    s = sums.where("alarm").groupBy("service").agg(F.max("size").alias("size"), F.min("time").alias("first_alarm"))
     return s.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("size", 9)), "service")))
 
 
-def detection(sums: DataFrame, inject: int, answer: str) -> DataFrame:
-    """One row: detected (no alarm before inject - 1, one after), delay, false alarms and their rate, hit at 1 to 5."""
+def detection(sums: DataFrame, spans: DataFrame, inject: int, answer: str, time: str = "bucket") -> DataFrame:
+    """One row: detected (the first alarm comes no earlier than inject - 1), delay (where detected), false alarms (before
+    inject - 1), their rate over the times of ``spans`` before the injection, hit at 1 to 5. An injection outside the
+    times of ``spans`` is never detected and has no false alarms."""
     ranks = localised(sums).where(F.col("service") == answer).agg(F.min("rank").alias("_r"))
-    alarm, early = F.col("alarm"), F.col("time") < inject - 1
-    s = sums.agg(
-        F.min(F.when(alarm, F.col("time"))).alias("first_alarm"),
-        F.sum((alarm & early).cast("bigint")).alias("false_alarms"),
-        F.sum(early.cast("bigint")).alias("_quiet"),
-    )
-    return s.crossJoin(F.broadcast(ranks)).select(  # a row on either side
-        "first_alarm",
-        F.coalesce(F.col("first_alarm") >= inject - 1, F.lit(False)).alias("detected"),
-        (F.col("first_alarm") - inject).alias("delay"),
-        "false_alarms",
-        F.when(F.col("_quiet") > 0, F.col("false_alarms") / F.col("_quiet")).otherwise(0.0).alias("false_alarm_rate"),
+    window = spans.agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    s = sums.where("alarm").agg(F.min("time").alias("first_alarm"), F.sum((F.col("time") < inject - 1).cast("bigint")).alias("_early"))
+    known = F.coalesce(F.lit(inject).between(F.col("_first"), F.col("_last")), F.lit(False))
+    quiet = F.when(known, F.lit(inject) - F.col("_first")).otherwise(0)
+    detected = known & F.coalesce(F.col("first_alarm") >= inject - 1, F.lit(False))
+    false_alarms = F.when(known, F.coalesce("_early", F.lit(0))).otherwise(0)
+    one = s.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(window))  # a row each
+    return one.select(
+        "first_alarm", detected.alias("detected"),
+        F.when(detected, F.col("first_alarm") - inject).cast("bigint").alias("delay"),
+        false_alarms.cast("bigint").alias("false_alarms"),
+        F.when(quiet > 0, false_alarms / quiet).otherwise(0.0).alias("false_alarm_rate"),
         *[F.coalesce(F.col("_r") <= k, F.lit(False)).cast("int").alias(f"ac{k}") for k in range(1, 6)],
-    )
+    )
 
 
 def hits(ranking: DataFrame, answer: str, most: int = 5) -> DataFrame:

@@ -1,5 +1,6 @@
 """Synthetic traces from a model. Every draw is a hash of the seed, the trace and the place in its tree, so results
-don't depend on partitions or retries. A level of all trees is one set of joins with the model's tables."""
+don't depend on partitions or retries. A level of all trees is two joins: with what can stand at a place, a row a place,
+and with all that is known of a pair of features, a row a pair."""
 
 from __future__ import annotations
 
@@ -7,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expressions import clamp, normal, uniform
+from ..functions.expressions import clamp, let, normal, uniform
 from ..plans.storage import stored
-from .model import PERCENTILES, Model
+from .draws import draw_table, drawn
+from .model import PAIR_KEY, PERCENTILES, SLOT, Model
 
 CANDIDATES = 100
 
@@ -39,53 +41,63 @@ def drawn_roots(roots: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> D
         return F.expm1(F.least(y, F.lit(40.0)))
 
     if c.use_duration_bounds:
-        inside = F.filter(F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), draw), lambda x: (x >= F.col("lo")) & (x <= F.col("hi")))
-        value = F.coalesce(F.get(inside, 0), (F.col("lo") + F.col("hi")) / 2.0)
+        # The first of so many draws that falls inside; later ones aren't made.
+        inside = lambda x: F.when((x >= F.col("lo")) & (x <= F.col("hi")), x)
+        first = F.aggregate(F.sequence(F.lit(1), F.lit(CANDIDATES)), F.lit(None).cast("double"), lambda found, j: F.when(found.isNotNull(), found).otherwise(let(draw(j), inside)))
+        value = F.coalesce(first, (F.col("lo") + F.col("hi")) / 2.0)
     else:
         value = draw(F.lit(1))
     room = F.greatest(F.col("last_us") - F.col("first_us"), F.lit(1))
     return roots.select(
         "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", F.lit("0"))).alias("span_id"),
-        F.lit(None).cast("string").alias("parent_span_id"), "feature", "child_count", F.lit("0").alias("path"), F.lit(0).cast("bigint").alias("depth"),
+        F.lit(None).cast("string").alias("parent_span_id"), F.lit("").alias("parent"), "feature", "child_count", F.lit("0").alias("path"), F.lit(0).cast("bigint").alias("depth"),
         (F.col("first_us") + F.floor(uniform("start", F.lit(c.seed), F.col("trace_id")) * room)).cast("bigint").alias("start_us"),
         F.greatest(F.lit(1), F.coalesce(value, F.lit(1.0)).cast("bigint")).alias("dur_us"), "max_tree", *keep,
     )
 
 
-def children_of(level: DataFrame, model: Model) -> DataFrame:
-    """The next level: for every position under every node a child drawn from the edges seen there."""
+def place_table(model: Model) -> DataFrame:
+    """What can stand at each place, ready to draw from."""
+    return stored(draw_table(model.tables["edges"], list(SLOT), ["feature", "child_count"], "n", "_child"), "places")
+
+
+def pair_table(model: Model, pairs: DataFrame) -> DataFrame:
+    """All that is known of each of the pairs (bucket, parent, feature): samples that were memorised, the line or the
+    percentiles of gaps and durations, and the bounds of the child's feature."""
+    key = list(PAIR_KEY)
+    memory = model.tables["pair_memorised"].groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "gap", "dur"))), lambda x: F.struct(x["gap"], x["dur"])).alias("memory"))
+    fitted = "pair_regression" if model.config.offset_model == "regression" else "pair_percentiles"
+    out = pairs.select(*key).distinct().join(memory, key, "left").join(model.tables[fitted].drop("n"), key, "left")
+    for y, t in (("gap", "gap_bounds"), ("dur", "duration_bounds")):
+        bounds = model.tables[t].select("bucket", "feature", F.col("lo").alias(f"{y}_lo"), F.col("hi").alias(f"{y}_hi"))
+        out = out.join(bounds, ["bucket", "feature"], "left")
+    return stored(out, "pairs")
+
+
+def children_of(level: DataFrame, model: Model, places: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The next level: for every position under every node a child drawn from those seen there."""
     c = model.config
     slots = level.where("child_count > 0").select(
         "bucket", "trace_type", "trace_id", F.col("span_id").alias("parent_span_id"), F.col("feature").alias("parent"),
         F.col("child_count").alias("parent_count"), F.col("path").alias("_path"), F.col("start_us").alias("p_start"), F.col("dur_us").alias("p_dur"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("child_count"), F.lit(c.max_children)) - 1)).alias("position"), "depth", "max_tree",
     )
-    slot = W.partitionBy("bucket", "trace_type", "parent", "parent_count", "position").orderBy("feature", "child_count")
-    edges = model.tables["edges"].withColumn("upto", F.sum("probability").over(slot)).withColumn("last", F.lead("feature").over(slot).isNull())
-    edges = edges.withColumn("from_", F.col("upto") - F.col("probability")).drop("n", "probability")
-    path = F.concat_ws(".", "_path", "position")
-    s = slots.withColumn("path", path).withColumn("u", uniform("child", F.lit(c.seed), F.col("trace_id"), F.col("path")))
-    s = s.join(edges, ["bucket", "trace_type", "parent", "parent_count", "position"])
-    s = s.where((F.col("u") >= F.col("from_")) & ((F.col("u") < F.col("upto")) | F.col("last"))).drop("u", "from_", "upto", "last")
-    return timed(s, model)
+    s = slots.withColumn("path", F.concat_ws(".", "_path", "position")).join(places, list(SLOT))
+    s = s.withColumn("_pick", drawn(uniform("child", F.lit(c.seed), F.col("trace_id"), F.col("path")), "_child")).drop("_child")
+    return timed(s.withColumns({x: F.col("_pick")[x] for x in ("feature", "child_count")}), model, pairs)
 
 
-def timed(s: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def timed(s: DataFrame, model: Model, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Gap and duration of each child relative to its parent, then bounds, then absolute times; ``keep`` names columns
     to carry."""
     c = model.config
-    pair = ["bucket", "parent", "feature"]
     x = F.when(F.col("parent_count") > 1, F.col("position") / (F.col("parent_count") - 1)).otherwise(0.0)
-    memory = model.tables["pair_memorised"].select(*pair, F.col("n").alias("m"), "i", F.col("gap").alias("m_gap"), F.col("dur").alias("m_dur"))
-    counts = memory.select(*pair, "m").distinct()
-    s = s.join(counts, pair, "left")
-    pick = F.floor(uniform("memory", F.lit(c.seed), F.col("trace_id"), F.col("path")) * F.col("m")).cast("int")
-    s = s.withColumn("i", pick).join(memory.drop("m"), [*pair, "i"], "left")
+    s = s.join(pairs, list(PAIR_KEY), "left")
+    pick = F.floor(uniform("memory", F.lit(c.seed), F.col("trace_id"), F.col("path")) * F.size("memory")).cast("int")
+    s = s.withColumn("_m", F.when(F.col("memory").isNotNull(), F.get("memory", pick)))
     if c.offset_model == "regression":
-        s = s.join(model.tables["pair_regression"].drop("n"), pair, "left")
         fitted = {y: F.col(f"{y}_beta0") + F.col(f"{y}_beta1") * x for y in ("gap", "dur")}
     else:
-        s = s.join(model.tables["pair_percentiles"].drop("n"), pair, "left")
 
         def between(y: str) -> Column:
             at = uniform(y, F.lit(c.seed), F.col("trace_id"), F.col("path")) * (len(PERCENTILES) - 1)
@@ -95,25 +107,23 @@ def timed(s: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
 
         fitted = {y: between(y) for y in ("gap", "dur")}
     unseen = {y: 0.1 + 0.3 * uniform(f"unseen-{y}", F.lit(c.seed), F.col("trace_id"), F.col("path")) for y in ("gap", "dur")}
-    value = {y: F.coalesce(F.col(f"m_{y}"), fitted[y], unseen[y]) for y in ("gap", "dur")}
+    value = {y: F.coalesce(F.col("_m")[y], fitted[y], unseen[y]) for y in ("gap", "dur")}
     if c.offset_value == "ratio":
         real = {y: clamp(v, F.lit(0.0), F.lit(1.0)) * F.col("p_dur") for y, v in value.items()}
     elif c.offset_model == "regression":
         real = {y: F.expm1(F.least(v, F.lit(40.0))) for y, v in value.items()}
     else:
         real = value
-    bounds = {"gap": "gap_bounds", "dur": "duration_bounds"}
-    for y, t in bounds.items():
-        s = s.withColumn(f"_{y}", real[y])
-        s = s.join(model.tables[t].select("bucket", "feature", F.col("lo").alias(f"{y}_lo"), F.col("hi").alias(f"{y}_hi")), ["bucket", "feature"], "left")
-    for y in bounds if c.use_duration_bounds else ():
-        free = F.col("m_gap").isNotNull() | F.col(f"{y}_lo").isNull()
+    known = F.col("_m").isNotNull()
+    s = s.withColumns({f"_{y}": v for y, v in real.items()})
+    for y in real if c.use_duration_bounds else ():
+        free = known | F.col(f"{y}_lo").isNull()
         s = s.withColumn(f"_{y}", F.when(free, F.col(f"_{y}")).otherwise(clamp(F.col(f"_{y}"), F.col(f"{y}_lo").cast("double"), F.col(f"{y}_hi").cast("double"))))
     total = F.col("_gap") + F.col("_dur")
-    squeeze = F.when(F.col("m_gap").isNull() & (total > F.col("p_dur")) & (total > 0), F.col("p_dur") / total).otherwise(1.0)
+    squeeze = F.when(~known & (total > F.col("p_dur")) & (total > 0), F.col("p_dur") / total).otherwise(1.0)
     s = s.withColumn("_q", squeeze)
     return s.select(
-        "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", "path")).alias("span_id"), "parent_span_id", "feature", "child_count", "path",
+        "bucket", "trace_type", "trace_id", F.md5(F.concat_ws(":", "trace_id", "path")).alias("span_id"), "parent_span_id", "parent", "feature", "child_count", "path",
         (F.col("depth") + 1).alias("depth"), (F.col("p_start") + F.floor(F.col("_gap") * F.col("_q"))).cast("bigint").alias("start_us"),
         F.greatest(F.lit(1), F.floor(F.col("_dur") * F.col("_q")).cast("bigint")).alias("dur_us"), "max_tree", *keep,
     )
@@ -123,10 +133,11 @@ def generate(model: Model) -> DataFrame:
     """Spans of synthetic traces: as many roots as were trained on, trees no larger than the largest seen."""
     if model.config.topology_mode == "template":
         return from_templates(model)
+    places, pairs = place_table(model), pair_table(model, model.tables["edges"])
     level = stored(generated_roots(model), "generated")
     out = level
     for _ in range(model.config.max_depth):
-        level = stored(children_of(level, model), "generated")
+        level = stored(children_of(level, model, places, pairs), "generated")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -138,21 +149,13 @@ def generate(model: Model) -> DataFrame:
 
 
 def with_attributes(spans: DataFrame, model: Model) -> DataFrame:
-    """Draw each dependent attribute from what its pair of features had."""
+    """Draw each dependent attribute from what its pair of features had; the parent's feature goes."""
     for d in model.config.dependent:
-        t = model.tables[f"attribute_{d}"]
-        w = W.partitionBy("bucket", "parent", "feature").orderBy("value")
-        t = t.withColumn("upto", F.sum("probability").over(w)).withColumn("from_", F.col("upto") - F.col("probability")).drop("n", "probability")
-        up = spans.select(F.col("span_id").alias("parent_span_id"), F.col("feature").alias("parent"))
-        s = spans.join(up, "parent_span_id", "left").withColumn("parent", F.coalesce("parent", F.lit("")))
-        s = s.withColumn("_u", uniform(d, F.lit(model.config.seed), F.col("span_id")))
-        same = [s["bucket"] == t["bucket"], s["parent"] == t["parent"], s["feature"] == t["feature"], s["_u"] >= t["from_"], s["_u"] < t["upto"]]
-        condition = same[0]
-        for x in same[1:]:
-            condition = condition & x
-        s = s.join(t.select("bucket", "parent", "feature", "from_", "upto", F.col("value").alias(f"_{d}")), condition, "left")
-        spans = s.select(*[spans[c] for c in spans.columns], F.coalesce(f"_{d}", F.lit("")).alias(d))
-    return spans
+        t = draw_table(model.tables[f"attribute_{d}"], list(PAIR_KEY), ["value"], "n", "_value")
+        s = spans.join(t, list(PAIR_KEY), "left")
+        value = drawn(uniform(d, F.lit(model.config.seed), F.col("span_id")), "_value")["value"]
+        spans = s.select(*[spans[c] for c in spans.columns], F.coalesce(value, F.lit("")).alias(d))
+    return spans.drop("parent")
 
 
 def template_edges(nodes: DataFrame) -> DataFrame:
@@ -175,6 +178,7 @@ def from_templates(model: Model) -> DataFrame:
     first = F.get("nodes", 0)
     roots = t.select("bucket", "trace_type", "tree", first["feature"].alias("feature"), first["child_count"].alias("child_count"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("seq"))
     roots = roots.withColumn("trace_id", F.md5(F.concat_ws(":", F.lit(c.seed), "tree", "seq"))).withColumn("i", F.lit(0).cast("bigint"))
+    pairs = pair_table(model, t.select("bucket", "tree").join(edges.select("tree", "parent", "feature").distinct(), "tree"))
     level = stored(drawn_roots(roots, model, ("tree", "i")), "generated")
     out = level
     while True:
@@ -183,7 +187,7 @@ def from_templates(model: Model) -> DataFrame:
             F.col("path").alias("_path"), F.col("start_us").alias("p_start"), F.col("dur_us").alias("p_dur"), "depth", "max_tree",
         )
         s = up.join(edges, ["tree", "parent_i"]).withColumn("path", F.concat_ws(".", "_path", "position")).withColumnRenamed("i", "tree_i")
-        level = stored(timed(s, model, ("tree", "tree_i")).withColumnRenamed("tree_i", "i"), "generated")
+        level = stored(timed(s, model, pairs, ("tree", "tree_i")).withColumnRenamed("tree_i", "i"), "generated")
         if level.isEmpty():
             break
         out = out.unionByName(level)

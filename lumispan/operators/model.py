@@ -1,5 +1,5 @@
-"""Training: the tables that describe a bucket of traces. Every table is a grouped aggregate per bucket, so partial
-sums replace the merging of partial models."""
+"""Training: the tables that describe a bucket of traces. Every table is a grouped aggregate per bucket. Counts, sums and
+bounds can be merged (``model_state``); what is derived from them, shares, lines, percentiles and mixtures, is not."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ from .tree import positioned, rooted, templates, with_parent
 
 MEMORISED = 20
 PERCENTILES = tuple(i / 20 for i in range(21))
+#: The place of a child: what its feature and child count are drawn for.
+SLOT = ("bucket", "trace_type", "parent", "parent_count", "position")
+PAIR_KEY = ("bucket", "parent", "feature")
 
 
 def annotated(spans: DataFrame) -> DataFrame:
@@ -55,12 +58,20 @@ def edges_of(a: DataFrame) -> DataFrame:
     return with_parent(a.drop("p_span_id"), ["feature", "start_us", "dur_us"], "inner").withColumn("parent_count", F.col("siblings"))
 
 
-def topology_edges(a: DataFrame) -> DataFrame:
-    """How often a child feature stands at a position under a parent feature, and with what probability."""
+def edge_counts(a: DataFrame) -> DataFrame:
+    """How often a child feature stands at a position under a parent feature."""
     keys = ["bucket", "trace_type", F.col("p_feature").alias("parent"), "parent_count", "position"]
-    n = edges_of(a).groupBy(*keys, "feature", "child_count").agg(F.count(F.lit(1)).alias("n"))
-    slot = W.partitionBy("bucket", "trace_type", "parent", "parent_count", "position")
-    return n.withColumn("probability", F.col("n") / F.sum("n").over(slot))
+    return edges_of(a).groupBy(*keys, "feature", "child_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_share(counts: DataFrame, *keys: str) -> DataFrame:
+    """Add probability: n over the sum of n of the same keys."""
+    return counts.withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
+
+
+def topology_edges(a: DataFrame) -> DataFrame:
+    """Edge counts with the probability of each child at its place."""
+    return with_share(edge_counts(a), *SLOT)
 
 
 def template_table(a: DataFrame) -> DataFrame:
@@ -133,31 +144,53 @@ ROOT = ("bucket", "feature", "child_count")
 FITTED = "bucket bigint, feature string, child_count bigint, n bigint, lo bigint, hi bigint, weights array<double>, means array<double>, variances array<double>"
 
 
-def root_durations(a: DataFrame, config: ModelConfig, distinct: int = 10_000) -> DataFrame:
-    """Mixtures of log(root duration + 1) per bucket, feature and child count, each fitted on all roots.
+def root_counts(a: DataFrame) -> DataFrame:
+    """Roots per bucket, feature, child count and duration."""
+    return a.where("is_root").groupBy(*ROOT, "dur_us").agg(F.count(F.lit(1)).alias("c"))
 
-    Roots are counted per duration first. A group of at most ``distinct`` durations is fitted in one task from its
-    counts; larger ones are fitted by the same rounds as grouped sums, so that none gathers in a task.
+
+def root_durations(a: DataFrame, config: ModelConfig, distinct: int = 10_000) -> DataFrame:
+    """Mixtures of log(root duration + 1) per bucket, feature and child count, each fitted on all roots."""
+    return mixtures(stored(root_counts(a), "root_counts"), config, distinct)
+
+
+def _fit_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Many groups an Arrow batch: each row is a group with its durations and their counts."""
+    for batch in batches:
+        fits = []
+        for values, times, k in zip(batch["values"], batch["times"], batch["k"], strict=True):
+            w, m, v = gaussian_mixture(np.log1p(np.asarray(values, dtype=float)), int(k), count=np.asarray(times))
+            fits.append((w.tolist(), m.tolist(), np.maximum(v, 1e-6).tolist()))
+        out = batch[[*ROOT, "n", "lo", "hi"]].copy()
+        for i, name in enumerate(("weights", "means", "variances")):
+            out[name] = [f[i] for f in fits]
+        yield out
+
+
+def mixtures(counts: DataFrame, config: ModelConfig, distinct: int = 10_000) -> DataFrame:
+    """The mixtures of counts per duration. A group of one component is a mean and a variance, summed where it stands; the
+    rest go through expectation maximisation: those of at most ``distinct`` durations many a batch, from one row each,
+    and larger ones by the same rounds as grouped sums, so that none gathers in a task.
     """
     most = config.max_gmm_components
-    counts = stored(a.where("is_root").groupBy(*ROOT, "dur_us").agg(F.count(F.lit(1)).alias("c")), "root_counts")
+    x = F.log1p(F.col("dur_us").cast("double"))
     groups = counts.groupBy(*ROOT).agg(
-        F.sum("c").alias("n"), F.min("dur_us").alias("lo"), F.max("dur_us").alias("hi"), F.count(F.lit(1)).alias("_d")
-    )
-    groups = stored(groups.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / 10))).cast("int")), "root_groups")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        w, m, v = gaussian_mixture(np.log1p(group["dur_us"].to_numpy(dtype=float)), int(first["k"]), count=group["c"].to_numpy())
-        return pd.DataFrame(
-            [[first["bucket"], first["feature"], first["child_count"], first["n"], first["lo"], first["hi"], w.tolist(), m.tolist(), np.maximum(v, 1e-6).tolist()]],
-            columns=["bucket", "feature", "child_count", "n", "lo", "hi", "weights", "means", "variances"],
-        )
-
-    # The join spreads by duration as well, and only small groups are gathered after it.
-    small = counts.join(groups.where(F.col("_d") <= distinct).drop("_d"), list(ROOT)).groupBy(*ROOT).applyInPandas(fit, FITTED)
-    large = groups.where(F.col("_d") > distinct).drop("_d")
-    return small if large.isEmpty() else small.unionByName(wide_mixtures(counts, large))
+        F.sum("c").alias("n"), F.min("dur_us").alias("lo"), F.max("dur_us").alias("hi"), F.count(F.lit(1)).alias("_d"),
+        F.sum(F.col("c") * x).alias("_sx"), F.sum(F.col("c") * x * x).alias("_sxx"),
+    )
+    k = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / 10))).cast("int")
+    groups = stored(groups.withColumn("k", k), "root_groups")
+    mean = F.col("_sx") / F.col("n")
+    spread = F.greatest(F.col("_sxx") / F.col("n") - mean * mean, F.lit(1e-6))
+    one = groups.where("k = 1").select(*ROOT, "n", "lo", "hi", F.array(F.lit(1.0)).alias("weights"), F.array(mean).alias("means"), F.array(spread).alias("variances"))
+    several = groups.where((F.col("k") > 1) & (F.col("_d") <= distinct)).select(*ROOT, "n", "lo", "hi", "k")
+    # The join spreads by duration as well; what is gathered after it has at most ``distinct`` values a row.
+    gathered = counts.join(several, list(ROOT)).groupBy(*ROOT, "n", "lo", "hi", "k").agg(F.collect_list(F.struct("dur_us", "c")).alias("v"))
+    gathered = gathered.select(*ROOT, "n", "lo", "hi", "k", F.col("v.dur_us").alias("values"), F.col("v.c").alias("times"))
+    fitted = stored(gathered.mapInPandas(_fit_groups, FITTED), "mixtures", batch=64)
+    large = groups.where((F.col("k") > 1) & (F.col("_d") > distinct)).select(*ROOT, "n", "lo", "hi", "k")
+    out = one.unionByName(fitted)
+    return out if large.isEmpty() else out.unionByName(wide_mixtures(counts, large))
 
 
 def wide_mixtures(counts: DataFrame, groups: DataFrame, rounds: int = 100, tolerance: float = 1e-6, salts: int = 64) -> DataFrame:
@@ -235,43 +268,75 @@ def pair_samples(a: DataFrame, config: ModelConfig) -> DataFrame:
     return kids.unionByName(roots)
 
 
-def pair_regression(samples: DataFrame) -> DataFrame:
-    """Least squares of gap and duration on the position per pair; the mean where n < 5 or positions don't vary."""
+def pair_sums(samples: DataFrame) -> DataFrame:
+    """What a line through the samples of a pair needs: sums over its positions, gaps and durations."""
     x, sums = F.col("x"), {}
     for y in ("gap", "dur"):
         sums |= {f"s_{y}": F.sum(y), f"sx_{y}": F.sum(x * F.col(y))}
-    g = samples.groupBy("bucket", "parent", "feature").agg(
+    return samples.groupBy(*PAIR_KEY).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(x * x).alias("sxx"), *[c.alias(k) for k, c in sums.items()]
     )
+
+
+def lines(sums: DataFrame) -> DataFrame:
+    """Least squares of gap and duration on the position per pair; the mean where n < 5 or positions don't vary."""
     det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     flat = (F.col("n") < 5) | (F.abs(det) < 1e-9)
     out = []
     for y in ("gap", "dur"):
         slope = F.when(flat, 0.0).otherwise((F.col("n") * F.col(f"sx_{y}") - F.col("sx") * F.col(f"s_{y}")) / det)
         out += [((F.col(f"s_{y}") - slope * F.col("sx")) / F.col("n")).alias(f"{y}_beta0"), slope.alias(f"{y}_beta1")]
-    return g.select("bucket", "parent", "feature", "n", *out)
+    return sums.select(*PAIR_KEY, "n", *out)
 
 
-def pair_percentiles(samples: DataFrame) -> DataFrame:
+def pair_regression(samples: DataFrame) -> DataFrame:
+    return lines(pair_sums(samples))
+
+
+def pair_values(samples: DataFrame) -> DataFrame:
+    """How often each gap and each duration occurs per pair: y ('gap' or 'dur'), value, n."""
+    y = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(y).alias("value")) for y in ("gap", "dur")])).alias("s")
+    return samples.select(*PAIR_KEY, y).groupBy(*PAIR_KEY, "s.y", "s.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles(values: DataFrame) -> DataFrame:
+    """The percentiles of counted values per pair."""
     p = F.array(*[F.lit(x) for x in PERCENTILES])
-    return samples.groupBy("bucket", "parent", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("gap", p).alias("gap_p"), F.percentile("dur", p).alias("dur_p")
-    )
+    of = lambda y: F.percentile("value", p, F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"{y}_p")
+    n = F.sum(F.when(F.col("y") == "gap", F.col("n")).otherwise(0)).alias("n")
+    return values.groupBy(*PAIR_KEY).agg(n, of("gap"), of("dur"))
+
+
+def pair_percentiles(samples: DataFrame) -> DataFrame:
+    return percentiles(pair_values(samples))
+
+
+def small_samples(samples: DataFrame) -> DataFrame:
+    """Gap and duration of the samples of pairs that have at most 20, with how often each occurs."""
+    n = samples.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= MEMORISED).drop("_n")
+    return samples.join(n, list(PAIR_KEY), "left_semi").groupBy(*PAIR_KEY, "gap", "dur").agg(F.count(F.lit(1)).alias("n"))
+
+
+def memorised(small: DataFrame) -> DataFrame:
+    """Raw gap and duration of counted samples, numbered in order; 20 at most a pair."""
+    pair = W.partitionBy(*PAIR_KEY)
+    rows = small.withColumn("_all", F.sum("n").over(pair))
+    rows = rows.select(*PAIR_KEY, F.col("_all").alias("n"), "gap", "dur", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_"))
+    return rows.select(*PAIR_KEY, "n", (F.row_number().over(pair.orderBy("gap", "dur")) - 1).alias("i"), "gap", "dur")
 
 
 def pair_memorised(samples: DataFrame) -> DataFrame:
-    """Raw gap and duration of pairs with at most 20 samples, numbered in order."""
-    n = samples.groupBy("bucket", "parent", "feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MEMORISED)
-    kept = samples.join(n, ["bucket", "parent", "feature"])
-    i = F.row_number().over(W.partitionBy("bucket", "parent", "feature").orderBy("gap", "dur", "span_id")) - 1
-    return kept.select("bucket", "parent", "feature", "n", i.alias("i"), "gap", "dur")
+    return memorised(small_samples(samples))
+
+
+def attribute_counts(samples: DataFrame, attribute: str) -> DataFrame:
+    """How often each value of a dependent attribute occurs per pair."""
+    return samples.where(F.coalesce(attribute, F.lit("")) != "").groupBy(*PAIR_KEY, F.col(attribute).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def attribute_shares(samples: DataFrame, attribute: str) -> DataFrame:
     """Share of each value of a dependent attribute per pair."""
-    n = samples.where(F.coalesce(attribute, F.lit("")) != "").groupBy("bucket", "parent", "feature", F.col(attribute).alias("value"))
-    n = n.agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy("bucket", "parent", "feature")))
+    return with_share(attribute_counts(samples, attribute), *PAIR_KEY)
 
 
 @dataclass
@@ -323,19 +388,6 @@ def table_names(config: ModelConfig) -> list[str]:
 
 def train(spans: DataFrame, config: ModelConfig) -> Model:
     """All tables of the model of derived spans, stored: what is trained once is read by every level of generation."""
-    a = stored(annotated(spans), "annotated")
-    samples = stored(pair_samples(a, config), "pair_samples")
-    build = {
-        "vocabulary": lambda: node_vocabulary(a),
-        "start": lambda: start_table(a),
-        "edges": lambda: topology_edges(a),
-        "templates": lambda: template_table(a),
-        "root_durations": lambda: root_durations(a, config),
-        "duration_bounds": lambda: duration_bounds(a),
-        "gap_bounds": lambda: gap_bounds(a),
-        "pair_regression": lambda: pair_regression(samples),
-        "pair_percentiles": lambda: pair_percentiles(samples),
-        "pair_memorised": lambda: pair_memorised(samples),
-        "bucket_meta": lambda: bucket_meta(a),
-    } | {f"attribute_{d}": (lambda d=d: attribute_shares(samples, d)) for d in config.dependent}
-    return Model({n: stored(build[n](), n) for n in table_names(config)}, config)
+    from .model_state import state_of
+
+    return state_of(spans, config).finalised()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import group_entries, group_keys
+from ..functions.expressions import PAIR, group_entries, group_keys, span_entries
+from ..plans.storage import stored
 from ..schema import PRIMARY
+from .numbering import numbered
 from .tree import positioned, rooted, with_parent
 
 
@@ -16,8 +18,39 @@ def _keyed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.withColumn("group_key", F.explode(group_keys(group_entries({c: F.col(c) for c in columns})))).drop(*columns)
 
 
-def rate_over_time(spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY) -> DataFrame:
-    """Spans per group key and time."""
+def entry_counts(spans: DataFrame, by: list[str], columns: tuple[str, ...], attributes: tuple[str, ...] | None) -> DataFrame:
+    """Spans per ``by`` and set of column:value entries."""
+    entries = span_entries({c: F.col(c) for c in columns}, F.col("attrs"), attributes).alias("entries")
+    return spans.select(*by, entries).groupBy(*by, "entries").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyed_sums(counts: DataFrame, by: list[str]) -> DataFrame:
+    """From ``entry_counts``: n summed per group key and ``by``.
+
+    Entries are numbered in their order, once, and keys are pairs of numbers until they have been summed: what is
+    multiplied is the number of distinct sets, and what is shuffled are integers.
+    """
+    sets = stored(counts.withColumn("_set", F.monotonically_increasing_id()), "entry_sets")
+    each = sets.select("_set", F.explode("entries").alias("entry"))
+    dictionary = stored(numbered(each.select("entry").distinct(), ["entry"], "id"), "entries")
+    coded = each.join(dictionary, "entry").groupBy("_set").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    none = F.lit(-1).cast("bigint")
+    key = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    ids = F.coalesce("ids", F.array().cast("array<bigint>"))
+    pairs = F.flatten(F.transform(ids, lambda a, i: F.transform(F.slice(ids, i + 2, F.greatest(F.size(ids) - i - 1, F.lit(0))), lambda b: key(a, b))))
+    keys = F.concat(F.array(key(none, none)), F.transform(ids, lambda a: key(a, none)), pairs)
+    rows = sets.join(coded, "_set", "left").select(*by, "n", F.explode(keys).alias("k"))
+    sums = rows.groupBy(*by, "k.a", "k.b").agg(F.sum("n").alias("n"))
+    name = lambda x: dictionary.select(F.col("id").alias(x), F.col("entry").alias(f"_{x}"))
+    sums = sums.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    text = F.when(F.col("a") < 0, "all").when(F.col("b") < 0, F.col("_a")).otherwise(F.concat("_a", F.lit(PAIR), "_b"))
+    return sums.select(text.alias("group_key"), *by, "n")
+
+
+def rate_over_time(spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY, attributes: tuple[str, ...] | None = ()) -> DataFrame:
+    """Spans per group key and time. Keys name columns and, where ``attributes`` says so, attributes; None is all of them."""
+    if attributes != ():
+        return keyed_sums(entry_counts(spans, [time], columns, attributes), [time])
     counts = spans.groupBy(time, *columns).agg(F.count(F.lit(1)).alias("n"))
     return _keyed(counts, columns).groupBy("group_key", time).agg(F.sum("n").alias("n"))
 
@@ -26,20 +59,24 @@ def totals(rates: DataFrame) -> DataFrame:
     return rates.groupBy("group_key").agg(F.sum("n").alias("n"))
 
 
-def errors_over_time(spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY) -> DataFrame:
-    return rate_over_time(spans.where(F.col("status") == "2"), time, columns)
+def errors_over_time(spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY, attributes: tuple[str, ...] | None = ()) -> DataFrame:
+    return rate_over_time(spans.where(F.col("status") == "2"), time, columns, attributes)
 
 
 def durations_over_time(
-    spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY, probabilities: tuple[float, ...] = (0.5, 0.9, 0.99)
-) -> DataFrame:
+    spans: DataFrame, time: str = "bucket", columns: tuple[str, ...] = PRIMARY, probabilities: tuple[float, ...] = (0.5, 0.9, 0.99),
+    attributes: tuple[str, ...] | None = (),
+) -> DataFrame:
     """Exact interpolated percentiles of the durations per group key and time.
 
     Durations are counted per signature before keys are expanded, and percentiles read counts, so
     the group 'all' holds distinct durations, not spans.
     """
-    counts = spans.groupBy(time, *columns, "dur_us").agg(F.count(F.lit(1)).alias("n"))
-    counts = _keyed(counts, columns).groupBy("group_key", time, "dur_us").agg(F.sum("n").alias("n"))
+    if attributes != ():
+        counts = keyed_sums(entry_counts(spans, [time, "dur_us"], columns, attributes), [time, "dur_us"])
+    else:
+        counts = spans.groupBy(time, *columns, "dur_us").agg(F.count(F.lit(1)).alias("n"))
+        counts = _keyed(counts, columns).groupBy("group_key", time, "dur_us").agg(F.sum("n").alias("n"))
     values = F.percentile("dur_us", F.array(*[F.lit(p) for p in probabilities]), F.col("n"))
     out = counts.groupBy("group_key", time).agg(values.alias("v"), F.sum("n").alias("n"))
     return out.select("group_key", time, "n", *[F.get("v", i).alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(probabilities)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _DEPTH, _ENTRIES, _ERROR, _HEAD, _KEYS, _KS, _SIGNALS, _UP, DAY, INJECT, _base_head, _keys, _q, _tree
+from .oracle import _DEPTH, _ENTRIES, _ERROR, _HEAD, _KEYS, _KS, _LOCALISED, _SIGNALS, _UP, DAY, INJECT, _base_head, _keys, _q, _tree, detected
 
 _TAIL = """cl AS (SELECT trace_id, max(status) = '2' AS error_trace, max(CASE WHEN parent_span_id IS NULL THEN dur_us END) AS root_dur FROM s GROUP BY trace_id),
         p95 AS (SELECT root_dur AS p FROM (SELECT root_dur, row_number() OVER (ORDER BY root_dur) - 1 AS i, count(*) OVER () AS n FROM cl) WHERE i = floor(n * 0.95::double)),
@@ -73,12 +73,9 @@ _RCA = (
 
 
 def _detections() -> str:
-    one = []
-    for day in (INJECT // DAY - 5, INJECT // DAY, INJECT // DAY + 5):
-        one.append(f"""SELECT (fa >= {day} - 1)::int AS detected, fa - {day} AS delay, fals AS false_alarms, CASE WHEN quiet > 0 THEN fals::double / quiet ELSE 0 END AS false_alarm_rate,
-            (rk <= 1)::int AS ac1, (rk <= 5)::int AS ac5 FROM (SELECT min(CASE WHEN alarm THEN time END) AS fa, sum((alarm AND time < {day} - 1)::int)::bigint AS fals, sum((time < {day} - 1)::int) AS quiet FROM cu), d2""")
-    ranks = "d2 AS (SELECT rk FROM (SELECT service, row_number() OVER (ORDER BY round(max(size), 9) DESC, service) AS rk FROM cu GROUP BY service) WHERE service = 'error')"
-    return f"{_SIGNALS}, {ranks}, de AS ({' UNION ALL '.join(one)})"
+    days = (INJECT // DAY - 5, INJECT // DAY, INJECT // DAY + 5)
+    one = [f"SELECT detected::int AS detected, delay, false_alarms, false_alarm_rate, ac1, ac5 FROM ({detected(day)})" for day in days]
+    return f"{_SIGNALS}, {_LOCALISED}, de AS ({' UNION ALL '.join(one)})"
 
 
 def _graphs(scale: float) -> tuple[str, ...]:

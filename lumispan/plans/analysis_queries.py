@@ -55,7 +55,7 @@ def _detections(s: DataFrame) -> DataFrame:
     sums = diagnosis.cusum(diagnosis.signals(s))
     out = None
     for day in INJECTIONS:
-        one = diagnosis.detection(sums, day, "error").withColumn("scenario", F.lit(day))
+        one = diagnosis.detection(sums, s, day, "error").withColumn("scenario", F.lit(day))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -144,7 +144,6 @@ def analysis_queries() -> dict[str, Query]:
         "graph_points": _scored(lambda s, h: _r(_points(s, h), "median", "mean", "population_deviation", digits=5)),
         "attribute_draws": _q(lambda s: analysis.attribute_draws(samplers.head(s, HEAD), s, "k").select("span_id", "value")),
         "vocabulary_delta": _q(_vocabulary_delta),
-        "synthetic_traces": lambda spark, sf_dir: folders.synthetic_traces(spark, 2000).drop("attrs"),
         "otlp_scan": otlp_scan,
         "jaeger_scan": jaeger_scan,
         "csv_scan": csv_scan,

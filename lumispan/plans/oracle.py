@@ -49,6 +49,7 @@ g AS (SELECT *, {entries} AS en FROM {source}),
 kx AS (SELECT bucket, dur_us, unnest(['all'] || en || [en[1] || '!@#' || en[2], en[1] || '!@#' || en[3], en[1] || '!@#' || en[4],
        en[2] || '!@#' || en[3], en[2] || '!@#' || en[4], en[3] || '!@#' || en[4]]) AS group_key FROM g)
 """
+_ATTRIBUTE_ENTRIES = "list_sort(['kind:' || kind, 'operation:' || operation, 'service:' || service, 'status:' || status, 'k:' || k])"
 _HEAD = "('0x' || substr(md5('head:42:' || trace_id), 1, 8))::bigint < 4294967296 // {n}"
 _ERROR = "CASE WHEN {a} > 0 THEN abs({a} - {b}) / ({a} + {b}) * 100.0::double WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE 100 END"
 
@@ -65,9 +66,18 @@ def _tree(body: str, *parts: str, recursive: bool = False) -> str:
     return _q(body, _TREE, *parts, recursive=recursive)
 
 
-def _base_head(value: str, where: str = "TRUE", n: int = 4, scale: float = 1.0, name: str = "") -> str:
+def any_keys(entries: str, source: str = "s", columns: str = "bucket, dur_us", name: str = "kx") -> str:
+    """Keys of any number of entries: all, each, and each pair in order."""
+    return f"""g_{name} AS (SELECT *, {entries} AS en FROM {source}),
+    {name} AS (SELECT {columns}, unnest(['all'] || en || flatten(list_transform(range(1, len(en) + 1), lambda i: list_transform(en[i + 1:], lambda b: en[i] || '!@#' || b)))) AS group_key FROM g_{name})"""
+
+
+def _base_head(value: str, where: str = "TRUE", n: int = 4, scale: float = 1.0, name: str = "", entries: str = "") -> str:
     """Series of the base and of the sample, and their report, as CTEs."""
-    keys = lambda src: _KEYS.format(entries=_ENTRIES, source=src).replace("g AS", f"g_{src}{name} AS").replace("kx AS", f"kx_{src}{name} AS").replace("FROM g)", f"FROM g_{src}{name})")
+    if entries:
+        keys = lambda src: any_keys(entries, src, name=f"kx_{src}{name}")
+    else:
+        keys = lambda src: _KEYS.format(entries=_ENTRIES, source=src).replace("g AS", f"g_{src}{name} AS").replace("kx AS", f"kx_{src}{name} AS").replace("FROM g)", f"FROM g_{src}{name})")
     head = _HEAD.format(n=n)
     return f"""
     base{name} AS (SELECT * FROM s WHERE {where}), other{name} AS (SELECT * FROM s WHERE {where} AND {head}),
@@ -115,14 +125,28 @@ _SIGNALS = """
 sig AS (SELECT service, bucket, avg(dur_us) AS m, quantile_cont(dur_us, 0.95) AS q FROM s GROUP BY ALL),
 ser AS (SELECT service, 'mean' AS signal, bucket AS t, ln(m) AS v FROM sig WHERE m > 0 UNION ALL SELECT service, 'p95', bucket, ln(q) FROM sig WHERE q > 0),
 num AS (SELECT *, row_number() OVER (PARTITION BY service, signal ORDER BY t) AS i FROM ser),
-bas AS (SELECT service, signal, avg(v) AS m, stddev_samp(v) AS sd FROM num WHERE i <= 11 GROUP BY ALL HAVING stddev_samp(v) > 0),
-z AS (SELECT num.service, num.signal, t, i, (v - m) / sd AS z FROM num JOIN bas USING (service, signal)),
-cs AS (SELECT service, signal, t, i, greatest(0, z - 0.5) AS u, least(0, z + 0.5) AS d FROM z WHERE i = 1
+bas AS (SELECT service, signal, avg(v) AS m, stddev_samp(v) AS sd FROM num WHERE i <= 11 GROUP BY ALL HAVING stddev_samp(v) > 0 AND count(*) = 11),
+z AS (SELECT num.service, num.signal, t, i, (v - m) / sd AS z FROM num JOIN bas USING (service, signal) WHERE i > 11),
+cs AS (SELECT service, signal, t, i, greatest(0, z - 0.5) AS u, least(0, z + 0.5) AS d FROM z WHERE i = 12
        UNION ALL SELECT z.service, z.signal, z.t, z.i, greatest(0, CASE WHEN greatest(c.u, -c.d) > 5 THEN 0 ELSE c.u END + z - 0.5),
               least(0, CASE WHEN greatest(c.u, -c.d) > 5 THEN 0 ELSE c.d END + z + 0.5)
        FROM cs c JOIN z ON z.service = c.service AND z.signal = c.signal AND z.i = c.i + 1),
 cu AS (SELECT service, signal, t AS time, u AS up, d AS down, greatest(u, -d) AS size, greatest(u, -d) > 5 AS alarm FROM cs)
 """
+_LOCALISED = """
+al AS (SELECT * FROM cu WHERE alarm),
+lo AS (SELECT service, row_number() OVER (ORDER BY round(max(size), 9) DESC, service) AS rk FROM al GROUP BY service)
+"""
+
+
+def detected(day: int) -> str:
+    """One row: what an injection at a day has of the alarms; nothing where the day lies outside the spans' days."""
+    hits = ", ".join(f"coalesce((SELECT rk <= {k} FROM lo WHERE service = 'error'), false)::int AS ac{k}" for k in range(1, 6))
+    return f"""SELECT fa, known AND coalesce(fa >= {day} - 1, false) AS detected, CASE WHEN known AND fa >= {day} - 1 THEN fa - {day} END AS delay,
+        CASE WHEN known THEN early ELSE 0 END AS false_alarms, CASE WHEN known AND {day} > d0 THEN early::double / ({day} - d0) ELSE 0 END AS false_alarm_rate, {hits}
+        FROM (SELECT (SELECT min(time) FROM al) AS fa, (SELECT count(*) FROM al WHERE time < {day} - 1) AS early, min(bucket) AS d0, {day} BETWEEN min(bucket) AND max(bucket) AS known FROM s)"""
+
+
 _KS = f"""
 f AS (SELECT service, dur_us, 0 AS side FROM s WHERE start_us >= {INJECT} UNION ALL SELECT service, dur_us, 1 FROM s WHERE start_us < {INJECT}),
 o AS (SELECT service, side, row_number() OVER (PARTITION BY service ORDER BY dur_us, side) AS rn,
@@ -137,8 +161,9 @@ ks AS (SELECT service, max(CASE WHEN i < na AND j < nb THEN abs((i + 1)::double
 
 def oracle_sql() -> dict[str, str]:
     from .analysis_oracle import analysis_oracle
+    from .model_oracle import model_oracle
 
-    return trace_query_sql() | analysis_oracle()
+    return trace_query_sql() | analysis_oracle() | model_oracle()
 
 
 def trace_query_sql() -> dict[str, str]:
@@ -236,11 +261,9 @@ def trace_query_sql() -> dict[str, str]:
             "kz AS (SELECT DISTINCT f.service, coalesce(ks, 0) AS ks FROM f LEFT JOIN ks USING (service) WHERE side = 0)"),
         "call_graph": _tree("SELECT p_service AS caller, service AS callee, count(*) AS weight FROM x WHERE service <> p_service GROUP BY ALL"),
         "cusum": _q("SELECT service, signal, time, round(up, 5) AS up, round(down, 5) AS down, round(size, 5) AS size, alarm FROM cu", _SIGNALS, recursive=True),
-        "anomaly_localise": _q("SELECT service, round(max(size), 5) AS size, min(CASE WHEN alarm THEN time END) AS first_alarm, row_number() OVER (ORDER BY round(max(size), 9) DESC, service) AS rank FROM cu GROUP BY service", _SIGNALS, recursive=True),
-        "detection_report": _q(f"""SELECT fa AS first_alarm, coalesce(fa >= {INJECT // DAY} - 1, false) AS detected, fa - {INJECT // DAY} AS delay, fals AS false_alarms,
-            round(CASE WHEN quiet > 0 THEN fals::double / quiet ELSE 0 END, 6) AS false_alarm_rate, {', '.join(f'(rk <= {i})::int AS ac{i}' for i in range(1, 6))} FROM d1, d2""", _SIGNALS,
-            f"d1 AS (SELECT min(CASE WHEN alarm THEN time END) AS fa, sum((alarm AND time < {INJECT // DAY} - 1)::int)::bigint AS fals, sum((time < {INJECT // DAY} - 1)::int) AS quiet FROM cu)",
-            "d2 AS (SELECT rk FROM (SELECT service, row_number() OVER (ORDER BY round(max(size), 9) DESC, service) AS rk FROM cu GROUP BY service) WHERE service = 'error')", recursive=True),
+        "anomaly_localise": _q("SELECT service, round(max(size), 5) AS size, min(time) AS first_alarm, row_number() OVER (ORDER BY round(max(size), 9) DESC, service) AS rank FROM cu WHERE alarm GROUP BY service", _SIGNALS, recursive=True),
+        "detection_report": _q(f"""SELECT fa AS first_alarm, detected, delay, false_alarms, round(false_alarm_rate, 6) AS false_alarm_rate, ac1, ac2, ac3, ac4, ac5 FROM ({detected(INJECT // DAY)})""",
+            _SIGNALS, _LOCALISED, recursive=True),
         "attribute_eta2": _q("SELECT attribute, count(*) AS features, sum(n)::bigint AS n, round(sum(eta * n) / sum(n), 6) AS eta2 FROM ee GROUP BY attribute", eta),
         "offset_models": _tree("SELECT model, count(*) AS pairs, round(avg(p50), 5) AS p50, round(avg(p90), 5) AS p90 FROM pa GROUP BY model", offsets),
         "edge_cover": _tree("SELECT parent, child, count(*) AS weight FROM (SELECT DISTINCT span_id, parent, child FROM (SELECT span_id, p_node AS parent, node AS child FROM x UNION ALL SELECT up.span_id, x.p_node, x.node FROM up JOIN x ON x.trace_id = up.trace_id AND x.span_id = up.ancestor)) GROUP BY ALL", _UP, recursive=True),

@@ -20,10 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which ends its lineage: loops stay short and
-    survive a lost executor."""
+    survive a lost executor. ``batch`` bounds the rows that Python is handed at a time meanwhile, where rows are large."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch is not None:
+        spark.conf.set(setting, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)

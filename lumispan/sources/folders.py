@@ -1,5 +1,4 @@
-"""Folders of span files: formats side by side, runs of scenarios, packed model files, reports; spans of a made-up
-system."""
+"""Folders of span files: formats side by side, runs of scenarios, packed model files, reports."""
 
 from __future__ import annotations
 
@@ -9,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import uniform
 from .formats import read_jaeger, read_otlp_json, read_otlp_proto, read_trace_csv
 
 RUNS = ("1", "2", "3")
@@ -151,51 +149,3 @@ def csv_rows(spans: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
         F.col("start_us").alias("startTime"), F.col("dur_us").alias("duration"), code.alias("statusCode"), F.col("parent_span_id").alias("parentSpanID"),
         *[F.col("attrs")[a].alias(a) for a in attributes],
     )
-
-
-# A made-up system: each service, its operations, the services that it calls.
-SYSTEM = {
-    "gate": (("open", "list"), ("people", "goods", "orders", "finder")),
-    "people": (("read", "change"), ("keys", "store", "cache")),
-    "goods": (("read", "browse"), ("store", "cache", "finder")),
-    "orders": (("place", "cancel"), ("pay", "stock", "store")),
-    "pay": (("charge", "refund"), ("store",)),
-    "stock": (("check", "reserve"), ("store", "cache")),
-    "keys": (("check",), ("store", "cache")),
-    "finder": (("ask",), ("store",)),
-    "cache": (("get", "set"), ()),
-    "store": (("select", "insert"), ()),
-}
-
-
-def synthetic_traces(spark: SparkSession, traces: int, per_second: float = 5.0, start_us: int = 0, depth: int = 4, error: float = 0.05, leaf: float = 0.3, seed: int = 42) -> DataFrame:
-    """Spans of traces through ``SYSTEM``, at a steady rate: a service calls from none to all of those it can, and below the root
-    a share ``leaf`` of them calls none. Draws are hashes of the trace and the place, so any partitioning gives the same."""
-    graph = spark.createDataFrame([(s, list(o), list(c)) for s, (o, c) in SYSTEM.items()], "service string, operations array<string>, calls array<string>")
-    draw = lambda name: uniform(name, F.lit(seed), F.col("trace_id"), F.col("path"))
-    name = F.lpad(F.lower(F.hex("id")), 32, "0")
-    level = spark.range(traces).select(
-        name.alias("trace_id"), F.lit("0").alias("path"), F.lit(None).cast("string").alias("parent_span_id"), F.lit("gate").alias("service"),
-        (F.lit(start_us) + F.floor(F.col("id") / per_second * 1e6)).cast("bigint").alias("start_us"), F.lit(200_000).cast("bigint").alias("dur_us"),
-    )
-    out = None
-    for d in range(depth):
-        # The system is a constant of ten rows.
-        s = level.join(F.broadcast(graph), "service").withColumn("span_id", F.substring(F.md5(F.concat_ws(":", "trace_id", "path")), 1, 16))
-        span = s.select(
-            "trace_id", "span_id", "parent_span_id", "service", F.get("operations", F.floor(draw("operation") * F.size("operations")).cast("int")).alias("operation"),
-            F.lit("SERVER").alias("kind"), F.when(draw("error") < error, "2").otherwise("0").alias("status"), "start_us", "dur_us",
-            F.create_map(F.lit("depth"), F.lit(str(d))).alias("attrs"),
-        )
-        out = span if out is None else out.unionByName(span)
-        n = F.floor(draw("calls") * (F.size("calls") + 1)).cast("int")
-        n = n if d == 0 else F.when(draw("leaf") < leaf, 0).otherwise(n)
-        callee = F.posexplode(F.slice(F.col("_calls"), 1, F.col("_n"))).alias("i", "callee")
-        kids = s.withColumn("_n", n).withColumn("_calls", F.col("calls")).where("_n > 0")
-        kids = kids.select("trace_id", "path", "span_id", "start_us", "dur_us", "_n", callee)
-        share = (F.col("dur_us") / (F.col("_n") + 1)).cast("bigint")
-        level = kids.select(
-            "trace_id", F.concat_ws(".", "path", "i").alias("path"), F.col("span_id").alias("parent_span_id"), F.col("callee").alias("service"),
-            (F.col("start_us") + share * F.col("i")).alias("start_us"), F.greatest(F.lit(1), share).alias("dur_us"),
-        )
-    return out

@@ -112,7 +112,8 @@ def regenerate_batches(spark: SparkSession, models: str, checkpoint: str, config
 
 
 def running_cusum(series: DataFrame) -> DataFrame:
-    """Cumulative sums of a stream of (service, signal, time, value), as the batch operator has them, where times come in order."""
+    """Cumulative sums of a stream of (service, signal, time, value), by the rule of the batch operator, where times
+    come in order: the first points are the baseline, sums run over those after them."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         base, up, down = json.loads(state.get[0]) if state.exists else ([], 0.0, 0.0)
