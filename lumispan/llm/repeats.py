@@ -43,8 +43,8 @@ LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM  # bytes that a string can have before its anchor
 MAX_GROUP = 8000
-#: Distinct cut-outs that a task holds before it hands them on.
-HELD = 20_000
+#: Distinct cut-outs, and places of them, that a task holds before it hands them on.
+HELD, PLACES_HELD = 20_000, 200_000
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -160,6 +160,7 @@ def cut_outs(texts: DataFrame) -> DataFrame:
         worker_memo("")
         seen: set[bytes] = set()
         held: dict[tuple[int, bytes], tuple[bool, bytes, bytes, list[bytes]]] = {}
+        n = 0
 
         def frame() -> pd.DataFrame:
             rows = [(g, c, h, b, a, b"".join(p)) for (g, c), (h, b, a, p) in held.items()]
@@ -178,8 +179,10 @@ def cut_outs(texts: DataFrame) -> DataFrame:
                     if (g, ctx) not in held:
                         held[g, ctx] = h, before, after, []
                     held[g, ctx][3].append(name + p.to_bytes(4, "big"))
-                if len(held) > HELD:
+                n += len(pos)
+                if len(held) > HELD or n > PLACES_HELD:
                     yield frame()
+                    n = 0
         yield frame()
 
     return texts.select("name", "text", "pos", "gram", "hot").mapInPandas(run, CUT)
@@ -264,8 +267,8 @@ def covered(before: list[bytes], after: list[bytes], count: list[int], lo: int,
 
 
 def scanned_places(cut: DataFrame) -> DataFrame:
-    """Rows of cut_outs by gram: those that aren't hot are scanned, and every place that repeats cover comes out as name, a, z
-    (from and to); hot ones come out as they are."""
+    """Rows of cut_outs by gram: those that aren't hot are scanned, and what repeats cover comes out as places, first, end
+    (from and to, seen from each place); hot ones come out as they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in SCANNED.split(", ")]
@@ -280,18 +283,13 @@ def scanned_places(cut: DataFrame) -> DataFrame:
             if len(found) == 1 and len(found[0][2]) < 2:
                 return []
             covers = covered([f[0] for f in found], [f[1] for f in found], [len(f[2]) for f in found], 0, REACH)
-            out = []
-            for (_, _, places), cover in zip(found, covers, strict=True):
-                for x in places if cover else ():
-                    at = int.from_bytes(x[16:], "big")
-                    out.append((x[:16], at + cover[0], at + cover[1], False, 0, b"", b"", b"", b""))
-            return out
+            return [(b"".join(places), *cover, False, 0, b"", b"", b"") for (_, _, places), cover in zip(found, covers, strict=True) if cover]
 
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.itertuples(index=False, name=None):
                 if r[2]:
-                    rows.append((b"", 0, 0, True, r[0], r[1], r[3], r[4], r[5]))
+                    rows.append((r[5], 0, 0, True, r[0], r[1], r[3], r[4]))
                     continue
                 if held and r[0] != held[0][0]:
                     rows += settle()
@@ -305,7 +303,12 @@ def scanned_places(cut: DataFrame) -> DataFrame:
     return cut.repartition("gram", salt).sortWithinPartitions("gram").mapInPandas(run, SCANNED)
 
 
-SCANNED = "name binary, a int, z int, hot boolean, gram bigint, ctx binary, before binary, after binary, places binary"
+SCANNED = "places binary, first int, end int, hot boolean, gram bigint, ctx binary, before binary, after binary"
+
+
+def listed(places: Column) -> Column:
+    """The places of a row, one by one."""
+    return F.transform(F.sequence(F.lit(0), (F.length(places) / PLACE - 1).cast("int")), lambda i: F.substring(places, i * PLACE + 1, PLACE))
 
 
 def scanned(groups: DataFrame) -> DataFrame:
@@ -376,20 +379,17 @@ def grouped_covers(rows: DataFrame, max_group: int) -> DataFrame:
         rows = written(halves(big.where("lo < hi")), "halves")
 
 
-def hot_places(hot: DataFrame, max_group: int) -> DataFrame:
-    """What the repeats of hot grams cover: name, a, z."""
-    places = F.transform(
-        F.sequence(F.lit(0), (F.length("places") / PLACE - 1).cast("int")), lambda i: F.substring(F.col("places"), i * PLACE + 1, PLACE)
+def hot_covers(hot: DataFrame, max_group: int) -> DataFrame:
+    """What the repeats of hot grams cover: places, first, end. Places stay packed: whether a cut-out stands at more than
+    one is told by its least and its greatest."""
+    ends = hot.select("gram", "ctx", "before", "after", F.array_min(listed(F.col("places"))).alias("_a"), F.array_max(listed(F.col("places"))).alias("_z"))
+    cut = ends.groupBy("gram", "ctx").agg(
+        F.first("before").alias("before"), F.first("after").alias("after"), F.when(F.min("_a") < F.max("_z"), 2).otherwise(1).alias("n")
     )
-    places = written(hot.select("gram", "ctx", F.explode(places).alias("place")).distinct(), "places")
-    counts = places.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"))
-    cut = hot.groupBy("gram", "ctx").agg(F.first("before").alias("before"), F.first("after").alias("after"))
-    covers = grouped_covers(written(cut.join(counts, ["gram", "ctx"]), "cut-outs"), max_group)
+    covers = grouped_covers(written(cut, "cut-outs"), max_group)
     # A cut-out has a cover in each half that it was part of. All of them hold the gram, so together they are one run.
     covers = covers.groupBy("gram", "ctx").agg(F.min(F.get("cover", 0)).alias("first"), F.max(F.get("cover", 1)).alias("end"))
-    at = F.conv(F.hex(F.substring("place", 17, 4)), 16, 10).cast("int")
-    found = places.join(written(covers, "covers").hint("shuffle_merge"), ["gram", "ctx"])
-    return found.select(F.substring("place", 1, 16).alias("name"), (at + F.col("first")).alias("a"), (at + F.col("end")).alias("z"))
+    return hot.select("gram", "ctx", "places").join(written(covers, "covers").hint("shuffle_merge"), ["gram", "ctx"]).select("places", "first", "end")
 
 
 def name_of(body: Column) -> Column:
@@ -412,10 +412,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", max_group: int = MAX_GRO
     # Marks follow the corpus, so they meet the texts by a shuffle at every size.
     around = texts.join(marks.hint("shuffle_merge"), "node")
     found = written(scanned_places(cut_outs(around)), "found")
-    covers = found.where("NOT hot").select("name", "a", "z")
+    packed = found.where("NOT hot").select("places", "first", "end")
     hot = found.where("hot")
     if not hot.isEmpty():
-        covers = covers.unionByName(hot_places(hot, max_group))
+        packed = packed.unionByName(hot_covers(hot, max_group))
+    # One row a place, for all grams alike.
+    places = packed.select("first", "end", F.explode(listed(F.col("places"))).alias("place"))
+    at = F.conv(F.hex(F.substring("place", 17, 4)), 16, 10).cast("int")
+    covers = places.select(F.substring("place", 1, 16).alias("name"), (at + F.col("first")).alias("a"), (at + F.col("end")).alias("z"))
     runs = covers.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("a", "z"))).alias("_s"))
     names = texts.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     copied = written(names.where("_n > 1").select("name"), "copied")
