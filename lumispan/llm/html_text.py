@@ -1,20 +1,22 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass 1 cuts the page into blocks and labels each one. Blocks that are mostly links are bad, and so are
-those in what HTML itself sets apart from an article (menus, headers, footers, asides, forms). Of the
-rest, long blocks are good where enough of their words are stop words and bad where few are, inside
-an article or not; names of classes count as a hint only, against blocks that densities leave in
-doubt and against long ones outside an article or of names that no article part has. What is left, short blocks
-and long ones without stop words inside an article, is open. Pass 2 gives every open block the label of its nearest decided
-neighbours (the better one when they tie). On a page without a good block, as in a language without
-known stop words, long blocks that aren't bad count as good before pass 2. Good blocks are joined in page order.
-
-Pages are independent rows, so the work is a map over partitions of the table: nothing is shuffled,
-and a task holds one batch of pages.
-
-Edge cases: null or empty html gives an empty text; markup that is cut off or never closed ends
-with its parent or the page; a very long page is one pass over its tokens, whatever it is broken like; repeated rows give
-repeated results; an empty table gives no rows; extra columns are dropped.
+Pass 1 cuts the page into blocks and labels each one. Blocks that are mostly links are bad; of the rest, long blocks are
+good where enough of their words are stop words and bad where few are, inside an article or not. What HTML or a name
+sets apart from an article (menus, headers, footers, asides, forms, comments) is a prior, which densities overrule: an
+element that holds most of the page's good text is the page's frame, whatever it is called, and is no longer apart; what
+is apart inside it remains so. Names that tell of a state (``has-sidebar``, ``ad-free``) say nothing of the element.
+Weaker names count as a hint against blocks that densities leave in doubt, and against long ones outside an article.
+What is left, short blocks and long ones without stop words inside an article, is open. Pass 2 gives every open block the
+label of its nearest decided neighbours (the better one when they tie). On a page without a good block, as in a language
+without known stop words, long blocks that aren't bad count as good before pass 2. Good blocks are joined in page order.
+
+Pages are independent rows, so the work is a map over partitions of the table: nothing is shuffled, and a task holds one
+batch of pages.
+
+Edge cases: null or empty html gives an empty text; markup that is cut off or never closed ends with its parent or the
+page; a very long page or tag is one pass over its characters, whatever it is broken like; repeated rows give repeated
+results; of elements that hold equally much good text the first goes first; an empty table gives no rows; extra columns
+are dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ import html as _html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import written
+
 # Common words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its "
@@ -54,15 +59,21 @@ BAD_TAGS = frozenset(
 RAW_TAGS = frozenset(
     "script style template svg math iframe object textarea noembed noframes canvas audio video".split()
 )
-#: Words of a class, id or role that mark what surrounds an article, whatever stands beside them.
+#: Elements that never hold an article, however much text they have.
+NEVER_TAGS = frozenset("button datalist head input menu nav noscript option select title".split())
+#: Words of a class, id or role that mark what surrounds an article.
 BAD_NAMES = frozenset(
     "ad ads adv advert advertisement advertisements adverts alert alerts breadcrumb breadcrumbs "
-    "comment comments commentlist consent contentinfo cookie cookies copyright disclaimer discussion disqus "
+    "consent contentinfo cookie cookies copyright disclaimer "
     "footer footers form gdpr login menu menus modal nav navbar navigation newsletter "
     "paywall popup popups privacy promo promos promotion recommended "
-    "related replies reply respond responses sharing sidebar sidebars signup skip sponsor "
+    "related sharing sidebar sidebars signup skip sponsor "
     "sponsored sponsors subscribe subscription".split()
 )
+#: Words that mark what readers wrote, which may be longer than the article.
+READER_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+#: Words beside which a name tells a state of the element, not what it is.
+STATE_WORDS = frozenset("free has have hide hides is no non not show shows with without".split())
 #: Words that mark it unless a word for a part of an article stands beside them.
 WEAK_NAMES = frozenset(
     "banner banners byline dialog header headers masthead notice notices notification overlay pager "
@@ -73,15 +84,33 @@ MAX_LINK_DENSITY = 0.5
 LONG = 70
 MIN_STOP_DENSITY = 0.12
 
-#: Characters of a tag within which quotes are minded.
-TAG_REACH = 1 << 16
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Good text outside a marked element, as a share of that inside, above which the mark stands.
+FRAME = 0.25
+
+_EDGE = re.compile("[\"'>]")
+_NAME = re.compile(r"[^\s/>]*")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: What a block can be held against: nothing, a hint, its place.
-CLEAR, HINTED, APART = 0, 1, 2
+#: What is held against an element: nothing, a hint, its kind or name, that readers wrote it, that it is no text at all.
+CLEAR, HINTED, APART, READERS, NEVER = range(5)
+
+
+def tag_end(html: str, lt: int, doomed: set[int]) -> int:
+    """Where the tag that begins at ``lt`` ends, quotes minded; -1 if one of them never closes. ``doomed`` remembers the
+    quotes from which that was found, so that none is followed twice."""
+    at, opened = lt + 1, []
+    while (m := _EDGE.search(html, at)) and m.start() not in doomed:
+        if m[0] == ">":
+            return m.start()
+        opened.append(m.start())
+        close = html.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    doomed.update(opened)
+    return -1
 
 
 def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
@@ -89,6 +118,7 @@ def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
     text are left out. Every character is looked at a bounded number of times."""
     at, n = 0, len(html)
     last = html.rfind(">")
+    doomed: set[int] = set()
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -109,14 +139,12 @@ def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
             continue
         if lt > last:
             return  # a tag that is cut off, and none after it is whole
-        m = _TAG.match(html, lt, lt + TAG_REACH)
-        if m:
-            closing, name, attributes, at = bool(m[1]), m[2].lower(), m[3], m.end()
-        else:  # a quote that never ends, or a tag beyond all measure
-            at = html.find(">", lt) + 1
-            closing = after == "/"
-            name, _, attributes = html[lt + 1 + closing : at - 1].partition(" ")
-            name = name.strip("/").lower()
+        end = tag_end(html, lt, doomed)
+        if end < 0:  # a quote that never ends
+            end = html.find(">", lt)
+        closing = after == "/"
+        m = _NAME.match(html, lt + 1 + closing, end)
+        name, attributes, at = m[0].strip("/").lower(), html[m.end() : end], end + 1
         if name in RAW_TAGS and not closing:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -128,43 +156,62 @@ def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
 
 
 def against(tag: str, attributes: str, in_content: bool) -> int:
-    """Whether an element's tag sets it apart, or its names hint that it surrounds the article."""
-    if tag in BAD_TAGS or (tag == "header" and not in_content):
-        return APART
+    """What an element's tag or names hold against it."""
+    if tag in NEVER_TAGS:
+        return NEVER
+    found = APART if tag in BAD_TAGS or (tag == "header" and not in_content) else CLEAR
     if not attributes or tag in ("html", "body"):
-        return CLEAR
+        return found
     if _HIDDEN.search(attributes):
-        return APART
+        return NEVER
     if tag not in ("main", "p", "a", "b", "i", "em", "strong", "span", "h1"):
         for value in _NAMES.findall(attributes):
-            names = {x.lower() for x in _PARTS.findall(value)}
-            if not BAD_NAMES.isdisjoint(names):
-                return APART
-            if not WEAK_NAMES.isdisjoint(names) and PART_NAMES.isdisjoint(names):
-                return HINTED
-    return CLEAR
-
-
-def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
-    """The page's blocks in order: text, its characters inside links, what is held against it, whether an article or
-    main element holds it."""
-    out: list[tuple[str, int, int, bool]] = []
+            for one in value.strip("\"'").split():
+                names = {x.lower() for x in _PARTS.findall(one)}
+                if not STATE_WORDS.isdisjoint(names):
+                    continue
+                if not READER_NAMES.isdisjoint(names):
+                    return READERS
+                if not BAD_NAMES.isdisjoint(names):
+                    found = APART
+                elif found == CLEAR and not WEAK_NAMES.isdisjoint(names) and PART_NAMES.isdisjoint({x.lower() for x in _PARTS.findall(value)}):
+                    found = HINTED
+    return found
+
+
+#: A block: text, its characters inside links, its innermost mark or -1, is a hint against it, is it inside an article or main.
+Block = tuple[str, int, int, bool, bool]
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The page's blocks in order, and its marks, elements that something stronger than a hint is held against: what that
+    is, and the mark around it or -1."""
+    out: list[Block] = []
+    marks: list[tuple[int, int]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, int, bool, bool]] = []  # tag, what is held against it, is it an article, is it a link
     open_: Counter[str] = Counter()
-    held = [0, 0, 0]
-    content = links = 0
+    around = [-1]  # the marks that are open
+    content = links = hints = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = " ".join(_html.unescape("".join(text)).split())
             if body:
-                out.append((body, linked, APART if held[APART] else HINTED if held[HINTED] else CLEAR, content > 0))
+                out.append((body, linked, around[-1], hints > 0, content > 0))
             text.clear()
         linked = 0
 
+    def leave(entry: tuple[str, int, bool, bool]) -> None:
+        nonlocal content, links, hints
+        name, kind, c, a = entry
+        open_[name] -= 1
+        hints, content, links = hints - (kind == HINTED), content - c, links - a
+        if kind > HINTED:
+            around.pop()
+
     for tag, closing, raw, attributes in tokens(html):
         if not tag:
             text.append(raw)
@@ -177,22 +224,60 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
             text.append(" ")
         if closing:
             while open_[tag]:
-                name, b, c, a = stack.pop()
-                open_[name] -= 1
-                held[b], content, links = held[b] - 1, content - c, links - a
-                if name == tag:
+                entry = stack.pop()
+                leave(entry)
+                if entry[0] == tag:
                     break
         elif tag not in VOID_TAGS and not attributes.endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p":
-                open_["p"] -= 1
-                held[stack.pop()[1]] -= 1
-            entry = (tag, against(tag, attributes, content > 0), tag in ("article", "main"), tag == "a")
+                leave(stack.pop())
+            kind = against(tag, attributes, content > 0)
+            entry = (tag, kind, tag in ("article", "main"), tag == "a")
             stack.append(entry)
             open_[tag] += 1
-            held[entry[1]] += 1
-            content, links = content + entry[2], links + entry[3]
+            if kind > HINTED:
+                marks.append((kind, around[-1]))
+                around.append(len(marks) - 1)
+            hints, content, links = hints + (kind == HINTED), content + entry[2], links + entry[3]
     flush()
-    return out
+    return out, marks
+
+
+def frames(blocks: list[Block], marks: list[tuple[int, int]]) -> set[int]:
+    """The marks that are void: of elements that hold most of the page's good text. They are taken from the outside in,
+    the one with most good text first, as long as what stands outside all marks is little beside it; of what readers
+    wrote, as long as nothing stands outside."""
+    total, own = [0] * len(marks), [0] * len(marks)
+    outside = 0
+    for text, linked, mark, _, _ in blocks:
+        if len(text) >= LONG and linked <= MAX_LINK_DENSITY * len(text):
+            if mark < 0:
+                outside += len(text)
+            elif stop_density(text) >= MIN_STOP_DENSITY:
+                own[mark] += len(text)
+    below: dict[int, list[int]] = {}
+    for m in range(len(marks) - 1, -1, -1):  # a mark comes after the one around it
+        total[m] += own[m]
+        if marks[m][1] >= 0:
+            total[marks[m][1]] += total[m]
+        below.setdefault(marks[m][1], []).append(m)
+    void: set[int] = set()
+    heap: list[tuple[int, int]] = []
+
+    def reach(m: int) -> None:
+        for x in below.get(m, ()):
+            if total[x] and marks[x][0] != NEVER:
+                heappush(heap, (-total[x], x))
+
+    reach(-1)
+    while heap:
+        weight, m = heappop(heap)
+        if outside > (0 if marks[m][0] == READERS else -weight * FRAME):
+            continue
+        void.add(m)
+        outside += own[m]
+        reach(m)
+    return void
 
 
 def stop_density(text: str) -> float:
@@ -200,27 +285,30 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def label(block: tuple[str, int, int, bool], has_content: bool) -> str:
-    text, linked, apart, inside = block
+def label(block: Block, apart: bool, has_content: bool) -> str:
+    text, linked, _, hinted, inside = block
+    doubted = apart or hinted
     if linked > MAX_LINK_DENSITY * len(text):
-        return "bad" if apart or len(text) < 200 or linked > 0.9 * len(text) else "open"
-    if apart == APART or (apart == HINTED and not inside):
+        return "bad" if doubted or len(text) < 200 or linked > 0.9 * len(text) else "open"
+    if apart or (hinted and not inside):
         return "bad"
     if len(text) >= LONG:
         if stop_density(text) >= MIN_STOP_DENSITY:
             return "good" if inside or not has_content else "bad"
         return "open" if inside else "bad"
-    return "bad" if apart or (has_content and not inside) else "open"
+    return "bad" if doubted or (has_content and not inside) else "open"
 
 
 def extract(html: str | None) -> str:
-    blocks = blocks_of(html or "")
+    blocks, marks = blocks_of(html or "")
+    void = frames(blocks, marks)
+    apart = [m >= 0 and m not in void for _, _, m, _, _ in blocks]
     # An article is one that holds a block which nothing is held against.
-    has_content = any(inside and apart == CLEAR for _, _, apart, inside in blocks)
-    labels = [label(b, has_content) for b in blocks]
+    has_content = any(inside and not a and not hinted for (_, _, _, hinted, inside), a in zip(blocks, apart, strict=True))
+    labels = [label(b, a, has_content) for b, a in zip(blocks, apart, strict=True)]
     if "good" not in labels:
-        for i, (text, linked, apart, inside) in enumerate(blocks):
-            if not apart and (inside or not has_content) and linked <= MAX_LINK_DENSITY * len(text) and (len(text) >= LONG or inside):
+        for i, (text, linked, _, hinted, inside) in enumerate(blocks):
+            if not apart[i] and not hinted and (inside or not has_content) and linked <= MAX_LINK_DENSITY * len(text) and (len(text) >= LONG or inside):
                 labels[i] = "good"
     decided = [i for i, x in enumerate(labels) if x != "open"]
     final, k = [], 0
@@ -229,10 +317,10 @@ def extract(html: str | None) -> str:
             while k < len(decided) and decided[k] < i:
                 k += 1
             near = [j for j in ((decided[k - 1] if k else None), (decided[k] if k < len(decided) else None)) if j is not None]
-            if blocks[i][3]:  # inside an article, blocks of the article are its neighbours
-                near = [j for j in near if blocks[j][3]]
+            if blocks[i][4]:  # inside an article, blocks of the article are its neighbours
+                near = [j for j in near if blocks[j][4]]
             gaps = [(abs(j - i), labels[j] != "good") for j in near]
-            x = ("bad" if min(gaps)[1] else "good") if gaps else ("good" if blocks[i][3] or not has_content else "bad")
+            x = ("bad" if min(gaps)[1] else "good") if gaps else ("good" if blocks[i][4] or not has_content else "bad")
         final.append(x)
     return "\n\n".join(b[0] for b, x in zip(blocks, final, strict=True) if x == "good")
 
@@ -247,4 +335,4 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             yield pd.DataFrame({key: batch[key], url: batch[url], "text": texts, "n_chars": [len(t) for t in texts]})
 
     schema = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars bigint"
-    return pages.select(key, url, html).mapInPandas(run, schema)
+    return written(pages.select(key, url, html).mapInPandas(run, schema), "main-text", batch=200)

@@ -88,21 +88,47 @@ def level_targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
 
 
 def main_text(html: str | None) -> str:
-    """The block rules over the standard library's parser, every open block looking at all decided ones."""
+    """The block rules over the standard library's parser: every block knows all elements around it, frames are found by
+    going over all blocks again after each, and every open block looks at all decided ones."""
     from html.parser import HTMLParser
 
     from lumispan.llm import html_text as rules
 
-    blocks: list[list] = [["", 0, 0, False]]
+    blocks: list[list] = [["", 0, []]]  # text, linked characters, elements around it
 
     class Reader(HTMLParser):
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
-            self.open: list[tuple[str, int, bool]] = []
-            self.skip = 0
+            self.open: list[dict] = []
+            self.skip = self.seen = 0
 
         def cut(self) -> None:
-            blocks.append(["", 0, 0, False])
+            blocks.append(["", 0, list(self.open)])
+
+        def kind(self, tag: str, attrs: list, inside: bool) -> str:
+            if tag in rules.NEVER_TAGS:
+                return "never"
+            kind = "apart" if tag in rules.BAD_TAGS or (tag == "header" and not inside) else ""
+            values = dict(attrs)
+            if tag in ("html", "body"):
+                return kind
+            if "hidden" in values or (values.get("aria-hidden") or "").startswith("true") or re.search(r"display\s*:\s*none", values.get("style") or ""):
+                return "never"
+            if tag in ("main", "p", "a", "b", "i", "em", "strong", "span", "h1"):
+                return kind
+            cut = lambda v: {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", v)}
+            for name in ("class", "id", "role", "aria-label"):
+                value = values.get(name) or ""
+                for names in map(cut, value.split()):
+                    if names & rules.STATE_WORDS:
+                        continue
+                    if names & rules.READER_NAMES:
+                        return "readers"
+                    if names & rules.BAD_NAMES:
+                        kind = "apart"
+                    elif not kind and names & rules.WEAK_NAMES and not cut(value) & rules.PART_NAMES:
+                        kind = "hint"
+            return kind
 
         def handle_starttag(self, tag, attrs):
             if tag in rules.RAW_TAGS:
@@ -115,11 +141,11 @@ def main_text(html: str | None) -> str:
                 blocks[-1][0] += " "
             if tag in rules.VOID_TAGS:
                 return
-            if tag == "p" and self.open and self.open[-1][0] == "p":
+            if tag == "p" and self.open and self.open[-1]["tag"] == "p":
                 self.open.pop()
-            text = " ".join(k if v is None else f'{k}="{v}"' for k, v in attrs)
-            inside = any(o[2] for o in self.open)
-            self.open.append((tag, rules.against(tag, text, inside), tag in ("article", "main")))
+            inside = any(o["tag"] in ("article", "main") for o in self.open)
+            self.seen += 1
+            self.open.append({"tag": tag, "kind": self.kind(tag, attrs, inside), "n": self.seen})
 
         def handle_endtag(self, tag):
             if tag in rules.RAW_TAGS:
@@ -129,8 +155,8 @@ def main_text(html: str | None) -> str:
                 return
             if tag in rules.BLOCK_TAGS:
                 self.cut()
-            if any(o[0] == tag for o in self.open):
-                while self.open.pop()[0] != tag:
+            if any(o["tag"] == tag for o in self.open):
+                while self.open.pop()["tag"] != tag:
                     pass
 
         def handle_data(self, data):
@@ -138,43 +164,67 @@ def main_text(html: str | None) -> str:
                 return
             b = blocks[-1]
             b[0] += data
-            if any(o[0] == "a" for o in self.open):
+            if any(o["tag"] == "a" for o in self.open):
                 b[1] += len(data.strip())
-            b[2] = max([b[2], *(o[1] for o in self.open)])
-            b[3] = b[3] or any(o[2] for o in self.open)
+            b[2] = list(self.open)
 
     reader = Reader()
     reader.feed(html or "")
     reader.close()
-    found = [(" ".join(t.split()), linked, apart, inside) for t, linked, apart, inside in blocks if t.split()]
-    article = any(inside and not apart for _, _, apart, inside in found)
+    strong = ("apart", "readers", "never")
+    void: set[int] = set()
+    stops = lambda t: sum(w.strip(".,;:!?\"'()") in rules.STOP_WORDS for w in t.lower().split()) >= rules.MIN_STOP_DENSITY * len(t.split())
+    found = [(" ".join(t.split()), linked, around) for t, linked, around in blocks if t.split()]
+    long_ = [(len(t), stops(t), [o for o in around if o["kind"] in strong]) for t, linked, around in found if len(t) >= rules.LONG and 2 * linked <= len(t)]
+    refused: set[int] = set()
+    while True:
+        outside = sum(n for n, good, marks in long_ if (good or not marks) and all(o["n"] in void for o in marks))
+        held: Counter = Counter()
+        kinds = {}
+        for n, good, marks in long_:
+            standing = [o for o in marks if o["n"] not in void]
+            if good and standing:
+                held[standing[0]["n"]] += n
+                kinds[standing[0]["n"]] = standing[0]["kind"]
+        for n in list(held):
+            if n in refused or kinds[n] == "never":
+                del held[n]
+        if not held:
+            break
+        n, weight = min(held.items(), key=lambda x: (-x[1], x[0]))
+        if outside > (0 if kinds[n] == "readers" else 0.25 * weight):
+            refused.add(n)
+        else:
+            void.add(n)
+    rows = []
+    for t, linked, around in found:
+        apart = any(o["kind"] in strong and o["n"] not in void for o in around)
+        rows.append((t, linked, apart, any(o["kind"] == "hint" for o in around), any(o["tag"] in ("article", "main") for o in around)))
+    article = any(inside and not apart and not hint for _, _, apart, hint, inside in rows)
     labels = []
-    for text, linked, apart, inside in found:
-        stops = [w.strip(".,;:!?\"'()") in rules.STOP_WORDS for w in text.lower().split()]
+    for text, linked, apart, hint, inside in rows:
         if 2 * linked > len(text):
-            x = "bad" if apart or len(text) < 200 or linked > 0.9 * len(text) else "open"
-        elif apart == rules.APART or (apart and not inside):
+            x = "bad" if apart or hint or len(text) < 200 or linked > 0.9 * len(text) else "open"
+        elif apart or (hint and not inside):
             x = "bad"
         elif len(text) < rules.LONG:
-            x = "bad" if apart or (article and not inside) else "open"
-        elif sum(stops) >= rules.MIN_STOP_DENSITY * len(stops):
+            x = "bad" if hint or (article and not inside) else "open"
+        elif stops(text):
             x = "good" if inside or not article else "bad"
         else:
             x = "open" if inside else "bad"
         labels.append(x)
     if "good" not in labels:
-        for i, (text, linked, apart, inside) in enumerate(found):
-            if not apart and (inside or not article) and 2 * linked <= len(text) and (len(text) >= rules.LONG or inside):
+        for i, (text, linked, apart, hint, inside) in enumerate(rows):
+            if not apart and not hint and (inside or not article) and 2 * linked <= len(text) and (len(text) >= rules.LONG or inside):
                 labels[i] = "good"
     out = []
     for i, x in enumerate(labels):
         if x == "open":
-            decided = [(abs(i - j), y != "good") for j, y in enumerate(labels) if y != "open"]
             before = [(i - j, labels[j] != "good", j) for j in range(i) if labels[j] != "open"]
             after = [(j - i, labels[j] != "good", j) for j in range(i + 1, len(labels)) if labels[j] != "open"]
-            near = [min(s)[:2] for s in (before, after) if s and (not found[i][3] or found[min(s)[2]][3])]
-            x = ("bad" if min(near)[1] else "good") if near else ("good" if found[i][3] or not article else "bad")
-            assert decided or not near
+            near = [min(s)[:2] for s in (before, after) if s and (not rows[i][4] or rows[min(s)[2]][4])]
+            x = ("bad" if min(near)[1] else "good") if near else ("good" if rows[i][4] or not article else "bad")
         if x == "good":
-            out.append(found[i][0])
+            out.append(rows[i][0])
     return "\n\n".join(out)

@@ -52,17 +52,44 @@ def test_html_against_the_plain_version(spark):
         "<article><div class='widget-text'><p>" + "the and of to be in it was " * 6 + "</p></div><header class='article-header'><h1>T one two</h1></header><div class=comments><p>" + "the and of to " * 9 + "</p></div></article>",
         "<article><p>" + "これは記事の本文です。" * 12 + "</p></article><footer>" + "the and of it " * 9 + "</footer>",
     ]
+    prose = "<p>" + "It was said that the words of this block are good to have and that more of them are to come. " * 3 + "</p>"
+    made += [x % (prose * 2) for x in FRAMES]
+    made += [
+        f"<form id=f><nav><a href=x>a</a></nav>{prose * 3}<div class=comments>{prose * 9}</div><footer>{prose}</footer></form>",
+        f"<div class=sidebar>{prose}</div><div class=comments>{prose * 2}</div>", f"<form>{prose}</form><form>{prose * 2}</form>{prose}",
+        f"<div class=promo>{prose}<div class=ads>{prose * 9}<select>{prose}</select></div></div>", f"<div hidden>{prose}</div>",
+    ]
     for html in [r["html"] for r in pages] + made:
         assert html_text.extract(html) == brute.main_text(html), html and html[:300]
     assert "T one two" in html_text.extract(made[2]) and html_text.extract(made[2]).count("\n\n") == 1
     assert html_text.extract(made[1]).startswith("woord") and html_text.extract(made[3]).startswith("これは")
 
 
+FRAMES = (
+    "<form id=aspnetForm>%s</form>", "<div id=page class='no-sidebar'><article>%s</article></div>", "<div class='layout with-sidebar'><main>%s</main></div>",
+    "<div class='ad-free'>%s</div>", "<article class='post has-comments'>%s</article>", "<div class=newsletter><form>%s</form></div>", "<div>%s</div>",
+)
+
+
+def test_html_frames_of_a_whole_article_are_not_apart():
+    prose = "<p>" + "The article that is in here was written for all of those who like to read and it is long. " * 3 + "</p>"
+    want = html_text.extract(f"<body>{prose}{prose}</body>")
+    assert len(want) > 500
+    rest = "<div class=comments><p>I think that it is the best of all and that we have to say so.</p></div><footer><p>All of the rights to this text are with the owner of the site.</p></footer>"
+    for frame in FRAMES:
+        assert html_text.extract(f"<body>{frame % (prose * 2)}</body>") == want, frame
+        assert html_text.extract(f"<body>{frame % (prose * 2 + rest)}</body>") == want, frame
+    assert html_text.extract(f"<body>{prose * 2}<div class=comments>{prose * 20}</div></body>") == want
+    assert html_text.extract(f"<body><title>{prose}</title><nav>{prose}</nav></body>") == ""
+    for length in (10, 70_000, 300_000):
+        assert html_text.extract(f'{prose}<div data-props="a>b {"x" * length}">{prose}</div>') == want
+
+
 def test_broken_markup_takes_no_longer_than_its_length():
     import time
 
     start = time.time()
-    for html in ("<a " * 70_000, "<script " * 30_000, '<a "' * 50_001 + ">", "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<a '>\"" * 40_000):
+    for html in ("<a " * 70_000, "<script " * 30_000, '<a "' * 50_001 + ">", "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<a '>\"" * 40_000, '<a ">' * 50_001, "<a '\">" * 50_001, "<form>" * 50_000 + "<p>" + "of the and " * 99):
         html_text.extract(html)
     assert time.time() - start < 10
 
