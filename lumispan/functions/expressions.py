@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAIR = "!@#"
+#: Columns of a span that can be part of its identity.
+PRIMARY_KEYS = ("kind", "operation", "service", "status")
 # Span kinds and statuses by their numbers in the wire format.
 KINDS = ("", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
 STATUSES = ("UNSET", "OK", "ERROR")

@@ -90,6 +90,16 @@ def failure_analysis(mine: DataFrame, theirs: DataFrame, totals: DataFrame, cont
     )
 
 
+def failure_sections(sections: dict[tuple[str, str], tuple[DataFrame, DataFrame]], totals: DataFrame, context: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """``failure_analysis`` of several sections (query type, percentile or '-'), each a report of its own and one of what it is
+    held against, with the share of a key's filters that aren't features."""
+    out = None
+    for (kind, percentile), (mine, theirs) in sections.items():
+        one = failure_analysis(mine, theirs, totals, context, features).select(F.lit(kind).alias("query_type"), F.lit(percentile).alias("percentile"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("meta_ratio", F.when(F.col("level") > 0, F.col("meta_filters") / F.col("level")).otherwise(0.0))
+
+
 def histogram(rows: DataFrame, column: str, lo: float, hi: float, bins: int, worst: int = 20) -> DataFrame:
     """Rows per bin of a column, for all rows and for the ``worst`` ones; values beyond the ends are in the end bins."""
     bin_ = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(column) - lo) / (hi - lo) * bins))).cast("bigint")
@@ -97,12 +107,17 @@ def histogram(rows: DataFrame, column: str, lo: float, hi: float, bins: int, wor
     return both.groupBy("scope", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stored_sizes(approach: str, kept: DataFrame, handled: DataFrame, time: str = "bucket") -> DataFrame:
-    """Per time: the spans and bytes that an approach stores, and the bytes that it had to look at for that."""
+def span_bytes() -> Column:
+    """What a span takes: its texts, its attributes' values, and two numbers."""
     text = ["trace_id", "span_id", "parent_span_id", "service", "operation", "kind", "status"]
     held = F.coalesce(F.map_values("attrs"), F.array().cast("array<string>"))
     extra = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), extra + 16)
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), extra + 16)
+
+
+def stored_sizes(approach: str, kept: DataFrame, handled: DataFrame, time: str = "bucket") -> DataFrame:
+    """Per time: the spans and bytes that an approach stores, and the bytes that it had to look at for that."""
+    size = span_bytes()
     one = lambda d, n: d.groupBy(time).agg(F.count(F.lit(1)).alias(f"{n}_spans"), F.sum(size).cast("bigint").alias(f"{n}_bytes"))
     both = one(handled, "handled").join(one(kept, "stored"), time, "left").na.fill(0)
     return both.select(F.lit(approach).alias("approach"), time, "stored_spans", "stored_bytes", "handled_bytes")
@@ -166,17 +181,26 @@ def attribute_draws(fit: DataFrame, spans: DataFrame, attribute: str, seed: int
     return s.select("trace_id", "span_id", F.coalesce(drawn(u), drawn(u, "_any"))["value"].alias("value"))
 
 
+def boosted(rows: DataFrame, features: tuple[str, ...], target: str = "delta", trees: int = 20, seed: int = 42):
+    """Boosted trees of depth four over the features, missing ones as 0, and the rows that they were fitted on."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    r = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*features, target)])
+    r = VectorAssembler(inputCols=list(features), outputCol="features").transform(r)
+    return GBTRegressor(labelCol=target, maxIter=trees, maxDepth=4, seed=seed).fit(r), r
+
+
 def feature_importance(rows: DataFrame, features: tuple[str, ...], target: str = "delta", seed: int = 42) -> DataFrame:
     """Per feature: its share of the gains of boosted trees, and its weight in a linear model of standardised columns."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.regression import LinearRegression
 
-    r = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*features, target)])
-    r = VectorAssembler(inputCols=list(features), outputCol="raw").transform(r)
+    model, r = boosted(rows, features, target, seed=seed)
+    r = r.withColumnRenamed("features", "raw")
     r = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(r).transform(r)
-    trees = GBTRegressor(labelCol=target, maxIter=20, maxDepth=4, seed=seed).fit(r).featureImportances.toArray()
     line = LinearRegression(labelCol=target, standardization=False).fit(r).coefficients.toArray()
-    found = [(f, float(a), float(b)) for f, a, b in zip(features, trees, line, strict=True)]
+    found = [(f, float(a), float(b)) for f, a, b in zip(features, model.featureImportances.toArray(), line, strict=True)]
     return rows.sparkSession.createDataFrame(found, "feature string, importance double, coefficient double")
 
 

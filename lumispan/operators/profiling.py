@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.expressions import clamp
 from .model import MEMORISED
 from .tree import with_parent
 
@@ -81,6 +82,55 @@ def offset_models(a: DataFrame) -> DataFrame:
     return pairs.groupBy("model").agg(F.count(F.lit(1)).alias("pairs"), F.avg("p50").alias("p50"), F.avg("p90").alias("p90"))
 
 
+def offset_percentiles(a: DataFrame) -> DataFrame:
+    """How well lines over the position return the distribution of gaps and durations, as ratios of the parent's duration
+    and as logarithms, within the bounds that the samples had.
+
+    Per model: pairs, groups (bucket and pair), memorised groups, and per gap and dur the mean over pairs of the relative
+    error of the median, the 90th and the 99th percentile. A group's lines are fitted on all its samples; compared are
+    those of positive duration and no negative gap. Groups of at most 20 of them are memorised and count as exact.
+    """
+    p = with_parent(a.drop("p_span_id"), ["feature", "start_us", "dur_us"], "inner").where("p_dur_us > 0")
+    key = ["bucket", "p_feature", "feature"]
+    gap, dur = (F.col("start_us") - F.col("p_start_us")).cast("double"), F.col("dur_us").cast("double")
+    s = p.select(*key, F.col("normal_position").alias("x"), gap.alias("gap"), dur.alias("dur"), F.col("p_dur_us").cast("double").alias("d"))
+    held = {y: F.greatest(F.lit(0.0), F.col(y)) for y in ("gap", "dur")}
+    targets = {("ratio", y): v / F.col("d") for y, v in held.items()} | {("log", y): F.log1p(v) for y, v in held.items()}
+    x, sums = F.col("x"), [F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx")]
+    for (m, y), v in targets.items():
+        sums += [F.sum(v).alias(f"s_{m}_{y}"), F.sum(x * v).alias(f"sx_{m}_{y}")]
+    valid = (F.col("dur") > 0) & (F.col("gap") >= 0)
+    for y in ("gap", "dur"):
+        sums += [F.min(F.when(valid, F.col(y))).alias(f"{y}_lo"), F.max(F.when(valid, F.col(y))).alias(f"{y}_hi")]
+    f = s.groupBy(*key).agg(*sums, F.sum(valid.cast("bigint")).alias("valid"))
+    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    for m, y in targets:
+        slope = F.when((F.col("n") < 2) | (F.abs(det) < 1e-15), 0.0).otherwise((F.col("n") * F.col(f"sx_{m}_{y}") - F.col("sx") * F.col(f"s_{m}_{y}")) / det)
+        f = f.withColumn(f"b1_{m}_{y}", slope).withColumn(f"b0_{m}_{y}", (F.col(f"s_{m}_{y}") - F.col(f"b1_{m}_{y}") * F.col("sx")) / F.col("n"))
+    s = s.where(valid).join(f, key)
+    line = {(m, y): F.col(f"b0_{m}_{y}") + F.col(f"b1_{m}_{y}") * x for m, y in targets}
+    d, one = F.col("d"), F.lit(1.0)
+    inside = lambda v, y: clamp(v, F.col(f"{y}_lo"), F.col(f"{y}_hi"))
+    share = {y: clamp(inside(clamp(line["ratio", y], F.lit(0.0), one) * d, y) / d, F.lit(0.0), one) for y in held}
+    both = share["gap"] + share["dur"]
+    back = {("ratio", y): F.when(both > 1, share[y] / both).otherwise(share[y]) * d for y in held}
+    back |= {("log", y): clamp(inside(F.exp(clamp(line["log", y], F.lit(0.0), F.lit(30.0))) - 1, y), F.lit(0.0), d) for y in held}
+    exact = F.col("valid") <= MEMORISED
+    rows = s.select(*key, "valid", "gap", "dur", *[
+        F.when(exact, F.col(y)).otherwise(F.greatest(v, one) if y == "dur" else v).alias(f"{m}_{y}") for (m, y), v in back.items()
+    ])
+    at = F.array(*[F.lit(q) for q in (0.5, 0.9, 0.99)])
+    g = rows.groupBy(*key).agg(F.max("valid").alias("valid"), *[F.percentile(c, at).alias(c) for c in ("gap", "dur", *[f"{m}_{y}" for m, y in back])])
+    error = lambda m, y, i: F.when(F.get(y, F.lit(i)) > 0, F.abs(F.get(f"{m}_{y}", F.lit(i)) - F.get(y, F.lit(i))) / F.get(y, F.lit(i))).otherwise(0.0)
+    names = [(y, i, f"{y}_{q}") for y in ("gap", "dur") for i, q in enumerate(("p50", "p90", "p99"))]
+    each = [F.struct(F.lit(m).alias("model"), *[error(m, y, i).alias(n) for y, i, n in names]) for m in ("ratio", "log")]
+    g = g.select(*key, "valid", F.explode(F.array(*each)).alias("e")).select(*key, "valid", "e.*")
+    pairs = g.groupBy("p_feature", "feature", "model").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum((F.col("valid") <= MEMORISED).cast("bigint")).alias("memorised"), *[F.avg(n).alias(n) for *_, n in names]
+    )
+    return pairs.groupBy("model").agg(F.count(F.lit(1)).alias("pairs"), F.sum("groups").alias("groups"), F.sum("memorised").alias("memorised"), *[F.avg(n).alias(n) for *_, n in names])
+
+
 def edge_cover(spans: DataFrame) -> DataFrame:
     """How often each edge of node names occurs among the spans' ancestors, once per span: parent, child, weight."""
     from .trace_queries import node_name

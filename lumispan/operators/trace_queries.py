@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import PAIR, group_entries, group_keys, span_entries
@@ -150,6 +150,30 @@ def child_sets(spans: DataFrame) -> DataFrame:
     )
 
 
+def relay_types(spans: DataFrame) -> DataFrame:
+    """One row: features, how many of them never have a child, have one at most, or may have several, their shares in
+    percent; and of the last, how many have one set (multiset) of child features in over half of their calls with
+    children, of two such calls or more."""
+    kinds = child_sets(spans).select("feature", "parents", "most", "top_set_share", "top_multiset_share")
+    rows = spans.select("feature").distinct().join(kinds, "feature", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    often = (F.col("most") > 1) & (F.col("parents") >= 2)
+    out = rows.agg(
+        F.count(F.lit(1)).alias("types"), count(F.col("most") == 0).alias("leaf"), count(F.col("most") == 1).alias("single"), count(F.col("most") > 1).alias("variable"),
+        count(often & (F.col("top_set_share") > 0.5)).alias("one_set"), count(often & (F.col("top_multiset_share") > 0.5)).alias("one_multiset"),
+    )
+    share = lambda c: (F.when(F.col("types") > 0, F.col(c) * 100.0 / F.col("types")).otherwise(0.0)).alias(f"{c}_percent")
+    return out.select("*", share("leaf"), share("single"), share("variable"))
+
+
+def volume(spans: DataFrame, size: Column) -> DataFrame:
+    """One row: bytes, the window of the starts in seconds, TiB a day at that rate, and dollars a month of 30 days at 0.10 a
+    GiB; no rate where there is no window."""
+    v = spans.agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"), F.coalesce((F.max("start_us") - F.min("start_us")) / 1e6, F.lit(0.0)).alias("window_s"))
+    v = v.withColumn("tib_a_day", F.when(F.col("window_s") > 0, F.col("bytes") / F.col("window_s") * 86_400 / float(1 << 40)))
+    return v.withColumn("dollars_a_month", F.col("tib_a_day") * 1024 * 30 * 0.10)
+
+
 def orphan_stats(spans: DataFrame) -> DataFrame:
     """Share of spans that name a missing parent, and of traces without such a span."""
     orphan = (F.col("parent_span_id").isNotNull() & ~F.col("has_parent")).cast("int")

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hash32
-from ..operators import analysis, model, postings, samplers, scoring
+from ..operators import analysis, model, modes, normalise, postings, profiling, samplers, scoring, tree
 from ..operators import trace_queries as tq
 from ..operators.model_state import ModelState, state_of
+from ..operators.measure import Timings, measured_costs
 from ..operators.model_store import ModelStore
-from ..schema import PRIMARY
-from .queries import CONFIG, HEAD, _q, _r, spans
+from ..operators.shapley import importance, shapley_values
+from ..schema import DAY_US, PRIMARY
+from ..sources import protobuf
+from ..sources.formats import read_otlp_proto
+from ..sources.tables import conversations_as_spans, events_as_spans
+from .analysis_queries import EXPLAINING, FEATURES, _analysed, _read_back, _sizes
+from .queries import CONFIG, HEAD, _q, _r, _scored, spans
 from .storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +91,88 @@ def _rate_report(s: DataFrame, h: DataFrame) -> DataFrame:
     return scoring.series_report(tq.rate_over_time(s, attributes=ATTRIBUTES), tq.rate_over_time(h, attributes=ATTRIBUTES), scale=float(HEAD))
 
 
+def proto_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans written as OTLP protobuf in sixteen files and read back; ids become hexadecimal first."""
+    s = events_as_spans(spark, sf_dir)
+    short = {c: F.when(F.col(c).isNotNull(), F.substring(F.md5(F.col(c)), 1, 16)) for c in ("span_id", "parent_span_id")}
+    path = f"{shared_folder(spark)}/proto-{uuid.uuid4().hex}"
+    protobuf.write_otlp_proto(s.withColumns({"trace_id": F.md5("trace_id"), **short}), path, 16)
+    return _read_back(read_otlp_proto(spark, f"{path}/*.pb"))
+
+
+def _approaches(s: DataFrame) -> dict[str, DataFrame]:
+    return {"all": s, "head_4": samplers.head(s, HEAD), "tail": samplers.tail(s)}
+
+
+def _timed(s: DataFrame) -> Timings:
+    timings = Timings(s.sparkSession)
+    for name, kept in _approaches(s).items():
+        timings.run(name, kept, analysis.span_bytes())
+    return timings
+
+
+def step_timings(s: DataFrame) -> DataFrame:
+    """What each approach wrote, and whether it was timed; seconds differ from run to run."""
+    return _timed(s).table().select("step", "phase", "rows", "bytes", (F.col("seconds") > 0).alias("timed"))
+
+
+def measured(s: DataFrame) -> DataFrame:
+    """Costs of approaches at the seconds that they took."""
+    return measured_costs(_sizes(s), _timed(s).table())
+
+
+def scalability(s: DataFrame, scales: tuple[int, ...] = (20, 60)) -> DataFrame:
+    """Per number of traces: what they are, and what training on them takes and leaves."""
+    out = None
+    for n in scales:
+        part = normalise.derived(normalise.subsampled(s, n).select(*events_columns(s)), DAY_US)
+        timings = Timings(s.sparkSession)
+        raw = timings.run(f"raw_{n}", part, analysis.span_bytes())
+        rows = timings.run(f"model_{n}", model_rows(state_of(raw, CONFIG).finalised()), F.octet_length(F.to_json(F.struct("*"))))
+        t = timings.table().agg(F.max(F.when(F.col("step") == f"raw_{n}", F.col("bytes"))).alias("raw_bytes"), (F.min("seconds") > 0).alias("timed"))
+        one = raw.agg(F.countDistinct("trace_id").alias("traces"), F.count(F.lit(1)).alias("spans")).crossJoin(t)  # a row each
+        one = one.select(F.lit(n).cast("bigint").alias("n"), "traces", "spans", "raw_bytes", (F.lit(rows.count()) > 0).alias("trained"), "timed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def events_columns(s: DataFrame) -> list[str]:
+    return [c for c in ("trace_id", "span_id", "parent_span_id", "service", "operation", "kind", "status", "start_us", "dur_us", "attrs") if c in s.columns]
+
+
+def shapley_importance(s: DataFrame, h: DataFrame) -> DataFrame:
+    rows = _analysed(s, h)
+    trees, _ = analysis.boosted(rows, EXPLAINING)
+    return importance(shapley_values(rows, trees, EXPLAINING, "group_key"), EXPLAINING)
+
+
+def mode_normalised(s: DataFrame) -> DataFrame:
+    """Durations and offsets of spans as modes and places in them."""
+    columns = {"duration": F.log1p(F.greatest("dur_us", F.lit(0))), "offset": F.col("start_us") - F.col("trace_start")}
+    codes, _ = modes.normalised(s, columns, ["span_id"])
+    return codes.select("span_id", *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in columns for x in ("mode", "alpha")])
+
+
+def failure_sections(s: DataFrame, h: DataFrame) -> DataFrame:
+    """Rate, errors and three percentiles of durations of one trace in four, held against one in two."""
+    other = samplers.head(s, 2)
+    durations = {n: tq.durations_over_time(d) for n, d in (("base", s), ("mine", h), ("theirs", other))}
+    sections = {
+        ("rate", "-"): tuple(scoring.series_report(tq.rate_over_time(s), tq.rate_over_time(d), scale=x) for d, x in ((h, float(HEAD)), (other, 2.0))),
+        ("error", "-"): tuple(scoring.series_report(tq.errors_over_time(s), tq.errors_over_time(d), scale=x) for d, x in ((h, float(HEAD)), (other, 2.0))),
+    }
+    for p in ("p50", "p90", "p99"):
+        sections["duration", p] = tuple(scoring.series_report(durations["base"], durations[d], p).drop("weight").join(tq.totals(tq.rate_over_time(s)).withColumnRenamed("n", "weight"), "group_key") for d in ("mine", "theirs"))
+    return analysis.failure_sections(sections, tq.totals(tq.rate_over_time(s)), analysis.query_context(s), FEATURES)
+
+
+def offset_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of services over months."""
+    s = normalise.derived(events_as_spans(spark, sf_dir), 30 * DAY_US, ("service",))
+    out = profiling.offset_percentiles(model.annotated(s))
+    return _r(out, *[c for c in out.columns if c[:4] in ("gap_", "dur_")], digits=5)
+
+
 def model_queries() -> dict[str, Query]:
     return {
         "rate_by_attribute": _q(lambda s: tq.rate_over_time(s, attributes=ATTRIBUTES)),
@@ -95,4 +183,15 @@ def model_queries() -> dict[str, Query]:
         "posting_counts": _q(posting_counts),
         "model_merged": model_merged,
         "model_store": model_store,
+        "proto_scan": proto_scan,
+        "relay_types": _q(lambda s: _r(tq.relay_types(s), "leaf_percent", "single_percent", "variable_percent")),
+        "volume": _q(lambda s: _r(tq.volume(s, analysis.span_bytes()), "window_s", "tib_a_day", "dollars_a_month", digits=9)),
+        "failure_sections": _scored(lambda s, h: _r(failure_sections(s, h), "skew", "avg_depth", "shared_edge_rate", "fidelity", "their_fidelity", "delta", "meta_ratio")),
+        "offset_percentiles": offset_percentiles,
+        "paths_of_five": lambda spark, sf_dir: tree.paths(normalise.derived(conversations_as_spans(spark, sf_dir), DAY_US)).select("span_id", F.translate(F.array_join("path", ">"), "\0", ";").alias("path")),
+        "step_timings": _q(step_timings),
+        "measured_costs": _q(measured),
+        "scalability": _q(scalability),
+        "shapley_importance": _scored(shapley_importance),
+        "mode_normalised": _q(mode_normalised),
     }

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .formats import read_jaeger, read_otlp_json, read_otlp_proto, read_trace_csv
+from .formats import JAEGER, OTLP, jaeger_spans, otlp_spans, read_otlp_proto, read_trace_csv
 
 RUNS = ("1", "2", "3")
 
@@ -21,20 +21,25 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def read_json_folder(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The spans of JSON files of both formats side by side. Each reader takes all files and keeps what has its own keys, so
+    nobody has to look into a file first: OTLP is a request a line, or a request a file where no line of it is one; Jaeger is
+    a document a file."""
+    lines = spark.read.schema(OTLP).option("mode", "DROPMALFORMED").json(files)
+    lines = lines.where("resourceSpans is not null").select("resourceSpans", F.col("_metadata.file_path").alias("file"))
+    whole = spark.read.schema(f"{OTLP}, {JAEGER}").option("multiLine", True).json(files).select("resourceSpans", "data", F.col("_metadata.file_path").alias("file"))
+    single = whole.where("resourceSpans is not null").join(lines.select("file").distinct(), "file", "left_anti")
+    otlp = otlp_spans(lines.select("resourceSpans").unionByName(single.select("resourceSpans")))
+    return otlp.unionByName(jaeger_spans(whole.where("data is not null").select("data")))
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The spans of all *.json, *.pb and *.csv files of a folder. JSON files are told apart by their keys: those with "data" are
-    Jaeger's."""
+    """The spans of all *.json, *.jsonl, *.pb and *.csv files of a folder."""
     names = files_of(spark, path)
     parts = []
     json = [n for n in names if n.endswith(".json") or n.endswith(".jsonl")]
     if json:
-        head = F.substring(F.trim("value"), 1, 4096)
-        texts = spark.read.text(json, wholetext=True).select(F.col("_metadata.file_path").alias("file"), head.alias("v"))
-        jaeger = F.col("v").rlike(r'^\{[^\[]*"data"')
-        kinds = {r["file"]: r["j"] for r in texts.select("file", jaeger.alias("j")).collect()}  # a row per file name
-        for want, reader in ((True, read_jaeger), (False, read_otlp_json)):
-            if chosen := [f for f, j in kinds.items() if j == want]:
-                parts.append(reader(spark, chosen))
+        parts.append(read_json_folder(spark, json))
     if any(n.endswith(".pb") for n in names):
         parts.append(read_otlp_proto(spark, f"{path}/*.pb"))
     if any(n.endswith(".csv") for n in names):

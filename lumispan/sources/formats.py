@@ -150,7 +150,12 @@ def read_otlp_proto(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Jaeger JSON, a document per file or per line: the parent is the first CHILD_OF reference; a tag error=true is the status, not an attribute."""
-    t = spark.read.schema(JAEGER).option("multiLine", not lines).json(path).select(F.explode("data").alias("t"))
+    return jaeger_spans(spark.read.schema(JAEGER).option("multiLine", not lines).json(path))
+
+
+def jaeger_spans(documents: DataFrame) -> DataFrame:
+    """Spans of rows of Jaeger documents."""
+    t = documents.select(F.explode("data").alias("t"))
     s = t.select(F.col("t.processes").alias("p"), F.explode("t.spans").alias("s"))
     parent = F.get(F.filter(F.coalesce("s.references", F.array().cast("array<struct<refType:string,spanID:string>>")), lambda r: r["refType"] == "CHILD_OF"), 0)["spanID"]
     tags = F.coalesce("s.tags", F.array().cast("array<struct<key:string,type:string,value:string>>"))
@@ -205,14 +210,14 @@ def read_flat_csv(spark: SparkSession, path: str, max_values: int = 50) -> tuple
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
-    """csv, jaeger, otlp or proto, from the name or the first JSON's keys."""
+    """csv, jaeger, otlp or proto, from the name or the keys of the first record."""
     if path.endswith(".csv"):
         return "csv"
     if path.endswith(".pb"):
         return "proto"
-    first = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096).alias("v")).first()
-    text = (first["v"] if first else "").lstrip()
-    return "jaeger" if text.startswith("{") and '"data"' in text.split("[", 1)[0] else "otlp"
+    keys = spark.read.schema(f"{OTLP}, {JAEGER}").option("multiLine", True).json(path).select((F.col("data").isNotNull()).alias("jaeger"))
+    first = keys.limit(1).collect()
+    return "jaeger" if first and first[0]["jaeger"] else "otlp"
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.model import Model, train
 from ..operators.normalise import derived, last_wins
 from ..operators.samplers import PathModel, keep_probability
 from ..schema import ModelConfig
+from ..sources.feed import ModelFeed
 
 SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service", "operation", "kind", "status", "start_us", "dur_us"]
 
@@ -94,6 +95,7 @@ def train_batches(stream: DataFrame, models: str, checkpoint: str, config: Model
             part = spans.where(F.pmod(F.xxhash64("trace_id"), F.lit(parts)) == i) if parts > 1 else spans
             name = f"batch={number}" if parts == 1 else f"batch={number}-{i}"
             train(derived(part, config.bucket_us, config.primary), config).save(f"{models}/{name}")
+            batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{models}/{name}/done")  # last: the model is whole
 
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -111,6 +113,19 @@ def regenerate_batches(spark: SparkSession, models: str, checkpoint: str, config
     return named.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def regenerate_feed(spark: SparkSession, models: str, checkpoint: str, config: ModelConfig, emit: Callable[[DataFrame, str], None], queue: int = 16):
+    """Hand the synthetic spans of each finished model to ``emit``, in order; of more than ``queue`` models that finished
+    meanwhile the oldest are dropped. Drains what is there and stops."""
+    spark.dataSource.register(ModelFeed)
+    found = spark.readStream.format("model_feed").option("path", models).option("queue", queue).load()
+
+    def flush(batch: DataFrame, number: int) -> None:
+        for row in batch.orderBy("name").collect():  # at most ``queue`` names
+            emit(generate(Model.load(spark, row["path"], config)), row["name"])
+
+    return found.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_cusum(series: DataFrame) -> DataFrame:
     """Cumulative sums of a stream of (service, signal, time, value), by the rule of the batch operator, where times
     come in order: the first points are the baseline, sums run over those after them."""

@@ -97,3 +97,80 @@ def test_running_sifter_equals_one_fold(spark, tmp_path):
         recent = [*recent, loss][-50:]
     got = {r["trace_id"]: (round(r["loss"], 9), r["kept"]) for r in spark.sql("select * from sifted").collect()}
     assert got == want
+
+
+def drained(query, name):
+    query.processAllAvailable()
+    query.stop()
+    return name
+
+
+def test_feed_hands_on_each_model_once_and_counts_what_it_drops(spark, tmp_path):
+    from lumispan.sources.feed import ModelFeed
+
+    def finish(*names):
+        for n in names:
+            (tmp_path / "models" / n / "done").mkdir(parents=True)
+            (tmp_path / "models" / n / "done" / "_SUCCESS").touch()
+
+    spark.dataSource.register(ModelFeed)
+    seen = []
+
+    def run():
+        feed = spark.readStream.format("model_feed").option("path", str(tmp_path / "models")).option("queue", 3).load()
+        q = feed.writeStream.foreachBatch(lambda b, _: seen.extend(sorted((r["name"], r["dropped"]) for r in b.collect()))).option("checkpointLocation", str(tmp_path / "c"))
+        drained(q.start(), "")
+
+    finish("batch=0", "batch=1")
+    (tmp_path / "models" / "batch=2").mkdir()  # not finished
+    run()
+    assert seen == [("batch=0", 0), ("batch=1", 0)]
+    finish("batch=3", "batch=4", "batch=5", "batch=6", "batch=7")
+    run()
+    run()
+    assert seen[2:] == [("batch=5", 2), ("batch=6", 0), ("batch=7", 0)]
+
+
+def test_feed_waits_longer_after_each_failure(monkeypatch):
+    from lumispan.sources import feed
+
+    pauses, left = [], [OSError(), OSError(), OSError()]
+
+    def listed(path, marker):
+        if left:
+            raise left.pop()
+        return ["a", "b"]
+
+    monkeypatch.setattr(feed, "listed", listed)
+    monkeypatch.setattr(feed.time, "sleep", pauses.append)
+    reader = feed.FeedReader("/x", 4, "done")
+    assert reader.latestOffset() == {"upto": "b"} and pauses == [1.0, 2.0, 4.0]
+    left += [OSError()] * feed.ATTEMPTS
+    assert reader.latestOffset() == {"upto": "b"} and len(pauses) == 3 + feed.ATTEMPTS - 1 and max(pauses) <= 30.0
+
+
+def test_buffer_flushes_when_full_and_when_quiet(spark, tmp_path):
+    from lumispan.streaming import buffer
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buffer.ROCKS)
+    columns = "trace_id string, span_id string, parent_span_id string, service string, operation string, kind string, status string, start_us bigint, dur_us bigint"
+    row = lambda t, s, d=1: (t, s, None, "a", "o", "", "0", 1, d)
+    files = [[row("t1", "x"), row("t1", "x", 9), row("t1", "y"), row("t2", "x")], [row("t3", "x"), row("t4", "x"), row("t1", "late")]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    flushed = buffer.buffered(stream, st.BufferConfig(max_traces_per_model=3, flush_seconds=2))
+    q = flushed.writeStream.format("memory").queryName("flushes").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    import time
+
+    for _ in range(60):
+        time.sleep(1)
+        rows = spark.sql("select * from flushes").collect()
+        if len(rows) >= 6:
+            break
+    q.stop()
+    by_flush = {}
+    for r in rows:
+        by_flush.setdefault(r["flush"], set()).add((r["trace_id"], r["span_id"], r["dur_us"]))
+    assert by_flush[0] == {("t1", "x", 9), ("t1", "y", 1), ("t2", "x", 1), ("t3", "x", 1)}  # full at the third trace
+    assert by_flush[1] == {("t4", "x", 1), ("t1", "late", 1)}  # a new partial trace, flushed by the timer
