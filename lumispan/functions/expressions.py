@@ -136,6 +136,78 @@ def sampling_rate(approach: Column) -> Column:
     return F.when(n == "", 1).otherwise(n.cast("int"))
 
 
+def query_section(query: Column) -> Column:
+    """What stands before the first '::' of a report's query; all of it where there is none."""
+    return F.substring_index(query, "::", 1)
+
+
+def query_key(query: Column) -> Column:
+    """The group key of a report's query: what follows the first '::'."""
+    at = F.instr(query, "::")
+    return F.when(at > 0, F.substring(query, at + 2, F.length(query))).otherwise("")
+
+
+def section_kind(section: Column) -> Column:
+    """rate, duration or error of a section over time; other sections are their own kind."""
+    over_time = F.regexp_extract(section, r"^(rate|duration|error)_over_time$|^(duration)_over_time_p", 0)
+    return F.when(over_time == "", section).otherwise(F.substring_index(over_time, "_", 1))
+
+
+def section_percentile(section: Column) -> Column:
+    """p50 and the like of a section of durations, else '-'."""
+    found = F.regexp_extract(section, r"^duration_over_time_(p.*)$", 1)
+    return F.when(found == "", "-").otherwise(found)
+
+
+#: Words that an approach's name begins with, after that of an application.
+APPROACHES = ("head", "hindsight", "model", "sifter", "tail")
+
+
+def experiment(name: Column, approaches: tuple[str, ...] = APPROACHES) -> Column:
+    """An experiment's name, <application>_<approach>_<iteration>, as a struct of approach, variant (its rate, or what sets
+    it apart from others of its approach), display and iteration ('1' where none is given); null without a known approach."""
+    parts = F.split(name, "_")
+    at = _first_of(parts, approaches)
+    last = F.element_at(parts, -1)
+    numbered = last.rlike("^[0-9]+$")
+    own = F.slice(parts, at, F.size(parts) - at + F.when(numbered, 0).otherwise(1))
+    approach = F.get(own, 0)
+    rest = F.array_join(F.slice(own, 2, F.size(own)), "_")
+    rate = F.get(own, 1)
+    display = (
+        F.when((approach == "head") & rate.isNotNull(), F.concat(F.lit("1:"), rate))
+        .when((approach == "sifter") & rate.isNotNull(), F.concat(F.lit("Sifter 1:"), rate))
+        .when(approach.isin("tail", "hindsight"), F.initcap(approach))
+        .otherwise(F.concat(F.initcap(approach), F.when(rest == "", "").otherwise(F.concat(F.lit(" "), rest))))
+    )
+    iteration = F.when(numbered, last).otherwise("1")
+    out = F.struct(approach.alias("approach"), F.when(rest == "", approach).otherwise(rest).alias("variant"), display.alias("display"), iteration.alias("iteration"))
+    return F.when((at > 0) & (F.size(own) > 0), out)
+
+
+def _first_of(parts: Column, words: tuple[str, ...]) -> Column:
+    """The place, from 1, of the first of the words; 0 where none occurs."""
+    places = F.filter(F.array(*[F.array_position(parts, w) for w in words]), lambda p: p > 0)
+    return F.coalesce(F.array_min(places), F.lit(0)).cast("int")
+
+
+#: Head rates that overviews show.
+SHOWN_RATES = (1, 2, 3, 5, 10, 20, 50, 100)
+
+
+def experiment_class(of: Column, rates: tuple[int, ...] = SHOWN_RATES) -> Column:
+    """The approach that an overview shows an ``experiment`` under; null for variants and rates that it leaves out."""
+    rate = F.regexp_extract(of["variant"], "^([0-9]+)(_|$)", 1)
+    head = F.when(rate.isin(*[str(r) for r in rates]), "Head")
+    return (
+        F.when(of["approach"] == "head", head)
+        .when((of["approach"] == "model") & of["variant"].isin("model", "default"), "Model")
+        .when((of["approach"] == "model") & (of["variant"] == "template"), "Model by template")
+        .when(of["approach"].isin("tail", "hindsight"), F.initcap(of["approach"]))
+        .when(of["approach"] == "sifter", "Sifter")
+    )
+
+
 def root_cause_of(scenario: Column) -> Column:
     """The service that a fault-injection scenario names: its name without the fault."""
     return F.regexp_replace(scenario, f"_({'|'.join(FAULTS)})$", "")

@@ -148,6 +148,30 @@ def generate(model: Model) -> DataFrame:
     return with_attributes(out.drop("_n", "max_tree"), model)
 
 
+def generated_counts(model: Model) -> DataFrame:
+    """Per bucket the traces and spans that ``generate`` would return, without times and attributes: topology alone decides."""
+    start = model.tables["start"] if model.config.topology_mode == "edge" else model.tables["templates"]
+    if model.config.topology_mode == "template":
+        return start.groupBy("bucket").agg(F.sum("n").alias("traces"), F.sum(F.col("n") * F.col("size")).alias("spans"))
+    c, places = model.config, place_table(model)
+    roots = start.select("bucket", "trace_type", "feature", "child_count", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
+    name = F.md5(F.concat_ws(":", F.lit(c.seed), "bucket", "trace_type", "feature", "child_count", "i"))
+    level = stored(roots.select("bucket", "trace_type", name.alias("trace_id"), "feature", "child_count", F.lit("0").alias("path")), "counted")
+    per = level.groupBy("bucket", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+    for _ in range(c.max_depth):
+        position = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("child_count"), F.lit(c.max_children)) - 1)).alias("position")
+        s = level.where("child_count > 0").select("bucket", "trace_type", "trace_id", F.col("feature").alias("parent"), F.col("child_count").alias("parent_count"), "path", position)
+        s = s.withColumn("path", F.concat_ws(".", "path", "position")).join(places, list(SLOT))
+        pick = drawn(uniform("child", F.lit(c.seed), F.col("trace_id"), F.col("path")), "_child")
+        level = stored(s.withColumn("_pick", pick).select("bucket", "trace_type", "trace_id", "_pick.feature", "_pick.child_count", "path"), "counted")
+        if level.isEmpty():
+            break
+        per = per.unionByName(level.groupBy("bucket", "trace_id").agg(F.count(F.lit(1)).alias("n")))
+    most = model.tables["bucket_meta"].select("bucket", "max_tree")
+    per = per.groupBy("bucket", "trace_id").agg(F.sum("n").alias("n")).join(most, "bucket")
+    return per.groupBy("bucket").agg(F.count(F.lit(1)).alias("traces"), F.sum(F.least("n", "max_tree")).alias("spans"))
+
+
 def with_attributes(spans: DataFrame, model: Model) -> DataFrame:
     """Draw each dependent attribute from what its pair of features had; the parent's feature goes."""
     for d in model.config.dependent:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expressions import hash32, signature
 from ..schema import MINUTE_US, PRIMARY
+from .numbering import numbered
 from .tree import closure, with_parent
 
 
@@ -82,6 +83,12 @@ def subsampled(spans: DataFrame, traces: int, seed: int = 42) -> DataFrame:
     return spans.join(chosen, "trace_id", "left_semi")
 
 
+def trace_chunks(spans: DataFrame, traces: int = 500) -> DataFrame:
+    """Add chunk: whole traces in order of their ids, so many a chunk and the rest in the last."""
+    ids = numbered(spans.select("trace_id").distinct(), ["trace_id"], "_i")
+    return spans.join(ids.select("trace_id", F.floor(F.col("_i") / traces).cast("bigint").alias("chunk")), "trace_id")
+
+
 def chunks(spans: DataFrame, max_spans: int) -> DataFrame:
     """Add chunk: traces of a bucket dealt by hash over ceil(spans / max_spans) chunks, never split."""
     sizes = spans.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / max_spans).alias("_subs"))

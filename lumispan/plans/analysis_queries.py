@@ -14,7 +14,7 @@ from ..schema import DAY_US
 from ..sources import folders, formats
 from ..sources.tables import events_as_spans
 from .queries import HEAD, INJECT_US, _error_report, _failures, _q, _r, _rate_report, _scored
-from .storage import shared_folder
+from .storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: What an approach is held to have as its identity; other columns of a filter count as metadata.
@@ -114,10 +114,10 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages over a folder of two scenarios with three runs each: events dealt by user."""
     path = _folder(spark, "runs")
     s = events_as_spans(spark, sf_dir)
-    part = F.pmod(F.substring_index("trace_id", "-", 1).cast("bigint"), F.lit(6))
+    rows = stored(folders.csv_rows(s, ("k",)).select("*", F.pmod(F.substring_index("traceID", "-", 1).cast("bigint"), F.lit(6)).alias("part")), "runs")
     for i in range(6):
-        rows = folders.csv_rows(s.where(part == i), ("k",))
-        rows.coalesce(4).write.option("header", True).csv(f"{path}/{'cart_cpu' if i < 3 else 'pay_delay'}/{i % 3 + 1}/traces.csv")
+        one = rows.where(F.col("part") == i).drop("part")
+        one.write.option("header", True).csv(f"{path}/{'cart_cpu' if i < 3 else 'pay_delay'}/{i % 3 + 1}/traces.csv")
     return folders.run_averages(folders.scenario_runs(spark, path))
 
 

@@ -131,6 +131,7 @@ def model_oracle() -> dict[str, str]:
         "paths_of_five": """WITH c AS (SELECT conv_id, turn, 'kind=SERVER;operation=turn;service=' || role || ';status=0' AS f FROM conversations)
             SELECT a.conv_id || '-' || a.turn AS span_id, e.f || '>' || d.f || '>' || c.f || '>' || b.f || '>' || a.f AS path FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
             JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2 JOIN c d ON d.conv_id = a.conv_id AND d.turn = a.turn - 3 JOIN c e ON e.conv_id = a.conv_id AND e.turn = a.turn - 4""",
+        "trace_chunks": _q("SELECT span_id, (dense_rank() OVER (ORDER BY trace_id) - 1) // 50 AS chunk FROM s"),
         "model_merged": whole,
         "model_store": whole,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hash32
-from ..operators import analysis, model, modes, normalise, postings, profiling, samplers, scoring, tree
+from ..operators import analysis, generate, model, modes, normalise, postings, profiling, samplers, scoring, tree
 from ..operators import trace_queries as tq
 from ..operators.model_state import ModelState, state_of
 from ..operators.measure import Timings, measured_costs
@@ -184,6 +184,10 @@ def model_queries() -> dict[str, Query]:
         "model_merged": model_merged,
         "model_store": model_store,
         "proto_scan": proto_scan,
+        "trace_chunks": _q(lambda s: normalise.trace_chunks(s, 50).select("span_id", "chunk")),
+        "generated_counts": _q(lambda s: generate.generated_counts(model.train(s, CONFIG))),
+        # The traces of eight collectors, each with a model and a warm-up of its own.
+        "sifter_sharded": lambda spark, sf_dir: samplers.sifter(normalise.derived(conversations_as_spans(spark, sf_dir), DAY_US), HEAD, shards=8),
         "relay_types": _q(lambda s: _r(tq.relay_types(s), "leaf_percent", "single_percent", "variable_percent")),
         "volume": _q(lambda s: _r(tq.volume(s, analysis.span_bytes()), "window_s", "tib_a_day", "dollars_a_month", digits=9)),
         "failure_sections": _scored(lambda s, h: _r(failure_sections(s, h), "skew", "avg_depth", "shared_edge_rate", "fidelity", "their_fidelity", "delta", "meta_ratio")),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .formats import JAEGER, OTLP, jaeger_spans, otlp_spans, read_otlp_proto, read_trace_csv
+from .formats import JAEGER, OTLP, detect_format, jaeger_spans, otlp_spans, read_otlp_proto, read_spans, read_trace_csv
 
 RUNS = ("1", "2", "3")
 
@@ -67,13 +67,30 @@ def read_lenient_csv(spark: SparkSession, path) -> DataFrame:
 
 def scenario_runs(spark: SparkSession, path: str) -> DataFrame:
     """Rows of <scenario>/<run>/traces.csv under a folder, with scenario and run."""
-    found = [f"{s}/{r}/traces.csv" for s in files_of(spark, path) for r in RUNS if files_of(spark, f"{s}/{r}/traces.csv")]
-    if not found:
+    found = f"{path}/*/{{{','.join(RUNS)}}}/traces.csv"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p):
         raise ValueError(f"no <scenario>/<run>/traces.csv under {path}")
     part = lambda i: F.regexp_extract("file", r"([^/]+)/([^/]+)/traces\.csv", i)
     return read_lenient_csv(spark, found).withColumn("scenario", part(1)).withColumn("run", part(2)).drop("file")
 
 
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What a path holds: 'runs' (a folder of folders, one a scenario), 'folder' (of span files) or the format of a file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isDirectory():
+        return detect_format(spark, path)
+    return "runs" if any(s.isDirectory() for s in fs.listStatus(p)) else "folder"
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """The spans of a file, a folder of files, or a folder of scenarios, whose rows have scenario and run as well."""
+    kind = kind_of(spark, path)
+    return {"runs": scenario_runs, "folder": read_folder}.get(kind, read_spans)(spark, path)
+
+
 def run_averages(runs: DataFrame) -> DataFrame:
     """One row: runs, and per run the mean of spans, traces and seconds, whole numbers down; the services of all of them."""
     per = runs.groupBy("scenario", "run").agg(

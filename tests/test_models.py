@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumispan.functions import expressions as ex
 from lumispan.operators import analysis, diagnosis, model, postings, trace_queries
 from lumispan.operators.draws import draw_table, drawn
-from lumispan.operators.generate import generate
+from lumispan.operators.generate import generate, generated_counts
 from lumispan.operators.model_state import ModelState, state_of
 from lumispan.operators.model_store import ModelStore
 from lumispan.operators.normalise import derived
@@ -124,6 +125,8 @@ def test_generation_repeats_and_fits_its_bounds(few_spans):
     seen = {(r["feature"], r["k"]) for r in out.collect()}
     real = {(r["feature"], r["k"] or "") for r in few_spans.select("feature", F.col("attrs")["k"].alias("k")).collect()}
     assert {f for f, _ in seen} <= {f for f, _ in real} and {k for _, k in seen} <= {k for _, k in real}
+    counted = {r["bucket"]: (r["traces"], r["spans"]) for r in generated_counts(m).collect()}
+    assert counted == {r["bucket"]: (r["t"], r["n"]) for r in out.groupBy("bucket").agg(F.countDistinct("trace_id").alias("t"), F.count("*").alias("n")).collect()}
     assert out.where("dur_us < 1").isEmpty() and out.where("parent_span_id is null").count() == few_spans.where("is_root").count()
 
 
@@ -212,3 +215,23 @@ def test_cumulative_sums_against_a_plain_fold(spark):
         early = sum(a and i < inject - 1 for v in want.values() for i, _, a in v) if inject < 40 else 0
         assert d["detected"] == (first >= inject - 1 and inject < 40) and d["false_alarms"] == early
         assert d["delay"] == (first - inject if d["detected"] else None) and d["false_alarm_rate"] == pytest.approx(early / inject)
+
+
+def test_names_of_experiments_and_sections(spark):
+    names = ["app_x_head_50_2", "head_7", "app_head_20_weighted_1", "a_model", "a_model_template_3", "model_wide", "tail", "app_hindsight", "s_sifter_10_1", "app_other_1"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").withColumn("e", ex.experiment(F.col("n")))
+    got = {r["n"]: (tuple(r["e"]) if r["e"] else None, r["c"]) for r in rows.select("n", "e", ex.experiment_class(F.col("e")).alias("c")).collect()}
+    assert got == {
+        "app_x_head_50_2": (("head", "50", "1:50", "2"), "Head"), "head_7": (("head", "head", "Head", "7"), None),
+        "app_head_20_weighted_1": (("head", "20_weighted", "1:20", "1"), "Head"), "a_model": (("model", "model", "Model", "1"), "Model"),
+        "a_model_template_3": (("model", "template", "Model template", "3"), "Model by template"), "model_wide": (("model", "wide", "Model wide", "1"), None),
+        "tail": (("tail", "tail", "Tail", "1"), "Tail"), "app_hindsight": (("hindsight", "hindsight", "Hindsight", "1"), "Hindsight"),
+        "s_sifter_10_1": (("sifter", "10", "Sifter 1:10", "1"), "Sifter"), "app_other_1": (None, None),
+    }
+    queries = ["rate_over_time::all", "duration_over_time_p90::a:b!@#c:d::e", "duration_over_time::x", "graph", "error_over_time::", "operation::o"]
+    q = F.col("q")
+    told = spark.createDataFrame([(x,) for x in queries], "q string").select(ex.query_section(q), ex.query_key(q), ex.section_kind(ex.query_section(q)), ex.section_percentile(ex.query_section(q))).collect()
+    assert [tuple(r) for r in told] == [
+        ("rate_over_time", "all", "rate", "-"), ("duration_over_time_p90", "a:b!@#c:d::e", "duration", "p90"), ("duration_over_time", "x", "duration", "-"),
+        ("graph", "", "graph", "-"), ("error_over_time", "", "error", "-"), ("operation", "o", "operation", "-"),
+    ]

@@ -141,3 +141,18 @@ def test_timings(spark, plain_spans, tmp_path):
     assert costs["all"]["cpu_s"] == pytest.approx(2 * rows["all"]["seconds"]) and costs["never"]["cpu_s"] is None
     assert costs["all"]["dollars"] > costs["never"]["dollars"] > 0
     assert {r["step"]: r["rows_a_second"] > 0 for r in per_core_second(t.table()).collect()} == {"all": True, "none": False}
+
+
+def test_a_path_is_told_by_what_it_holds(spark, plain_spans, tmp_path):
+    for scenario, run in (("cart_cpu", 1), ("cart_cpu", 2), ("pay_loss", 1), ("pay_loss", 7)):
+        folders.csv_rows(plain_spans, ("k",)).coalesce(1).write.option("header", True).csv(str(tmp_path / "runs" / scenario / str(run) / "traces.csv"))
+    formats.write_otlp(plain_spans, str(tmp_path / "one"), 1)
+    part = next((tmp_path / "one").glob("part-*"))
+    (tmp_path / "files").mkdir()
+    part.rename(tmp_path / "files" / "a.json")
+    assert [folders.kind_of(spark, str(tmp_path / x)) for x in ("runs", "files", "files/a.json")] == ["runs", "folder", "otlp"]
+    runs = folders.read_any(spark, str(tmp_path / "runs")).groupBy("scenario", "run").count().collect()
+    assert sorted(map(tuple, runs)) == [(s, r, plain_spans.count()) for s, r in (("cart_cpu", "1"), ("cart_cpu", "2"), ("pay_loss", "1"))]
+    assert told(folders.read_any(spark, str(tmp_path / "files"))) == told(folders.read_any(spark, str(tmp_path / "files" / "a.json"))) == told(plain_spans)
+    with pytest.raises(ValueError):
+        folders.scenario_runs(spark, str(tmp_path / "files"))
