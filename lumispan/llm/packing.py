@@ -3,13 +3,13 @@
 1. Pieces: each document's ids and an end id; only documents longer than a sequence are cut.
 2. Histogram: pieces by length, at most one row per length, whatever the corpus holds.
 3. Program: a configuration is a multiset of lengths that fits a sequence; wanted are the fewest
-   configurations, counted fractionally, that cover the histogram. Multiplicative weights solve it:
-   every length has a price, raised while it lags in coverage; one knapsack dynamic program
-   over the prices gives, for every length at once, the best configuration that holds it; those
-   near the best value are added in proportion to what remains.
-   Any prices, divided by the best value of a configuration, bound the number of sequences from below;
-   the best such bound is kept beside the cover.
-4. Rounding: the whole copies of the configurations that fill a sequence are taken; what is left
+   configurations, counted fractionally, that cover the histogram. Multiplicative weights work on it:
+   every length has a price, multiplied up or down by how far it lags in coverage; one knapsack dynamic
+   program over the prices gives, for every length at once, the best configuration that holds it.
+   Any prices, divided by the best value of a configuration, bound the number of sequences from below:
+   a first run of rounds raises that bound, a second builds a cover from its prices. Neither is driven to
+   the program's exact value; how far packing and bound are apart is known at the end.
+4. Rounding: the whole copies of configurations that fill a sequence, or nearly, are taken; what is left
    is placed best-fit in order of decreasing length, still on the histogram. All whole copies, or a
    share of them down to none, are tried, so rounding never costs more than best fit would.
 5. Assignment: the i-th piece of a length takes the i-th place that the configurations have for it.
@@ -39,7 +39,7 @@ from .common import running_total, spread, worker_memo, written
 
 Config = tuple[tuple[int, int], ...]  # (length, count), longest first
 #: Runs that a worker remembers: some 200 bytes each.
-MEMO = 800_000
+MEMO = 400_000
 RANK_BUCKETS = 256
 
 
@@ -179,23 +179,76 @@ def filled(last: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return out
 
 
+def feasible_prices(lengths: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Prices to begin with: lengths themselves; for k to 11 what counts how many pieces of a kind can sit k to a sequence;
+    and what rounds long pieces up to a whole sequence and short ones down to nothing."""
+    x = lengths / capacity
+    out = [x]
+    for k in range(1, 12):
+        y = (k + 1) * x
+        out.append(np.where(np.abs(y - np.round(y)) < 1e-12, x, np.floor(y) / k))
+    short = lengths[lengths <= capacity // 2]
+    for least in short[:: max(1, len(short) // 8)]:
+        out.append(np.where(lengths > capacity - least, 1.0, np.where(lengths < least, 0.0, x)))
+    return [p for p in out if p.max() > 0]
+
+
+def ascended(
+    counts: dict[int, int], capacity: int, incumbent: float, rounds: int = 120, rate: float = 0.3, near: float = 0.02, gap: float = 0.002
+) -> tuple[float, np.ndarray]:
+    """A lower bound on the number of sequences, and the prices that prove it, scaled so that no configuration is worth
+    more than 1. In every round one knapsack dynamic program gives the value of the best configuration, and of the best
+    that holds each length; prices are multiplied up where a length is in none of the best, or is used less than its
+    pieces need, and down where it is used more. Ends after ``rounds``, or when no packing can have fewer sequences than
+    ``incumbent`` by more than a share ``gap``.
+    """
+    lengths = np.array(sorted(counts))
+    n = np.array([counts[x] for x in lengths], dtype=float)
+    best, prices = 0.0, lengths / capacity
+    for p in feasible_prices(lengths, capacity):
+        value, _ = best_fill(lengths, p, capacity)
+        if (bound := float(n @ p) / value[capacity]) > best:
+            best, prices = bound, p / value[capacity]
+    p = np.maximum(prices, 1e-6)
+    for t in range(rounds):
+        if np.ceil(best - 1e-6) >= (1 - gap) * incumbent and t >= 8:
+            break
+        value, last = best_fill(lengths, p, capacity)
+        bound = float(n @ p) / value[capacity]
+        p = p / value[capacity]
+        if bound > best:
+            best, prices = bound, p.copy()
+        worth = p + value[capacity - lengths] / value[capacity]
+        use, total = np.zeros(len(lengths)), 0.0
+        for j in np.flatnonzero(worth >= 1 - near):
+            weight = np.exp((worth[j] - 1) / (near / 4)) * n[j] * p[j]
+            for i in (int(j), *filled(last, lengths, int(capacity - lengths[j]))):
+                use[i] += weight
+            total += weight
+        lag = 1 - bound * use / (total * n)  # of what each length needs, the share that is missing
+        p = p * np.exp(rate / (1 + t / 10) * (0.2 * np.clip(lag, -1, 1) + np.clip(1 - worth, 0, 1)))
+    return best, prices
+
+
 def fractional(
-    counts: dict[int, int], capacity: int, rounds: int = 120, rate: float = 6.0, slack: float = 0.03
+    counts: dict[int, int], capacity: int, incumbent: float = np.inf, rounds: int = 120, rate: float = 6.0, slack: float = 0.03
 ) -> tuple[dict[Config, float], float]:
-    """A near-optimal fractional cover, as configurations and how often each is used, and a lower bound on the number
-    of sequences: the best that the prices of a round prove."""
+    """A fractional cover, as configurations and how often each is used, and a lower bound on the number of sequences: the
+    best that the prices of a round prove. The cover starts from the prices of that bound and raises those of lengths
+    that lag behind; what is left when no configuration can be added is not covered."""
     lengths = np.array(sorted(counts))
     n = np.array([counts[x] for x in lengths], dtype=float)
     left = n.copy()
     used: dict[Config, float] = {}
-    dual = 0.0
+    dual, base = ascended(counts, capacity, incumbent)
+    base = np.maximum(base, 1e-9)
     for _ in range(rounds):
         live = left > 1e-9 * n
         if not live.any() or (left @ lengths) < 1e-3 * (n @ lengths):
             break
         share = np.where(live, left / n, 0)
         lag = share - share[live].mean()
-        prices = np.where(live, (lengths / capacity) * np.exp(rate * np.clip(lag, -1, 1) / 10), 0)
+        prices = np.where(live, base * np.exp(rate * np.clip(lag, -1, 1) / 10), 0)
         value, last = best_fill(lengths, prices, capacity)
         dual = max(dual, float(n @ prices) / value[capacity])
         order = np.argsort(-share * lengths)
@@ -226,13 +279,14 @@ def fractional(
     return used, dual
 
 
-def rounded(used: dict[Config, float], counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
-    """Whole configurations: the whole copies of full fractional ones, best fit for the rest."""
+def rounded(used: dict[Config, float], counts: dict[int, int], capacity: int, waste: float = 0.0) -> list[tuple[Config, int]]:
+    """Whole configurations: the whole copies of fractional ones that leave at most a share ``waste`` of a sequence empty,
+    fullest first, and best fit for the rest."""
     left = dict(counts)
     out: dict[Config, int] = {}
     for config, amount in sorted(used.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
-        if sum(a * c for a, c in config) < capacity:
-            break  # only full sequences are settled here: they waste nothing whatever follows
+        if sum(a * c for a, c in config) < capacity * (1 - waste):
+            break
         times = min([int(amount), *(left[a] // c for a, c in config)])
         if times > 0:
             out[config] = out.get(config, 0) + times
@@ -279,19 +333,21 @@ def rounded(used: dict[Config, float], counts: dict[int, int], capacity: int) ->
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
-    """The best of some roundings: all whole copies of the full configurations, a share of them, or best fit alone."""
+    """The best of some roundings: whole copies of the full or of nearly full configurations, all of them or a share, or best
+    fit alone."""
     if not counts:
         return []
-    used, dual = fractional(counts, capacity)
-    best: list[tuple[Config, int]] = []
-    least = np.inf
-    for share in (1.0, 0.75, 0.5, 0.25, 0.0):
-        found = rounded({c: share * x for c, x in used.items()}, counts, capacity)
-        size = sum(times for _, times in found)
-        if size < least:
-            best, least = found, size
-        if least <= np.ceil(dual - 1e-6):
-            break  # no packing has fewer
+    best = rounded({}, counts, capacity)
+    least = sum(times for _, times in best)
+    used, dual = fractional(counts, capacity, least)
+    for waste in (0.0, 0.005, 0.02, 0.05, 1.0):
+        for share in (1.0, 0.75, 0.5, 0.25):
+            if least <= np.ceil(dual - 1e-6):
+                return best  # no packing has fewer
+            found = rounded({c: share * x for c, x in used.items()}, counts, capacity, waste)
+            size = sum(times for _, times in found)
+            if size < least:
+                best, least = found, size
     return best
 
 

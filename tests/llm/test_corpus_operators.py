@@ -151,6 +151,25 @@ def test_packing_solves_hard_histograms():
         assert sum(t for _, t in configs) <= -(-sum(a * c for a, c in counts.items()) // 2048) + 1
 
 
+def test_bounds_and_packings_of_awkward_lengths():
+    size = lambda configs: sum(times for _, times in configs)
+    for lo, hi, n, apart in ((600, 899, 3000, 0.05), (400, 1099, 20_000, 0.025), (690, 1030, 5000, 0.0)):
+        values, times = np.unique(np.random.default_rng(1).integers(lo, hi + 1, n), return_counts=True)
+        counts = dict(zip(values.tolist(), times.tolist(), strict=True))
+        configs = packing.solve(counts, 2048)
+        held = Counter()
+        for config, k in configs:
+            assert sum(a * c for a, c in config) <= 2048
+            held.update({a: c * k for a, c in config})
+        assert held == counts
+        bound, prices = packing.ascended(counts, 2048, np.inf)
+        lengths = np.array(sorted(counts))
+        value, _ = packing.best_fill(lengths, prices, 2048)
+        assert value[2048] <= 1 + 1e-9 and float(prices @ np.array([counts[x] for x in lengths])) >= bound - 1e-6
+        assert bound <= size(configs) <= (1 + apart) * np.ceil(bound - 1e-6), (lo, hi)
+        assert size(configs) <= size(packing.rounded({}, counts, 2048))
+
+
 def test_packing_never_loses_to_best_fit():
     rng = np.random.default_rng(1)
     size = lambda configs: sum(t for _, t in configs)
