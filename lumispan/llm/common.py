@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,12 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where the cluster names one; a temporary folder only where it is
-    unset, as in tests on one machine.
+    unset and the master is local, as in tests on one machine.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("LUMISPAN_SCRATCH")
     if not path:
-        path = os.environ.get("LUMISPAN_SCRATCH") or tempfile.mkdtemp(prefix="lumispan-")
-        os.environ["LUMISPAN_SCRATCH"] = path
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = os.environ["LUMISPAN_SCRATCH"] = tempfile.mkdtemp(prefix="lumispan-")
     return path.rstrip("/")
 
 
@@ -53,10 +57,15 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
 
 def worker_memo(name: str) -> dict:
     """A dict that lives across the tasks of this Python worker, until another name is asked for: one
-    operator's memo never takes the memory of the next."""
+    operator's memo never takes the memory of the next, and what the last one held goes back to the system."""
     home = sys.modules.setdefault("_lumispan_worker", types.ModuleType("_lumispan_worker"))
     if home.__dict__.get("owner") != name:
         home.__dict__.update(owner=name, memo={})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
     return home.__dict__["memo"]
 
 
