@@ -7,8 +7,8 @@ Spark's own functions; a document's lines are deduplicated before they are shuff
 summed on the map side, so a host or line with a third of all rows costs no more than others.
 
 Edge cases: null text is a text without words (base_failed); a null host is a host of its own;
-copies of one text count once for its lines; repeated doc_ids stay separate rows; an empty table
-gives no rows; extra columns are dropped, so clashing names don't matter.
+copies of one text count once for its lines; repeated doc_ids stay separate rows; very long texts
+and lines are counted whole; no order is asked for, so nothing ties; an empty table gives no rows; extra columns are dropped, so clashing names don't matter.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ each is cut at the anchors of both, which costs time only, as what is compared i
 
 Edge cases: null text counts as empty; texts under 200 bytes have no such string and stay whole;
 overlapping occurrences count; texts that repeat one byte or a short period are one group of equal
-cut-outs; repeated rows and ids are copies; an empty table gives no rows; extra columns are
+cut-outs; repeated rows and ids are copies; very long texts are
+read in overlapping parts; of grams with equal hashes the leftmost is the anchor; an empty table gives no rows; extra columns are
 dropped or kept as the caller asks.
 """
 

@@ -7,7 +7,8 @@ into it (when it grows) or out of it (when it shrinks); rows whose path meets no
 stay. Draws depend on key and label only, so reruns and any partitioning agree.
 
 Edge cases: a null key is one more key value (all its rows share a shard); a null text has size 8
-and the crc of no bytes; repeated rows get places next to each other; an empty table gives no rows;
+and the crc of no bytes; repeated rows get places next to each other; a very long text counts with all its bytes; of
+equal draws the child that comes first wins; an empty table gives no rows;
 columns of the input that the result also names are replaced.
 """
 

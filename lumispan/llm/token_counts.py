@@ -3,7 +3,7 @@
 Documents are counted by encoded length; suffix sums over the lengths then answer totals, quantiles
 and the total that a context limit leaves, for every limit. Only the histogram (a row per distinct
 length, whatever the number of documents) meets in a task. Edge cases: null and empty texts have
-length 0; repeated rows count each time; an empty table gives no rows; extra columns are dropped.
+length 0; a very long text is encoded whole; texts of equal length, the only ties, are one row; repeated rows count each time; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations

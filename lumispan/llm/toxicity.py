@@ -13,8 +13,8 @@ Documents are scored where they lie; only the sample (bounded) meets the driver,
 features. A batch's words are looked up once per distinct word in a bounded memo.
 
 Edge cases: null and empty texts have no hits and score what the model gives for that; a table
-without labelled toxic rows scores 0 everywhere; repeated rows give repeated results; ties in the
-sample are broken by id; extra columns are dropped.
+without labelled toxic rows scores 0 everywhere; repeated rows give repeated results; a very long text is read whole; ties in the
+sample are broken by id, terms of equal odds by their letters; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations

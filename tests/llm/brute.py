@@ -29,6 +29,14 @@ def shingle_weights(text: str | None, width: int = 5) -> Counter:
     return Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
+def shingle_sets(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
+    """The five-word shingles of a text, letters as they are; a text of fewer words is one."""
+    words = WORD.findall(text or "")
+    if not words:
+        return set()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
 def probability_jaccard(a: Counter, b: Counter) -> float:
     if not a or not b:
         return float(len(a) == len(b))

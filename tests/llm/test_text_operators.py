@@ -200,6 +200,30 @@ def test_fingerprints(spark, edges, no_rows):
     assert fingerprints.edit_probe(docs.where("doc_id = 0")).first()["near_next"] == 1.0
 
 
+def test_likeness_of_fingerprints_against_whole_sets(spark):
+    docs = documents(spark).where("doc_id is not null").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    sets = [set(brute.shingle_sets(t)) for _, t in rows]
+    got = {r["doc_id"]: r for r in fingerprints.edit_probe(docs).collect()}
+    off = []
+    for i, (k, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        edited = set(brute.shingle_sets(t[: len(t) - len(t) // 2] + after[: len(t) // 2]))
+        for found, other in ((got[k]["near_edited"], edited), (got[k]["near_next"], sets[(i + 1) % len(rows)])):
+            both = sets[i] | other
+            off.append(abs(found - (len(sets[i] & other) / len(both) if both else 1.0)))
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.03
+
+
+def test_ranges_stay_small_where_keys_cluster(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 50)
+    keys = [*range(2000), *(10**12 + i * 10**6 for i in range(20)), *(5 * 10**15 + i for i in range(2000))]
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "doc_id bigint, text string")
+    out = fingerprints.with_next(df, "doc_id", "text", ["text"])
+    got = {r["doc_id"]: r["next_text"] for r in out.collect()}
+    assert got == {k: str(keys[(i + 1) % len(keys)]) for i, k in enumerate(keys)}
+
+
 def test_fingerprints_over_several_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
     rows = [(k, f"text {i}") for i, k in enumerate([1, 2, 3, 4, 50, 51, 900, 901, 902, 903, 10**9, 10**9 + 1])]
@@ -239,6 +263,16 @@ def test_repeats_against_all_strings(spark, max_group):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest(), k
 
 
+def test_repeats_of_a_passage_hotter_than_a_group(spark):
+    passage = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(230))
+    rows = [(i, f"{i:05d} own {'xyz'[i % 3] * (i % 40)} {passage} end {i * 7919 % 10_007}") for i in range(9000)]
+    rows += [(10_000 + i, passage[i : i + 205]) for i in range(20)] + [(20_000, passage[:199])]
+    got = {r["doc_id"]: r for r in repeats.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for (k, t), mark in zip(rows, brute.repeated_bytes([t for _, t in rows]), strict=True):
+        kept = bytes(b for b, m in zip(t.encode(), mark, strict=True) if not m)
+        assert (got[k]["n_removed"], got[k]["kept_sha256"]) == (sum(mark), hashlib.sha256(kept).hexdigest()), k
+
+
 def test_repeats_edges(spark, edges, no_rows):
     rows = repeats.without_repeats(edges).collect()
     assert len(rows) == 10 and {r["doc_id"]: r["n_removed"] for r in rows}[6] == 100_000
