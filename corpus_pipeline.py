@@ -5,8 +5,9 @@ return the columns of ``documents``. ``run`` writes each stage's rows to the sha
 them back, so a lost executor never reruns an earlier stage.
 
 Edge cases: null texts count as empty throughout; repeated rows are kept apart up to near copies, which
-keeps one row of a class, and the row without an id only where its whole class has none; texts that
-aren't alike stay, even where their ids are the same; an empty table gives empty stages; extra columns are dropped by the first stage that runs, whatever they
+keeps one row of a class, the one with the least id (of equal ids and texts any), and the row without an id only where its
+whole class has none; texts that aren't alike stay, even where their ids are the same; very long texts go through every
+stage whole and are cut into pieces by the last; an empty table gives empty stages; extra columns are dropped by the first stage that runs, whatever they
 are called.
 """
 

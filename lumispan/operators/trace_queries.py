@@ -96,8 +96,9 @@ def graph_nodes(spans: DataFrame, time: str = "bucket") -> DataFrame:
     return spans.select(time, node_name().alias("node")).distinct()
 
 
-def flat_spans(spans: DataFrame) -> DataFrame:
-    """Spans with what stands around them: depth, parent's names, siblings, start offset in the trace."""
+def flat_spans(spans: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Spans with what stands around them: depth, parent's names, siblings, start offset in the trace; and a column for each
+    of the ``attributes``, '' where a span hasn't got it."""
     p = with_parent(positioned(spans).drop("p_span_id"), ["service", "operation"])
     p = p.join(rooted(spans).select("trace_id", "span_id", "depth"), ["trace_id", "span_id"])
     return p.select(
@@ -105,6 +106,7 @@ def flat_spans(spans: DataFrame) -> DataFrame:
         F.coalesce("p_service", F.lit("")).alias("parent_service"),
         F.coalesce("p_operation", F.lit("")).alias("parent_operation"),
         "siblings", "bucket", (F.col("start_us") - F.col("trace_start")).alias("start_offset_us"),
+        *[F.coalesce(F.col("attrs")[a], F.lit("")).alias(a) for a in attributes],
     )
 
 

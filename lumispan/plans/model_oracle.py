@@ -132,6 +132,8 @@ def model_oracle() -> dict[str, str]:
             SELECT a.conv_id || '-' || a.turn AS span_id, e.f || '>' || d.f || '>' || c.f || '>' || b.f || '>' || a.f AS path FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
             JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2 JOIN c d ON d.conv_id = a.conv_id AND d.turn = a.turn - 3 JOIN c e ON e.conv_id = a.conv_id AND e.turn = a.turn - 4""",
         "trace_chunks": _q("SELECT span_id, (dense_rank() OVER (ORDER BY trace_id) - 1) // 50 AS chunk FROM s"),
+        "flat_attributes": _tree("""SELECT a.span_id, t.depth, coalesce(p.service, '') AS parent_service, a.siblings, a.start_us - a.trace_start AS start_offset_us, coalesce(a.k, '') AS k
+            FROM a JOIN tree t USING (trace_id, span_id) LEFT JOIN s p ON p.trace_id = a.trace_id AND p.span_id = a.parent_span_id""", _DEPTH, recursive=True),
         "model_merged": whole,
         "model_store": whole,
     }

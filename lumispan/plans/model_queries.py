@@ -184,6 +184,7 @@ def model_queries() -> dict[str, Query]:
         "model_merged": model_merged,
         "model_store": model_store,
         "proto_scan": proto_scan,
+        "flat_attributes": _q(lambda s: tq.flat_spans(s, ATTRIBUTES).select("span_id", "depth", "parent_service", "siblings", "start_offset_us", "k")),
         "trace_chunks": _q(lambda s: normalise.trace_chunks(s, 50).select("span_id", "chunk")),
         "generated_counts": _q(lambda s: generate.generated_counts(model.train(s, CONFIG))),
         # The traces of eight collectors, each with a model and a warm-up of its own.

@@ -156,3 +156,13 @@ def test_a_path_is_told_by_what_it_holds(spark, plain_spans, tmp_path):
     assert told(folders.read_any(spark, str(tmp_path / "files"))) == told(folders.read_any(spark, str(tmp_path / "files" / "a.json"))) == told(plain_spans)
     with pytest.raises(ValueError):
         folders.scenario_runs(spark, str(tmp_path / "files"))
+
+
+def test_packed_files(spark, tmp_path):
+    import gzip
+
+    long = b"".join(b'{"n": %d}\n' % i for i in range(300_000))
+    (tmp_path / "a.gz").write_bytes(gzip.compress(long))
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"x\ny\n") + gzip.compress(b"z\n"))
+    got = {r["file"].rsplit("/", 1)[1]: (r["raw_bytes"], r["lines"]) for r in folders.read_packed(spark, str(tmp_path)).collect()}
+    assert got == {"a.gz": (len(long), 300_000), "b.gz": (6, 3)}
