@@ -155,12 +155,13 @@ def localised(sums: DataFrame) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("size", 9)), "service")))
 
 
-def detection(sums: DataFrame, spans: DataFrame, inject: int, answer: str, time: str = "bucket") -> DataFrame:
+def detection(sums: DataFrame, inject: int, answer: str, spans: DataFrame | None = None, time: str = "bucket") -> DataFrame:
     """One row: detected (the first alarm comes no earlier than inject - 1), delay (where detected), false alarms (before
     inject - 1), their rate over the times of ``spans`` before the injection, hit at 1 to 5. An injection outside the
-    times of ``spans`` is never detected and has no false alarms."""
+    times of ``spans`` is never detected and has no false alarms. Without spans the times are those of the sums."""
     ranks = localised(sums).where(F.col("service") == answer).agg(F.min("rank").alias("_r"))
-    window = spans.agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    times = sums.select(F.col("time").alias("_t")) if spans is None else spans.select(F.col(time).alias("_t"))
+    window = times.agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     s = sums.where("alarm").agg(F.min("time").alias("first_alarm"), F.sum((F.col("time") < inject - 1).cast("bigint")).alias("_early"))
     known = F.coalesce(F.lit(inject).between(F.col("_first"), F.col("_last")), F.lit(False))
     quiet = F.when(known, F.lit(inject) - F.col("_first")).otherwise(0)

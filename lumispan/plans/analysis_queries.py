@@ -55,7 +55,7 @@ def _detections(s: DataFrame) -> DataFrame:
     sums = diagnosis.cusum(diagnosis.signals(s))
     out = None
     for day in INJECTIONS:
-        one = diagnosis.detection(sums, s, day, "error").withColumn("scenario", F.lit(day))
+        one = diagnosis.detection(sums, day, "error", s).withColumn("scenario", F.lit(day))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -175,7 +175,7 @@ def trace_query_table() -> dict[str, Query]:
         "micro_rank": _q(lambda s: diagnosis.micro_rank(s, INJECT_US)),
         "cusum": _q(lambda s: _r(diagnosis.cusum(diagnosis.signals(s)), "up", "down", "size", digits=5)),
         "anomaly_localise": _q(lambda s: _r(diagnosis.localised(diagnosis.cusum(diagnosis.signals(s))), "size", digits=5)),
-        "detection_report": _q(lambda s: _r(diagnosis.detection(diagnosis.cusum(diagnosis.signals(s)), s, INJECT_US // DAY_US, "error"), "false_alarm_rate")),
+        "detection_report": _q(lambda s: _r(diagnosis.detection(diagnosis.cusum(diagnosis.signals(s)), INJECT_US // DAY_US, "error", s), "false_alarm_rate")),
         "attribute_eta2": _q(lambda s: _r(profiling.attribute_effect(s.withColumn("feature", F.col("service")), ("operation", "kind", "k")), "eta2")),
         "attribute_discovery": _q(lambda s: _r(profiling.discovered(tq.column_stats(s), PRIMARY, 0.5), "coverage")),
         "offset_models": _a(lambda a: _r(profiling.offset_models(a), "p50", "p90", digits=5)),

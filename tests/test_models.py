@@ -211,7 +211,7 @@ def test_cumulative_sums_against_a_plain_fold(spark):
     window = spark.createDataFrame([(i,) for i in range(40)], "bucket bigint")
     first = min(i for v in want.values() for i, _, a in v if a)
     for inject in (first, first + 3, 100):
-        d = diagnosis.detection(sums, window, inject, "jump").first()
+        d = diagnosis.detection(sums, inject, "jump", window).first()
         early = sum(a and i < inject - 1 for v in want.values() for i, _, a in v) if inject < 40 else 0
         assert d["detected"] == (first >= inject - 1 and inject < 40) and d["false_alarms"] == early
         assert d["delay"] == (first - inject if d["detected"] else None) and d["false_alarm_rate"] == pytest.approx(early / inject)
