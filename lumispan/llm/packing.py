@@ -39,7 +39,7 @@ from .common import running_total, spread, worker_memo, written
 
 Config = tuple[tuple[int, int], ...]  # (length, count), longest first
 #: Runs that a worker remembers: some 200 bytes each.
-MEMO = 400_000
+MEMO = 800_000
 RANK_BUCKETS = 256
 
 
