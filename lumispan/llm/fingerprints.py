@@ -110,6 +110,8 @@ def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFram
     """
     shares = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
     cuts = df.agg(F.array_distinct(F.coalesce(F.percentile_approx(key, shares, 4 * QUANTILES), F.array().cast("array<bigint>"))).alias("_cuts"))
+    # Approximate quantiles depend on the order in which a shuffle's blocks arrive: they are taken once, for all that are placed by them.
+    cuts = written(cuts, "cuts")
     part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(key)))).cast("bigint")
     keys = df.select(key).crossJoin(F.broadcast(cuts)).select(key, part.alias("_part"))  # one row: not a product
     parts = keys.groupBy("_part").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))

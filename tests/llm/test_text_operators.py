@@ -286,3 +286,14 @@ def test_maximal_repeats_list_all_occurrences():
     after = [t[i:] for t, i in zip(texts, at, strict=True)]
     found = {(a, z, tuple(sorted(m))) for a, z, m in repeats.maximal_repeats(before, after, 4)}
     assert (1, 4, (0, 1)) in found and any(m == (0, 1, 2) and z == 4 for _, z, m in found) and (0, 5, (0, 2)) in found
+
+
+def test_next_rows_hold_where_quantiles_come_out_otherwise_each_time(spark, monkeypatch):
+    """On a cluster the approximate quantiles differ from one evaluation to the next, as shuffle blocks arrive in any order."""
+    exact = F.percentile_approx
+    shift = "(CAST(java_method('java.lang.System', 'nanoTime') AS bigint) DIV 1000) % 41"
+    monkeypatch.setattr(fingerprints.F, "percentile_approx", lambda *a: F.transform(exact(*a), lambda c: c + F.expr(shift)))
+    rows = spark.range(30_000).select((F.col("id") * 3).alias("doc_id"), F.lit("x").alias("text"))
+    out = fingerprints.with_next(rows.withColumn("own", F.col("doc_id")), "doc_id", "text", ["own"])
+    wrong = out.where(F.col("next_own") != F.pmod(F.col("doc_id") + 3, F.lit(90_000)))
+    assert out.count() == 30_000 and wrong.isEmpty()
