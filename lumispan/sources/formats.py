@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import padded_hex, status_text
+from ..plans.storage import stored
 from ..schema import SPAN
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -111,41 +113,83 @@ def _attributes(pairs: list[bytes]) -> dict[str, str]:
     return out
 
 
+#: Bytes of a protobuf file that Python is handed at a time, and spans that it hands back.
+BLOCK, ROWS = 1 << 22, 5_000
+
+
+def _whole_fields(b: bytearray) -> tuple[list[tuple[int, int | bytes]], int]:
+    """The fields at the start of ``b`` that are whole, and where the first one that isn't begins."""
+    out, i = [], 0
+    while i < len(b):
+        try:
+            tag, at = _varint(b, i)
+            wire = tag & 7
+            if wire == 0:
+                v, at = _varint(b, at)
+            else:
+                n, at = _varint(b, at) if wire == 2 else (8 if wire == 1 else 4, at)
+                if at + n > len(b):
+                    break
+                v, at = bytes(b[at : at + n]), at + n
+                v = v if wire == 2 else int.from_bytes(v, "little")
+        except IndexError:
+            break
+        out.append((tag >> 3, v))
+        i = at
+    return out, i
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of files that come as blocks in order; of a file no more is held than a block and the field it ends in."""
+    held = bytearray()
+    for batch in batches:
+        for at, block in zip(batch["at"], batch["block"], strict=True):
+            if at == 1:
+                yield from _fields(bytes(held))  # what a broken file ended with
+                held = bytearray()
+            held += block
+            whole, used = _whole_fields(held)
+            yield from whole
+            del held[:used]
+    yield from _fields(bytes(held))
+
+
 def read_otlp_proto(spark: SparkSession, path: str) -> DataFrame:
-    """OTLP protobuf files, one request each."""
+    """OTLP protobuf files, one request each, stored as rows: Python gets a file in blocks and gives spans back in batches, so
+    what it holds doesn't grow with the files."""
     from ..functions.expressions import KINDS
 
+    def rows_of(resource: bytes) -> Iterator[tuple]:
+        parts = list(_fields(resource))
+        held = _attributes([v for k, r in parts if k == 1 for kk, v in _fields(r) if kk == 1])
+        for scope in (v for k, v in parts if k == 2):
+            for span in (v for k, v in _fields(scope) if k == 2):
+                f: dict = {}
+                pairs = []
+                for k, v in _fields(span):
+                    if k == 9:
+                        pairs.append(v)
+                    else:
+                        f[k] = v
+                kind = int(f.get(6, 0))
+                code = dict(_fields(f.get(15, b""))).get(3, 0)
+                start, end = int(f.get(7, 0)), int(f.get(8, 0))
+                yield (
+                    f.get(1, b"").hex(), f.get(2, b"").hex(), f[4].hex() if f.get(4) else None, held.get("service.name", "unknown"),
+                    f.get(5, b"").decode("utf-8", "replace"), KINDS[kind] if kind < len(KINDS) else "", str(code) if code in (0, 1, 2) else "0",
+                    start // 1000, max(0, (end - start) // 1000), _attributes(pairs),
+                )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.name for f in SPAN.fields]
-        for batch in batches:
-            rows = []
-            for content in batch["content"]:
-                for n, resource in _fields(bytes(content)):
-                    if n != 1:
-                        continue
-                    parts = list(_fields(resource))
-                    held = _attributes([v for k, r in parts if k == 1 for kk, v in _fields(r) if kk == 1])
-                    for scope in (v for k, v in parts if k == 2):
-                        for span in (v for k, v in _fields(scope) if k == 2):
-                            f: dict = {}
-                            pairs = []
-                            for k, v in _fields(span):
-                                if k == 9:
-                                    pairs.append(v)
-                                else:
-                                    f[k] = v
-                            kind = int(f.get(6, 0))
-                            code = dict(_fields(f.get(15, b""))).get(3, 0)
-                            start, end = int(f.get(7, 0)), int(f.get(8, 0))
-                            rows.append((
-                                f.get(1, b"").hex(), f.get(2, b"").hex(), f[4].hex() if f.get(4) else None, held.get("service.name", "unknown"),
-                                f.get(5, b"").decode("utf-8", "replace"), KINDS[kind] if kind < len(KINDS) else "", str(code) if code in (0, 1, 2) else "0",
-                                start // 1000, max(0, (end - start) // 1000), _attributes(pairs),
-                            ))
-            yield pd.DataFrame(rows, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, SPAN)
+        rows = (r for n, resource in _streamed(batches) if n == 1 for r in rows_of(resource))
+        while some := list(islice(rows, ROWS)):
+            yield pd.DataFrame(some, columns=names)
+
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("content"), F.lit(1)), F.lit(BLOCK))).alias("at")
+    blocks = spark.read.format("binaryFile").load(path).select("content", at)
+    blocks = blocks.select("at", F.substring(F.col("content"), F.col("at"), F.lit(BLOCK)).alias("block"))
+    return stored(blocks.mapInPandas(run, SPAN), "otlp_proto", batch=1)
 
 
 def read_jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
