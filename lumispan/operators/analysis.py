@@ -38,9 +38,10 @@ def matching(spans: DataFrame, key: str) -> DataFrame:
     return spans
 
 
-def depths(spans: DataFrame) -> DataFrame:
-    """trace_id, span_id, depth, where a missing parent has depth 0: an orphan starts at 1."""
-    r = rooted(spans)
+def depths(spans: DataFrame, r: DataFrame | None = None) -> DataFrame:
+    """trace_id, span_id, depth, where a missing parent has depth 0: an orphan starts at 1. ``r`` is what ``rooted`` gave for
+    the same spans, where it is known."""
+    r = rooted(spans) if r is None else r
     lost = spans.select("trace_id", F.col("span_id").alias("root"), F.when(F.coalesce("parent_span_id", F.lit("")) != "", 1).otherwise(0).alias("_lost"))
     return r.join(lost, ["trace_id", "root"]).select("trace_id", "span_id", (F.col("depth") + F.col("_lost")).alias("depth"))
 
@@ -55,11 +56,12 @@ def query_context(spans: DataFrame, columns: tuple[str, ...] = PRIMARY, attribut
     sets = spans.withColumn("_set", span_entries({c: F.col(c) for c in columns}, F.col("attrs"), attributes))
     own = stored(sets.select("trace_id", "span_id", "feature", "_set"), "entry_sets")
     keys = F.explode(group_keys(F.col("_set"))).alias("group_key")
-    d = own.join(depths(spans), ["trace_id", "span_id"]).groupBy("_set").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("d"))
+    roots = rooted(spans)
+    d = own.join(depths(spans, roots), ["trace_id", "span_id"]).groupBy("_set").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("d"))
     depth = d.select("n", "d", keys).groupBy("group_key").agg(F.sum("n").alias("n"), (F.sum("d") / F.sum("n")).alias("avg_depth"))
     edge = with_parent(spans, ["feature"], "inner").select("trace_id", F.col("span_id").alias("ancestor"), F.md5(F.concat("p_feature", F.lit("\x01"), "feature")).alias("edge"))
     passed = edge.select("trace_id", F.col("ancestor").alias("span_id"), "edge").unionByName(
-        closure(spans).join(edge, ["trace_id", "ancestor"]).select("trace_id", "span_id", "edge")
+        closure(spans, roots).join(edge, ["trace_id", "ancestor"]).select("trace_id", "span_id", "edge")
     )
     passed = passed.distinct().join(own, ["trace_id", "span_id"])
     per = stored(passed.groupBy("_set", "edge").agg(F.count(F.lit(1)).alias("w")), "passed_edges")
@@ -93,7 +95,7 @@ def failure_analysis(mine: DataFrame, theirs: DataFrame, totals: DataFrame, cont
 def failure_sections(sections: dict[tuple[str, str], tuple[DataFrame, DataFrame]], totals: DataFrame, context: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """``failure_analysis`` of several sections (query type, percentile or '-'), each a report of its own and one of what it is
     held against, with the share of a key's filters that aren't features."""
-    out = None
+    totals, context, out = stored(totals, "totals"), stored(context, "context"), None
     for (kind, percentile), (mine, theirs) in sections.items():
         one = failure_analysis(mine, theirs, totals, context, features).select(F.lit(kind).alias("query_type"), F.lit(percentile).alias("percentile"), "*")
         out = one if out is None else out.unionByName(one)

@@ -78,13 +78,14 @@ def rooted(spans: DataFrame) -> DataFrame:
     return s.where("done").drop("done")
 
 
-def closure(spans: DataFrame) -> DataFrame:
-    """Every span with each of its ancestors: trace_id, span_id, ancestor, distance. Spans on or below a cycle are left out.
+def closure(spans: DataFrame, ended: DataFrame | None = None) -> DataFrame:
+    """Every span with each of its ancestors: trace_id, span_id, ancestor, distance. Spans on or below a cycle are left out;
+    ``ended`` is what ``rooted`` gave for the same spans, where it is known.
 
     Reach doubles: those that are exactly as far as the pairs reach take on the pairs of their ancestor, so a tree of
     depth d takes log2(d) joins.
     """
-    ended = rooted(spans).select("trace_id", "span_id")
+    ended = (rooted(spans) if ended is None else ended).select("trace_id", "span_id")
     parent = with_parent(spans.join(ended, ["trace_id", "span_id"], "left_semi"), [], "inner")
     out = stored(parent.select("trace_id", "span_id", F.col("p_span_id").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")), "parents")
     reach = 1
@@ -108,14 +109,15 @@ def templates(spans: DataFrame) -> DataFrame:
     """Per root: trace_id, root, template (its tree in breadth-first order as depth, feature and child
     count of each node), nodes (the same as structs), size. Siblings stand in order of their positions."""
     p = positioned(spans)
-    kin = p.select("trace_id", "span_id", "feature", "child_count", "position", "p_span_id")
-    path = closure(spans).join(
+    kin = stored(p.select("trace_id", "span_id", "feature", "child_count", "position"), "kin")
+    roots = rooted(spans)
+    path = closure(spans, roots).join(
         kin.select("trace_id", F.col("span_id").alias("ancestor"), F.col("position").alias("_p")), ["trace_id", "ancestor"]
     )
     above = path.groupBy("trace_id", "span_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_p").alias("p")))).alias("_a")
     )
-    rows = kin.join(above, ["trace_id", "span_id"], "left").join(rooted(spans), ["trace_id", "span_id"])
+    rows = kin.join(above, ["trace_id", "span_id"], "left").join(roots, ["trace_id", "span_id"])
     above_ = F.transform(F.coalesce("_a", F.array().cast("array<struct<d:bigint,p:bigint>>")), lambda x: x["p"])
     key = F.concat(above_, F.array("position"))
     node = F.struct("depth", key.alias("path"), F.struct("depth", "feature", "child_count").alias("node"))

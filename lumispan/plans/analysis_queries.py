@@ -13,7 +13,7 @@ from ..operators import trace_queries as tq
 from ..schema import DAY_US
 from ..sources import folders, formats
 from ..sources.tables import events_as_spans
-from .queries import HEAD, INJECT_US, _error_report, _failures, _q, _r, _rate_report, _scored
+from .queries import HEAD, INJECT_US, _error_report, _failures, _k, _q, _r, _rate_report, _scored
 from .storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,7 @@ def _vocabulary_delta(s: DataFrame) -> DataFrame:
 
 
 def _importance(s: DataFrame, h: DataFrame) -> DataFrame:
-    return analysis.feature_importance(_analysed(s, h), EXPLAINING)
+    return analysis.feature_importance(stored(_analysed(s, h), "analysed"), EXPLAINING)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -126,7 +126,7 @@ def analysis_queries() -> dict[str, Query]:
         "dashboard": _q(lambda s: _r(analysis.dashboard(s), "error_rate", "p50", "p95", "p99")),
         "names_over_time": _q(analysis.names_over_time),
         "matching_spans": _q(lambda s: analysis.matching(s, "kind:CLIENT!@#operation:k1").select("span_id")),
-        "query_context": _q(lambda s: _r(analysis.query_context(s), "avg_depth", "shared_edge_rate")),
+        "query_context": _k(lambda s: _r(analysis.query_context(s), "avg_depth", "shared_edge_rate")),
         "failure_analysis": _scored(lambda s, h: _r(_analysed(s, h), "skew", "avg_depth", "shared_edge_rate", "fidelity", "their_fidelity", "delta")),
         "failure_histogram": _scored(lambda s, h: analysis.histogram(_failures(s, h), "delta", -100.0, 100.0, 20)),
         "feature_importance": _scored(_importance),

@@ -20,8 +20,8 @@ from ..sources import protobuf
 from ..sources.formats import read_otlp_proto
 from ..sources.tables import conversations_as_spans, events_as_spans
 from .analysis_queries import EXPLAINING, FEATURES, _analysed, _read_back, _sizes
-from .queries import CONFIG, HEAD, _q, _r, _scored, spans
-from .storage import shared_folder
+from .queries import CONFIG, HEAD, _k, _q, _r, _scored, kept_spans
+from .storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 ATTRIBUTES = ("k",)
@@ -62,7 +62,7 @@ def model_rows(m: model.Model) -> DataFrame:
 
 def model_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of two halves of the traces, trained apart, saved, read back and merged."""
-    s = spans(spark, sf_dir)
+    s = kept_spans(spark, sf_dir)
     path = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
     for i in range(2):
         state_of(_part(s, 2, i), CONFIG).save(f"{path}/{i}")
@@ -72,7 +72,7 @@ def model_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of a store after a base and three extensions, with its history folded once in between."""
-    s = spans(spark, sf_dir)
+    s = kept_spans(spark, sf_dir)
     store = ModelStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", CONFIG)
     for i in range(4):
         store.append(state_of(_part(s, 4, i), CONFIG))
@@ -141,7 +141,7 @@ def events_columns(s: DataFrame) -> list[str]:
 
 
 def shapley_importance(s: DataFrame, h: DataFrame) -> DataFrame:
-    rows = _analysed(s, h)
+    rows = stored(_analysed(s, h), "analysed")
     trees, _ = analysis.boosted(rows, EXPLAINING)
     return importance(shapley_values(rows, trees, EXPLAINING, "group_key"), EXPLAINING)
 
@@ -156,7 +156,7 @@ def mode_normalised(s: DataFrame) -> DataFrame:
 def failure_sections(s: DataFrame, h: DataFrame) -> DataFrame:
     """Rate, errors and three percentiles of durations of one trace in four, held against one in two."""
     other = samplers.head(s, 2)
-    durations = {n: tq.durations_over_time(d) for n, d in (("base", s), ("mine", h), ("theirs", other))}
+    durations = {n: stored(tq.durations_over_time(d), "durations") for n, d in (("base", s), ("mine", h), ("theirs", other))}
     sections = {
         ("rate", "-"): tuple(scoring.series_report(tq.rate_over_time(s), tq.rate_over_time(d), scale=x) for d, x in ((h, float(HEAD)), (other, 2.0))),
         ("error", "-"): tuple(scoring.series_report(tq.errors_over_time(s), tq.errors_over_time(d), scale=x) for d, x in ((h, float(HEAD)), (other, 2.0))),
@@ -179,14 +179,14 @@ def model_queries() -> dict[str, Query]:
         "error_by_attribute": _q(lambda s: tq.errors_over_time(s, attributes=ATTRIBUTES)),
         "duration_by_attribute": _q(lambda s: _r(tq.durations_over_time(s, attributes=ATTRIBUTES), "p50", "p90", "p99")),
         "report_rate_by_attribute": _q(lambda s: _r(_rate_report(s, samplers.head(s, HEAD)), "mape", "fidelity")),
-        "context_by_attribute": _q(lambda s: _r(analysis.query_context(s, attributes=ATTRIBUTES), "avg_depth", "shared_edge_rate")),
-        "posting_counts": _q(posting_counts),
+        "context_by_attribute": _k(lambda s: _r(analysis.query_context(s, attributes=ATTRIBUTES), "avg_depth", "shared_edge_rate")),
+        "posting_counts": _k(posting_counts),
         "model_merged": model_merged,
         "model_store": model_store,
         "proto_scan": proto_scan,
-        "flat_attributes": _q(lambda s: tq.flat_spans(s, ATTRIBUTES).select("span_id", "depth", "parent_service", "siblings", "start_offset_us", "k")),
+        "flat_attributes": _k(lambda s: tq.flat_spans(s, ATTRIBUTES).select("span_id", "depth", "parent_service", "siblings", "start_offset_us", "k")),
         "trace_chunks": _q(lambda s: normalise.trace_chunks(s, 50).select("span_id", "chunk")),
-        "generated_counts": _q(lambda s: generate.generated_counts(model.train(s, CONFIG))),
+        "generated_counts": _k(lambda s: generate.generated_counts(model.train(s, CONFIG))),
         # The traces of eight collectors, each with a model and a warm-up of its own.
         "sifter_sharded": lambda spark, sf_dir: samplers.sifter(normalise.derived(conversations_as_spans(spark, sf_dir), DAY_US), HEAD, shards=8),
         "relay_types": _q(lambda s: _r(tq.relay_types(s), "leaf_percent", "single_percent", "variable_percent")),
@@ -198,5 +198,5 @@ def model_queries() -> dict[str, Query]:
         "measured_costs": _q(measured),
         "scalability": _q(scalability),
         "shapley_importance": _scored(shapley_importance),
-        "mode_normalised": _q(mode_normalised),
+        "mode_normalised": _k(mode_normalised),
     }

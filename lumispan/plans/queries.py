@@ -12,6 +12,7 @@ from ..operators import diagnosis, generate, model, normalise, profiling, sample
 from ..operators import trace_queries as tq
 from ..schema import DAY_US, PRIMARY, ModelConfig
 from ..sources.tables import conversations_as_spans, events_as_spans, orders_as_spans
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = ModelConfig(bucket_us=DAY_US, dependent=("k",))
@@ -25,17 +26,26 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.derived(events_as_spans(spark, sf_dir), DAY_US)
 
 
+def kept_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans, stored: queries that read them more than once don't derive them again."""
+    return stored(spans(spark, sf_dir), "spans")
+
+
 def _q(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(spans(spark, sf_dir))
 
 
+def _k(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(kept_spans(spark, sf_dir))
+
+
 def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Round what floats differ in between engines."""
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def _a(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(model.annotated(spans(spark, sf_dir)))
+    return _k(lambda s: f(model.annotated(s)))
 
 
 def _pairs(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -43,7 +53,7 @@ def _pairs(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _scored(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return _q(lambda s: f(s, samplers.head(s, HEAD)))
+    return _k(lambda s: f(s, samplers.head(s, HEAD)))
 
 
 def _graph(binary: bool) -> Query:
@@ -93,7 +103,7 @@ def _percentile_rows(p: DataFrame) -> DataFrame:
 
 
 def _generated(config: ModelConfig) -> Query:
-    return _q(lambda s: generate.generate(model.train(s, config)))
+    return _k(lambda s: generate.generate(model.train(s, config)))
 
 
 def _sampled_ids(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -130,21 +140,21 @@ def trace_query_table() -> dict[str, Query]:
         "error_over_time": _q(tq.errors_over_time),
         "service_graph_edges": _q(tq.graph_edges),
         "service_graph_nodes": _q(tq.graph_nodes),
-        "span_count": _q(tree.component_sizes),
+        "span_count": _k(tree.component_sizes),
         "span_count_orders": _tree_sizes(orders_as_spans),
         "span_count_conversations": _tree_sizes(conversations_as_spans),
-        "span_depth": _q(lambda s: tree.rooted(s).select("span_id", "root", "depth")),
-        "ancestors": _q(lambda s: tree.closure(s).select("span_id", "ancestor", "distance")),
-        "flat_spans": _q(tq.flat_spans),
+        "span_depth": _k(lambda s: tree.rooted(s).select("span_id", "root", "depth")),
+        "ancestors": _k(lambda s: tree.closure(s).select("span_id", "ancestor", "distance")),
+        "flat_spans": _k(tq.flat_spans),
         "child_position": _a(lambda a: _r(a.select("span_id", "position", "siblings", "normal_position", "child_count"), "normal_position")),
         "error_traces": _q(lambda s: s.where("error_trace").select("trace_id").distinct()),
         "orphan_stats": _q(tq.orphan_stats),
         "column_stats": _q(lambda s: _r(tq.column_stats(s), "coverage")),
         "dataset_basics": _q(tq.basics),
-        "child_sets": _q(lambda s: _r(tq.child_sets(s).withColumn("feature", F.translate("feature", "\0", ";")), "top_set_share", "top_multiset_share")),
-        "templates": _q(lambda s: tree.templates(s).groupBy("template", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("template", F.md5(F.translate("template", "\0", ",")))),
-        "unique_edges": _q(lambda s: tree.unique_edges(s).select(*[F.translate(c, "\0", ";").alias(c) for c in ("parent_feature", "feature")], "position", "n")),
-        "paths": _q(lambda s: tree.paths(s, 3).select("span_id", F.translate(F.array_join("path", ">"), "\0", ";").alias("path"))),
+        "child_sets": _k(lambda s: _r(tq.child_sets(s).withColumn("feature", F.translate("feature", "\0", ";")), "top_set_share", "top_multiset_share")),
+        "templates": _k(lambda s: tree.templates(s).groupBy("template", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("template", F.md5(F.translate("template", "\0", ",")))),
+        "unique_edges": _k(lambda s: tree.unique_edges(s).select(*[F.translate(c, "\0", ";").alias(c) for c in ("parent_feature", "feature")], "position", "n")),
+        "paths": _k(lambda s: tree.paths(s, 3).select("span_id", F.translate(F.array_join("path", ">"), "\0", ";").alias("path"))),
         "start_table": _a(lambda a: model.start_table(a).withColumn("feature", F.translate("feature", "\0", ";"))),
         "topology_edges": _a(lambda a: _r(model.topology_edges(a).withColumns({c: F.translate(c, "\0", ";") for c in ("feature", "parent")}), "probability")),
         "duration_bounds": _a(lambda a: model.duration_bounds(a).withColumn("feature", F.translate("feature", "\0", ";"))),
@@ -156,7 +166,7 @@ def trace_query_table() -> dict[str, Query]:
         "pair_memorised": _pairs(lambda p: _r(model.pair_memorised(p).withColumns({c: F.translate(c, "\0", ";") for c in ("feature", "parent")}).select("bucket", "parent", "feature", "n", "gap", "dur"), "gap", "dur")),
         "attr_categorical": _pairs(lambda p: _r(model.attribute_shares(p, "k").withColumns({c: F.translate(c, "\0", ";") for c in ("feature", "parent")}), "probability")),
         "bucket_meta": _a(model.bucket_meta),
-        "model_size": _q(lambda s: model.train(s, CONFIG).sizes()),
+        "model_size": _k(lambda s: model.train(s, CONFIG).sizes()),
         "generated_spans": _generated(CONFIG),
         "generated_percentile": _generated(ModelConfig(bucket_us=DAY_US, offset_model="percentile")),
         "generated_templates": _generated(ModelConfig(bucket_us=DAY_US, topology_mode="template", dependent=("k",))),
