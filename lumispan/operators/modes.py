@@ -84,17 +84,11 @@ def fitted(values: DataFrame, modes: int = MODES, rounds: int = ROUNDS, toleranc
     known = {r["column"]: r for r in start.join(spread, "column").collect()}
     prior = {c: (r["mean"], max(r["spread"], RIDGE)) for c, r in known.items()}
     part = F.aggregate(F.col("cuts"), F.lit(0), lambda k, cut: k + (F.col("x") > cut).cast("int"))
-    hard = counts.join(F.broadcast(start.select("column", "cuts")), "column").withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(modes - 1)), lambda k: (k == part).cast("double")))
+    hard = counts.join(F.broadcast(start.select("column", "cuts")), "column").withColumn("part", part)
+    hard = hard.select("column", "x", "c", *[(F.col("part") == k).cast("double").alias(f"r{k}") for k in range(modes)])
     fits = {c: posterior(*s, prior[c]) for c, s in _sums(hard, modes).items()}
     for _ in range(rounds):
-        spark = counts.sparkSession
-        table = [(c, f.means.tolist(), f.variances.tolist(), f.constants().tolist()) for c, f in fits.items()]
-        table = spark.createDataFrame(table, "column string, m array<double>, v array<double>, k array<double>")
-        log = F.transform(F.arrays_zip("m", "v", "k"), lambda p: p["k"] - 0.5 * (F.col("x") - p["m"]) ** 2 / p["v"])
-        rows = counts.join(F.broadcast(table), "column").select("column", "x", "c", log.alias("log"))
-        rows = rows.withColumn("e", F.transform("log", lambda z: F.exp(z - F.array_max("log"))))
-        rows = rows.withColumn("r", F.transform("e", lambda z: z / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)))
-        after = {c: posterior(*s, prior[c]) for c, s in _sums(rows, modes).items()}
+        after = {c: posterior(*s, prior[c]) for c, s in _sums(_shared(counts, fits, modes), modes).items()}
         moved = max((float(np.abs(after[c].weights - fits[c].weights).max()) + float((np.abs(after[c].means - fits[c].means) / after[c].stds).max()) for c in fits), default=0.0)
         fits = after
         if moved < tolerance:
@@ -102,9 +96,32 @@ def fitted(values: DataFrame, modes: int = MODES, rounds: int = ROUNDS, toleranc
     return fits
 
 
+def _shared(counts: DataFrame, fits: dict[str, Fit], modes: int) -> DataFrame:
+    """Counted values with the responsibility of each mode, r0 and on. The parameters are numbers in the expressions, and modes
+    are columns, so that Spark compiles a round instead of walking arrays row by row."""
+
+    def of(values) -> Column:
+        out = F.lit(None).cast("double")
+        for c, f in fits.items():
+            out = F.when(F.col("column") == c, F.lit(float(values(f)))).otherwise(out)
+        return out
+
+    def log(k: int) -> Column:
+        return of(lambda f: f.constants()[k]) - 0.5 * (F.col("x") - of(lambda f: f.means[k])) ** 2 / of(lambda f: f.variances[k])
+
+    names = [f"l{k}" for k in range(modes)]
+    rows = counts.where(F.col("column").isin(list(fits))).select("column", "x", "c", *[log(k).alias(n) for k, n in enumerate(names)])
+    top = F.greatest(*names) if modes > 1 else F.col("l0")
+    rows = rows.select("column", "x", "c", *names, top.alias("top"))
+    rows = rows.select("column", "x", "c", *[F.exp(F.col(n) - F.col("top")).alias(f"e{k}") for k, n in enumerate(names)])
+    total = sum((F.col(f"e{k}") for k in range(modes)), F.lit(0.0))
+    return rows.select("column", "x", "c", *[(F.col(f"e{k}") / total).alias(f"r{k}") for k in range(modes)])
+
+
 def _sums(rows: DataFrame, modes: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per column: for each mode the sums of responsibility, of value and of squared value."""
-    sums = [F.sum(F.col("c") * F.get("r", F.lit(k)) * F.pow("x", F.lit(p))).alias(f"s{p}_{k}") for p in range(3) for k in range(modes)]
+    power = (F.lit(1.0), F.col("x"), F.col("x") * F.col("x"))
+    sums = [F.sum(F.col("c") * F.col(f"r{k}") * power[p]).alias(f"s{p}_{k}") for p in range(3) for k in range(modes)]
     return {r["column"]: tuple(np.array([r[f"s{p}_{k}"] for k in range(modes)]) for p in range(3)) for r in rows.groupBy("column").agg(*sums).collect()}
 
 

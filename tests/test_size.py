@@ -1,5 +1,6 @@
 """What keeps work in proportion to the spans: they are derived once, and Python holds a piece of a file."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,21 @@ def test_protobuf_files_are_read_in_pieces(spark, monkeypatch, tmp_path):
     assert list(formats._streamed(pieces)) == list(formats._fields(content))
 
 
+def test_responsibilities_of_modes(spark):
+    x = np.array([-3.0, 0.1, 0.2, 5.0, 900.0])
+    fit = modes.posterior(np.array([3.0, 2.0, 1.0]), np.array([1.0, 9.0, 800.0]), np.array([2.0, 60.0, 640_100.0]), (100.0, 50_000.0))
+    counts = spark.createDataFrame([("a", float(v), 2) for v in x], "column string, x double, c bigint")
+    log = fit.constants() - 0.5 * (x[:, None] - fit.means) ** 2 / fit.variances
+    want = np.exp(log - log.max(axis=1, keepdims=True))
+    want /= want.sum(axis=1, keepdims=True)
+    rows = modes._shared(counts, {"a": fit}, 3)
+    got = np.array([[r["r0"], r["r1"], r["r2"]] for r in rows.orderBy("x").collect()])
+    assert np.allclose(got, want)
+    sums = modes._sums(rows, 3)["a"]
+    assert np.allclose(sums[2], (2 * want * x[:, None] ** 2).sum(axis=0))
+    assert "transform" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_kept_spans_are_the_spans(spark):
     kept, plain = plans.kept_spans(spark, SF), plans.spans(spark, SF)
     assert kept.schema.names == plain.schema.names and sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
