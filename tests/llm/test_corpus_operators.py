@@ -98,6 +98,37 @@ def test_training_order_holds_the_taken_words(spark):
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
 
 
+def test_mix_is_read_off_the_texts_of_the_mix_in_order(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = df.collect()
+        return source_mix_written(df, name)
+
+    source_mix_written = source_mix.written
+    monkeypatch.setattr(source_mix, "written", kept)
+    plan = source_mix.mixed(documents(spark)).collect()
+    mix = [r for r in tables["mix-order"] if r["turn"]]
+    at = [r["position"] for r in mix]
+    assert at == sorted(at) and len(mix) == sum((r["taken_1"] > 0) + (r["taken_2"] > 0) for r in plan)
+    # A mix without its last words takes fewer words: nothing but its texts says what is taken.
+    pieces = source_mix.first_words
+    monkeypatch.setattr(source_mix, "first_words", lambda text, size, taken: pieces(text, size, taken - 1))
+    cut = {r["doc_id"]: r["taken_1"] for r in source_mix.mixed(documents(spark)).collect()}
+    assert all(cut[r["doc_id"]] == max(0, r["taken_1"] - 1) for r in plan)
+
+
+def test_copies_of_a_row_take_their_own_turns(spark):
+    rows = [(1, "a b c d", s) for s in "xyz" for _ in range(9)] + [(None, None, "x"), (None, "e f", None), (None, "e f", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = source_mix.mixed(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in plan) == Counter((k, len((t or "").split())) for k, t, _ in rows)
+    mix = source_mix.training_order(docs).collect()
+    got = Counter((r["doc_id"], len(r["text"].split()), r["turn"], r["position"]) for r in mix)
+    want = Counter((r["doc_id"], r[f"taken_{i}"], i, r[f"position_{i}"]) for r in plan for i in (1, 2) if r[f"taken_{i}"])
+    assert got == want
+
+
 def ids_of(texts):
     from tokenizers import Tokenizer
 
